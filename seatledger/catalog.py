@@ -87,3 +87,88 @@ register("renewal_history_total", O.renewal_history_total_sql(HIST_FROM, HIST_TO
     lambda t: H.renewal_history_total(t, HIST_FROM, HIST_TO, HIST_LIMIT)
 )
 register("renewal_history_all", O.renewal_history_sql(None, None, None))(lambda t: H.renewal_history(t))
+
+# --------------------------------------------------------- display columns
+from .operators import changes as C  # noqa: E402
+from .operators import outbox as N  # noqa: E402
+from . import requests as Q  # noqa: E402
+from .sources import schema as S  # noqa: E402
+
+register("expiry_buckets", O.EXPIRY_BUCKETS)(lambda t: N.expiry_buckets(t, AS_OF))
+register("account_occupancy", O.ACCOUNT_OCCUPANCY)(lambda t: N.account_occupancy(t))
+register("money_text", O.MONEY_TEXT)(lambda t: N.money_texts(t))
+register("long_date_text", O.LONG_DATE_TEXT)(lambda t: N.long_date_texts(t))
+register("renewal_display", O.renewal_display_sql(HIST_FROM, HIST_TO, HIST_LIMIT))(
+    lambda t: H.renewal_display(H.renewal_history(t, HIST_FROM, HIST_TO, HIST_LIMIT))
+)
+
+# ------------------------------------------------------------------ outbox
+register("reminder_outbox", O.REMINDER_OUTBOX)(lambda t: N.reminder_outbox(t, AS_OF))
+register("expiry_outbox", O.EXPIRY_OUTBOX)(lambda t: N.expiry_outbox(t, AS_OF))
+
+
+def _renewal_outbox(t):
+    res = C.renew_profiles(t, Q.renew_profiles_req(t), Q.NOW)
+    return N.renewal_outbox(res.tables, res.applied)
+
+
+register("renewal_outbox", O.renewal_outbox_sql(Q.RENEW_PROFILES_REQ, Q.NOW_SQL))(_renewal_outbox)
+
+# ----------------------------------------------------------- change batches
+register("insert_platforms", O.insert_platforms_sql(Q.INSERT_PLATFORMS_REQ, Q.AS_OF_SQL))(
+    lambda t: C.insert_platforms(t, Q.insert_platforms_req(t), AS_OF).applied
+)
+register("insert_accounts", O.insert_accounts_sql(Q.INSERT_ACCOUNTS_REQ, Q.AS_OF_SQL))(
+    lambda t: C.insert_accounts(t, Q.insert_accounts_req(t), AS_OF).applied
+)
+register("insert_profiles", O.insert_profiles_sql(Q.INSERT_PROFILES_REQ, Q.NOW_SQL))(
+    lambda t: C.insert_profiles(t, Q.insert_profiles_req(t), Q.NOW).applied
+)
+register("admit_within_capacity", O.admit_within_capacity_sql(Q.INSERT_PROFILES_REQ, Q.NOW_SQL))(
+    lambda t: C.insert_profiles(t, Q.insert_profiles_req(t), Q.NOW, enforce_capacity=True).applied
+)
+register("validate_changes", O.validate_changes_sql(Q.INSERT_PROFILES_REQ))(
+    lambda t: C.validate_changes(Q.insert_profiles_req(t), "account_id", "profile_name", "client_name")
+)
+register("update_platforms", O.update_platforms_sql(Q.UPDATE_PLATFORMS_REQ))(
+    lambda t: C.update_platforms(t, Q.update_platforms_req(t)).tables.platforms
+)
+register("update_accounts", O.update_accounts_sql(Q.UPDATE_ACCOUNTS_REQ, keep_expiry=False))(
+    lambda t: C.update_accounts(t, Q.update_accounts_req(t)).tables.accounts
+)
+register("keep_expiry_on_blank", O.update_accounts_sql(Q.UPDATE_ACCOUNTS_REQ, keep_expiry=True))(
+    lambda t: C.update_accounts(t, Q.update_accounts_req(t), keep_expiry_on_blank=True).tables.accounts
+)
+register("update_profiles", O.update_profiles_sql(Q.UPDATE_PROFILES_REQ))(
+    lambda t: C.update_profiles(t, Q.update_profiles_req(t)).tables.profiles
+)
+register("merge_profiles", O.merge_profiles_sql(Q.MERGE_PROFILES_REQ))(
+    lambda t: C.merge_profiles(t, Q.merge_profiles_req(t)).tables.profiles
+)
+register("soft_delete_profiles", O.soft_delete_sql(Q.SOFT_DELETE_REQ))(
+    lambda t: C.soft_delete_profiles(t, Q.soft_delete_req(t)).tables.profiles
+)
+register("delete_accounts", O.delete_accounts_sql(Q.DELETE_ACCOUNTS_REQ))(
+    lambda t: C.delete_accounts(t, Q.delete_accounts_req(t)).tables.profiles
+)
+register("delete_platforms", O.delete_platforms_sql(Q.DELETE_PLATFORMS_REQ))(
+    lambda t: C.delete_platforms(t, Q.delete_platforms_req(t)).tables.profiles
+)
+register("reset_data", O.RESET_SUMMARY)(lambda t: R.summary(C.reset_data(t), AS_OF))
+register("renew_profiles", O.renew_profiles_sql(Q.RENEW_PROFILES_REQ, Q.NOW_SQL))(
+    lambda t: C.renew_profiles(t, Q.renew_profiles_req(t), Q.NOW).applied
+)
+register("renew_accounts", O.renew_accounts_sql(Q.RENEW_ACCOUNTS_REQ, Q.NOW_SQL))(
+    lambda t: C.renew_accounts(t, Q.renew_accounts_req(t), Q.NOW).applied
+)
+register("renewal_target_date", O.renewal_target_sql(Q.TARGET_DAYS_REQ, Q.AS_OF_SQL))(
+    lambda t: C.renewal_target_date(t, Q.target_days_req(t), AS_OF)
+)
+
+# ----------------------------------------------------------------- sources
+register("seed_defaults", O.seed_defaults_sql(Q.AS_OF_SQL))(
+    lambda t: S.seed_defaults(t.platforms.sparkSession, t.platforms, AS_OF)
+)
+register("conform_schema", O.CONFORM_SCHEMA)(
+    lambda t: S.conform_renewals(t.renewals.select("profile_id", "new_expiry_date", "sale_price", "created_at"))
+)

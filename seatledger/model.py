@@ -108,6 +108,11 @@ def money_sum(c: Column | str) -> Column:
     return money(F.coalesce(F.sum(c), F.lit(0)))
 
 
+def ntz(ts) -> Column:
+    """A wall-clock timestamp literal (timestamp_ntz), independent of the session zone."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def empty_like(df: DataFrame) -> DataFrame:
     """Same schema, no rows, no scan of the input at run time."""
     return df.limit(0)

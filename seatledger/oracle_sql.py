@@ -365,3 +365,401 @@ def renewal_history_total_sql(date_from, date_to, limit) -> str:
 SELECT COUNT(*) AS count, CAST(COALESCE(SUM(sale_price), 0) AS {M}) AS total_revenue
 FROM ({renewal_history_sql(date_from, date_to, limit)})
 """
+
+
+# ---------------------------------------------------------- display texts
+def months_list() -> str:
+    from .functions.text import MONTHS_ES
+
+    return "[" + ", ".join(f"'{m}'" for m in MONTHS_ES) + "]"
+
+
+def long_date(d: str) -> str:
+    return (
+        f"CASE WHEN {d} IS NULL THEN 'Sin fecha' ELSE lpad(CAST(day({d}) AS VARCHAR), 2, '0') || ' de ' || "
+        f"{months_list()}[month({d})] || ' de ' || CAST(year({d}) AS VARCHAR) END"
+    )
+
+
+def money_txt(x: str) -> str:
+    return (
+        f"'$' || CASE WHEN abs({x}) < 10000 THEN replace(printf('%.2f', {x}), '.', ',') "
+        f"ELSE translate(format('{{:,.2f}}', CAST({x} AS DOUBLE)), ',.', '.,') END"
+    )
+
+
+def uri(x: str) -> str:
+    e = f"url_encode({x})"
+    for enc, raw in (("%21", "!"), ("%2A", "*"), ("%27", "''"), ("%28", "("), ("%29", ")")):
+        e = f"replace({e}, '{enc}', '{raw}')"
+    return e
+
+
+def link(phone: str, msg: str) -> str:
+    return f"'https://wa.me/' || regexp_replace({phone}, '[^0-9]', '', 'g') || '?text=' || {uri(msg)}"
+
+
+def badge_sql(d: str) -> str:
+    n = f"({d} - {AS_OF})"
+    return f"""{n} AS days_left,
+  CASE WHEN {d} IS NULL THEN 'no-date' WHEN {n} < 0 THEN 'expired' WHEN {n} = 0 THEN 'expired'
+       WHEN {n} <= 3 THEN 'warning' ELSE 'active' END AS status_class,
+  CASE WHEN {d} IS NULL THEN '📅' WHEN {n} < 0 THEN '🔴' WHEN {n} = 0 THEN '⚠️'
+       WHEN {n} <= 3 THEN '🟡' ELSE '🟢' END AS status_icon,
+  CASE WHEN {d} IS NULL THEN 'Sin fecha'
+       WHEN {n} < 0 THEN 'Venció hace ' || CAST(abs({n}) AS VARCHAR) || ' día(s)'
+       WHEN {n} = 0 THEN 'Vence hoy'
+       WHEN {n} <= 3 THEN 'Vence en ' || CAST({n} AS VARCHAR) || ' día(s)'
+       ELSE 'Vence en ' || CAST({n} AS VARCHAR) || ' días' END AS status_text"""
+
+
+EXPIRY_BUCKETS = f"""
+SELECT 'account' AS type, id, expiry_date, {badge_sql('expiry_date')} FROM accounts
+UNION ALL
+SELECT 'profile' AS type, id, expiry_date, {badge_sql('expiry_date')} FROM profiles WHERE is_active = true
+"""
+
+ACCOUNT_OCCUPANCY = """
+SELECT a.id, a.platform_id, COUNT(CASE WHEN p.is_active = true THEN p.id END) AS profile_count, pl.max_profiles,
+       least(100.0, (COUNT(CASE WHEN p.is_active = true THEN p.id END) / pl.max_profiles) * 100.0) AS occupancy_pct,
+       COUNT(CASE WHEN p.is_active = true THEN p.id END) >= pl.max_profiles AS is_full
+FROM accounts a JOIN platforms pl ON pl.id = a.platform_id LEFT JOIN profiles p ON p.account_id = a.id
+GROUP BY a.id, a.platform_id, pl.max_profiles
+"""
+
+MONEY_TEXT = f"""
+SELECT id, {money_txt('total_cost')} AS total_cost_text, {money_txt('total_revenue')} AS total_revenue_text,
+       {money_txt('profit')} AS profit_text
+FROM ({PLATFORM_REPORT})
+"""
+
+LONG_DATE_TEXT = f"SELECT id, expiry_date, {long_date('expiry_date')} AS expiry_text FROM profiles"
+
+
+def renewal_display_sql(date_from, date_to, limit) -> str:
+    return f"""
+SELECT h.*,
+  CASE WHEN renewal_type = 'account' THEN account_email ELSE profile_name END AS item_text,
+  CASE WHEN renewal_type = 'account' THEN 'Cuenta' WHEN COALESCE(client_name, '') = '' THEN '—' ELSE client_name END AS who_text,
+  CASE WHEN old_expiry_date IS NULL THEN '—' ELSE {long_date('old_expiry_date')} END AS old_date_text,
+  {long_date('new_expiry_date')} AS new_date_text,
+  {money_txt('sale_price')} AS price_text
+FROM ({renewal_history_sql(date_from, date_to, limit)}) h
+"""
+
+
+# ------------------------------------------------------------------ outbox
+_LIVE = """
+SELECT p.*, a.email AS account_email, a.cost AS account_cost, pl.id AS platform_id, pl.name AS platform_name,
+       pl.icon AS platform_icon, pl.color AS platform_color
+FROM profiles p JOIN accounts a ON a.id = p.account_id JOIN platforms pl ON pl.id = a.platform_id
+"""
+
+
+def _reminder_msg() -> str:
+    return (
+        "'Hola *' || client_name || '*\nTe recuerdo que tu cuenta de *' || platform_name || '* vence en *' || "
+        "CASE WHEN days_left = 1 THEN '1 día' ELSE CAST(days_left AS VARCHAR) || ' días' END || "
+        "'*. Puedes renovar cuando gustes.\n\n¡Estamos para ayudarte!'"
+    )
+
+
+def _expiry_msg() -> str:
+    return (
+        "'Hola ' || client_name || '\nTu cuenta de *' || platform_name || "
+        "'* vence *hoy*.\nPara no perder el acceso, por favor renueva lo antes posible. \n\n¡Gracias!'"
+    )
+
+
+def _outbox(msg: str, cond: str) -> str:
+    return f"""
+SELECT profile_id, account_id, client_whatsapp, days_left, message, {link('client_whatsapp', 'message')} AS link
+FROM (
+  SELECT id AS profile_id, account_id, client_whatsapp, days_left, {msg} AS message
+  FROM (SELECT *, expiry_date - {AS_OF} AS days_left FROM ({_LIVE}) WHERE is_active = true AND client_whatsapp <> '')
+  WHERE {cond}
+)
+"""
+
+
+REMINDER_OUTBOX = _outbox(_reminder_msg(), "days_left > 0")
+EXPIRY_OUTBOX = _outbox(_expiry_msg(), "days_left <= 0")
+
+
+def renewal_msg(platform: str, email: str, profile: str, new_date: str) -> str:
+    from .functions.text import PASSWORD_PLACEHOLDER, RULE_LINE, RULES_BLOCK
+
+    rules = RULES_BLOCK.replace("'", "''")
+    return (
+        f"'*🔴' || upper({platform}) || '🔴*\n{RULE_LINE}\n📧 *CORREO:* ' || {email} || "
+        f"'\n🔑 *CONTRASEÑA:* {PASSWORD_PLACEHOLDER}\n🖥 *PERFIL:* ' || {profile} || '  *PIN:* Sin PIN\n{RULE_LINE}\n📅 *VENCE: ' || "
+        f"{long_date(new_date)} || '*\n{RULE_LINE}\n{rules}'"
+    )
+
+
+# ----------------------------------------------------------------- changes
+def _truthy_text(c: str) -> str:
+    return f"({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '')"
+
+
+def _truthy_num(c: str) -> str:
+    return f"({c} IS NOT NULL AND {c} <> 0)"
+
+
+def _text_or(c: str, default: str) -> str:
+    return f"CASE WHEN {c} IS NULL OR {c} = '' THEN '{default}' ELSE {c} END"
+
+
+def _num_or(c: str, default, typ: str) -> str:
+    return f"CAST(CASE WHEN {c} IS NULL OR {c} = 0 THEN {default} ELSE {c} END AS {typ})"
+
+
+def _new_id(table: str) -> str:
+    return f"(SELECT COALESCE(max(id), 0) FROM {table}) + (seq - (SELECT min(seq) FROM req)) + 1"
+
+
+def insert_platforms_sql(req: str, as_of: str) -> str:
+    return f""", req AS ({req})
+SELECT CAST({_new_id('platforms')} AS INTEGER) AS id, name, {_text_or('icon', '📺')} AS icon,
+       {_text_or('color', '#6c5ce7')} AS color, {_num_or('max_profiles', 5, 'INTEGER')} AS max_profiles,
+       {as_of} AS created_on
+FROM req WHERE {_truthy_text('name')}
+"""
+
+
+def insert_accounts_sql(req: str, as_of: str) -> str:
+    return f""", req AS ({req})
+SELECT CAST({_new_id('accounts')} AS BIGINT) AS id, platform_id, email, {_text_or('provider_name', '')} AS provider_name,
+       {_num_or('cost', 0, 'DECIMAL(10,2)')} AS cost, expiry_date, {as_of} AS created_on
+FROM req
+WHERE {_truthy_num('platform_id')} AND {_truthy_text('email')} AND {_truthy_text('password')}
+  AND platform_id IN (SELECT id FROM platforms)
+"""
+
+
+def _profile_insert_select(now: str) -> str:
+    return f"""CAST({_new_id('profiles')} AS BIGINT) AS id, account_id, profile_name, client_name,
+       {_text_or('client_whatsapp', '')} AS client_whatsapp, {_num_or('sale_price', 0, 'DECIMAL(10,2)')} AS sale_price,
+       expiry_date, true AS is_active, {now} AS created_at"""
+
+
+def _profile_insert_valid() -> str:
+    return (
+        f"{_truthy_num('account_id')} AND {_truthy_text('profile_name')} AND {_truthy_text('client_name')} "
+        "AND account_id IN (SELECT id FROM accounts)"
+    )
+
+
+def insert_profiles_sql(req: str, now: str) -> str:
+    return f""", req AS ({req})
+SELECT {_profile_insert_select(now)} FROM req WHERE {_profile_insert_valid()}
+"""
+
+
+def admit_within_capacity_sql(req: str, now: str) -> str:
+    return f""", req AS ({req}),
+ok AS (SELECT * FROM req WHERE {_profile_insert_valid()}),
+pos AS (
+  SELECT ok.*, ROW_NUMBER() OVER (PARTITION BY ok.account_id ORDER BY ok.seq) AS n,
+         pl.max_profiles - (SELECT COUNT(*) FROM profiles p WHERE p.account_id = ok.account_id AND p.is_active = true) AS room
+  FROM ok JOIN accounts a ON a.id = ok.account_id JOIN platforms pl ON pl.id = a.platform_id
+)
+SELECT {_profile_insert_select(now)} FROM pos WHERE n <= room
+"""
+
+
+def validate_changes_sql(req: str) -> str:
+    return f""", req AS ({req})
+SELECT *, {_truthy_num('account_id')} AND {_truthy_text('profile_name')} AND {_truthy_text('client_name')} AS valid
+FROM req
+"""
+
+
+def update_platforms_sql(req: str) -> str:
+    return f""", req AS ({req}),
+win AS (
+  SELECT * FROM req WHERE {_truthy_text('name')} AND id IN (SELECT id FROM platforms)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) = 1
+)
+SELECT p.id,
+  CASE WHEN w.id IS NULL THEN p.name ELSE w.name END AS name,
+  CASE WHEN w.id IS NULL THEN p.icon ELSE {_text_or('w.icon', '📺')} END AS icon,
+  CASE WHEN w.id IS NULL THEN p.color ELSE {_text_or('w.color', '#6c5ce7')} END AS color,
+  CASE WHEN w.id IS NULL THEN p.max_profiles ELSE {_num_or('w.max_profiles', 5, 'INTEGER')} END AS max_profiles,
+  p.created_on
+FROM platforms p LEFT JOIN win w ON w.id = p.id
+"""
+
+
+def update_accounts_sql(req: str, keep_expiry: bool) -> str:
+    expiry = "COALESCE(w.kept_expiry, a.expiry_date)" if keep_expiry else "w.expiry_date"
+    return f""", req AS ({req}),
+ok AS (SELECT * FROM req WHERE {_truthy_text('email')} AND {_truthy_text('password')} AND id IN (SELECT id FROM accounts)),
+win AS (
+  SELECT o.*, (SELECT arg_max(k.expiry_date, k.seq) FROM ok k WHERE k.id = o.id AND k.expiry_date IS NOT NULL) AS kept_expiry
+  FROM ok o QUALIFY ROW_NUMBER() OVER (PARTITION BY o.id ORDER BY o.seq DESC) = 1
+)
+SELECT a.id, a.platform_id,
+  CASE WHEN w.id IS NULL THEN a.email ELSE w.email END AS email,
+  CASE WHEN w.id IS NULL THEN a.provider_name ELSE {_text_or('w.provider_name', '')} END AS provider_name,
+  CASE WHEN w.id IS NULL THEN a.cost ELSE {_num_or('w.cost', 0, 'DECIMAL(10,2)')} END AS cost,
+  CASE WHEN w.id IS NULL THEN a.expiry_date ELSE {expiry} END AS expiry_date,
+  a.created_on
+FROM accounts a LEFT JOIN win w ON w.id = a.id
+"""
+
+
+def update_profiles_sql(req: str) -> str:
+    return f""", req AS ({req}),
+win AS (
+  SELECT * FROM req
+  WHERE {_truthy_text('profile_name')} AND {_truthy_text('client_name')}
+    AND id IN (SELECT id FROM profiles WHERE is_active = true)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) = 1
+)
+SELECT p.id, p.account_id,
+  CASE WHEN w.id IS NULL THEN p.profile_name ELSE w.profile_name END AS profile_name,
+  CASE WHEN w.id IS NULL THEN p.client_name ELSE w.client_name END AS client_name,
+  CASE WHEN w.id IS NULL THEN p.client_whatsapp ELSE {_text_or('w.client_whatsapp', '')} END AS client_whatsapp,
+  CASE WHEN w.id IS NULL THEN p.sale_price ELSE {_num_or('w.sale_price', 0, 'DECIMAL(10,2)')} END AS sale_price,
+  CASE WHEN w.id IS NULL THEN p.expiry_date ELSE w.expiry_date END AS expiry_date,
+  p.is_active, p.created_at
+FROM profiles p LEFT JOIN win w ON w.id = p.id
+"""
+
+
+def merge_profiles_sql(req: str) -> str:
+    fields = ["profile_name", "client_name", "client_whatsapp", "sale_price", "expiry_date"]
+    aggs = ", ".join(f"arg_max({f}, seq) FILTER (WHERE {f} IS NOT NULL) AS {f}" for f in fields)
+    cols = ", ".join(f"COALESCE(w.{f}, p.{f}) AS {f}" for f in fields)
+    return f""", req AS ({req}),
+win AS (SELECT id, {aggs} FROM req WHERE id IN (SELECT id FROM profiles) GROUP BY id)
+SELECT p.id, p.account_id, {cols}, p.is_active, p.created_at
+FROM profiles p LEFT JOIN win w ON w.id = p.id
+"""
+
+
+def soft_delete_sql(req: str) -> str:
+    return f""", req AS ({req})
+SELECT id, account_id, profile_name, client_name, client_whatsapp, sale_price, expiry_date,
+       CASE WHEN is_active = true AND id IN (SELECT id FROM req) THEN false ELSE is_active END AS is_active,
+       created_at
+FROM profiles
+"""
+
+
+def delete_accounts_sql(req: str) -> str:
+    return f""", req AS ({req})
+SELECT * FROM profiles WHERE account_id NOT IN (SELECT id FROM req)
+"""
+
+
+def delete_platforms_sql(req: str) -> str:
+    return f""", req AS ({req})
+SELECT * FROM profiles
+WHERE account_id NOT IN (SELECT a.id FROM accounts a WHERE a.platform_id IN (SELECT id FROM req))
+"""
+
+
+RESET_SUMMARY = """
+SELECT (SELECT COUNT(*) FROM platforms) AS total_platforms, CAST(0 AS BIGINT) AS total_accounts,
+       CAST(0 AS BIGINT) AS total_profiles, CAST(0 AS BIGINT) AS active_clients,
+       CAST(0 AS DECIMAL(18,2)) AS total_costs, CAST(0 AS DECIMAL(18,2)) AS total_revenue,
+       CAST(0 AS BIGINT) AS expired_profiles, CAST(0 AS BIGINT) AS expiring_soon_profiles,
+       CAST(0 AS BIGINT) AS expired_accounts, CAST(0 AS BIGINT) AS expiring_soon_accounts,
+       CAST(0 AS DECIMAL(18,2)) AS total_profit, CAST(0 AS BIGINT) AS expiring_soon_total
+"""
+
+_LOG_COLS = (
+    "seq, profile_id, account_id, account_email, platform_id, platform_name, platform_icon, platform_color, "
+    "profile_name, client_name, client_whatsapp"
+)
+
+
+def renew_profiles_ctes(req: str) -> str:
+    return f""", req AS ({req}),
+live AS ({_LIVE} WHERE p.is_active = true),
+ok AS (
+  SELECT r.seq, r.profile_id, r.new_expiry_date, r.sale_price AS price, l.account_id, l.account_email,
+         l.platform_id, l.platform_name, l.platform_icon, l.platform_color, l.profile_name, l.client_name,
+         l.client_whatsapp, l.expiry_date AS current_expiry
+  FROM req r JOIN live l ON l.id = r.profile_id
+  WHERE r.new_expiry_date IS NOT NULL
+),
+log AS (
+  SELECT {_LOG_COLS},
+    COALESCE(LAG(new_expiry_date) OVER (PARTITION BY profile_id ORDER BY seq), current_expiry) AS old_expiry_date,
+    new_expiry_date, CAST(COALESCE(price, 0) AS DECIMAL(10,2)) AS sale_price, 'profile' AS renewal_type,
+    {{now}} AS created_at
+  FROM ok
+)
+"""
+
+
+def renew_profiles_sql(req: str, now: str) -> str:
+    return renew_profiles_ctes(req).replace("{now}", now) + "SELECT * FROM log"
+
+
+def renew_accounts_sql(req: str, now: str) -> str:
+    return f""", req AS ({req}),
+ok AS (
+  SELECT r.seq, r.account_id, r.new_expiry_date, r.renewal_cost AS price, a.email AS account_email,
+         pl.id AS platform_id, pl.name AS platform_name, pl.icon AS platform_icon, pl.color AS platform_color,
+         a.expiry_date AS current_expiry
+  FROM req r JOIN accounts a ON a.id = r.account_id JOIN platforms pl ON pl.id = a.platform_id
+  WHERE r.new_expiry_date IS NOT NULL
+)
+SELECT seq, CAST(NULL AS BIGINT) AS profile_id, account_id, account_email, platform_id, platform_name,
+       platform_icon, platform_color, '' AS profile_name, '' AS client_name, '' AS client_whatsapp,
+       COALESCE(LAG(new_expiry_date) OVER (PARTITION BY account_id ORDER BY seq), current_expiry) AS old_expiry_date,
+       new_expiry_date, CAST(COALESCE(price, 0) AS DECIMAL(10,2)) AS sale_price, 'account' AS renewal_type,
+       {now} AS created_at
+FROM ok
+"""
+
+
+def renewal_outbox_sql(req: str, now: str) -> str:
+    msg = renewal_msg("l.platform_name", "l.account_email", "l.profile_name", "g.new_expiry_date")
+    return (
+        renew_profiles_ctes(req).replace("{now}", now)
+        + f"""
+SELECT seq, profile_id, client_whatsapp, message, {link('client_whatsapp', 'message')} AS link
+FROM (
+  SELECT g.seq, g.profile_id, l.client_whatsapp, {msg} AS message
+  FROM log g JOIN ({_LIVE}) l ON l.id = g.profile_id
+  WHERE l.client_whatsapp <> ''
+)
+"""
+    )
+
+
+def renewal_target_sql(req: str, as_of: str) -> str:
+    return f""", req AS ({req})
+SELECT r.seq, r.id, CAST(r.days AS INTEGER) AS days,
+  CASE WHEN r.days IS NULL OR r.days <= 0 OR p.id IS NULL THEN NULL
+       ELSE greatest(COALESCE(p.expiry_date, {as_of}), {as_of}) + CAST(r.days AS INTEGER) END AS new_expiry_date,
+  CASE WHEN r.days IS NULL OR r.days <= 0 THEN 'invalid_days' WHEN p.id IS NULL THEN 'not_found' END AS reason
+FROM req r LEFT JOIN (SELECT * FROM profiles WHERE is_active = true) p ON p.id = r.id
+"""
+
+
+def seed_defaults_sql(as_of: str) -> str:
+    from .sources.schema import DEFAULT_PLATFORMS
+
+    vals = ", ".join(f"({i + 1}, '{n}', '{ic}', '{c}', {m})" for i, (n, ic, c, m) in enumerate(DEFAULT_PLATFORMS))
+    return f"""
+SELECT * FROM platforms
+UNION ALL
+SELECT CAST(id AS INTEGER), name, icon, color, CAST(max_profiles AS INTEGER), {as_of}
+FROM (VALUES {vals}) d(id, name, icon, color, max_profiles)
+WHERE NOT EXISTS (SELECT 1 FROM platforms)
+"""
+
+
+CONFORM_SCHEMA = """
+SELECT profile_id, CAST(NULL AS BIGINT) AS account_id, CAST(NULL AS INTEGER) AS platform_id,
+       '' AS account_email, '' AS platform_name, '' AS profile_name, '' AS client_name, '' AS client_whatsapp,
+       '' AS platform_icon, '' AS platform_color, CAST(NULL AS DATE) AS old_expiry_date, new_expiry_date,
+       sale_price, 'profile' AS renewal_type, created_at
+FROM renewals
+"""
