@@ -70,7 +70,7 @@ def is_full(count: Column | str, max_profiles: Column | str) -> Column:
 # ------------------------------------------------------------------ dates
 def date_prefix(text: Column | str) -> Column:
     """F8 for text input: the leading yyyy-MM-dd, null when absent or invalid."""
-    return F.try_to_date(F.regexp_extract(_c(text).cast("string"), r"^\d{4}-\d{2}-\d{2}", 0), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.regexp_extract(_c(text).cast("string"), r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd")
 
 
 def days_until(date: Column | str, as_of: dt.date | str) -> Column:
