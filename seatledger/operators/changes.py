@@ -34,6 +34,7 @@ from ..model import (
     ntz,
 )
 from ..plans.sequence import previous_in_key, rank_in_key
+from ..session import ensure_checkpoint_dir
 from .reports import _profiles_with_labels
 from .rollups import profiles_per_account
 
@@ -90,9 +91,18 @@ def _need(req: DataFrame, *names: str) -> Column:
     return cond
 
 
-def _split(req: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
-    """Tag each request with a reason (null = accepted) and split."""
+def _split(req: DataFrame, reason: Column, checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tag each request with a reason (null = accepted) and split.
+
+    With ``checkpoint`` the tagged requests (already joined to the live rows
+    they change) are written once to the shared checkpoint folder, so the
+    several outputs of a change (log rows, new table, rejections) read them
+    instead of repeating the join, and a lost executor does not recompute it.
+    """
     tagged = req.withColumn("reason", reason)
+    if checkpoint:
+        ensure_checkpoint_dir(tagged.sparkSession)
+        tagged = tagged.checkpoint(eager=True)
     ok = tagged.where(F.col("reason").isNull()).drop("reason")
     bad = tagged.where(F.col("reason").isNotNull())
     return ok, bad
@@ -371,7 +381,9 @@ def _set_expiry(table: DataFrame, valid: DataFrame, key: str) -> DataFrame:
     return j.select(*cols)
 
 
-def renew_profiles(t: Tables, req: DataFrame, now: dt.datetime, price_default: str = "zero") -> ChangeResult:
+def renew_profiles(
+    t: Tables, req: DataFrame, now: dt.datetime, price_default: str = "zero", checkpoint: bool = True
+) -> ChangeResult:
     """Set each active profile's expiry and append a 'profile' log row.
 
     The log row snapshots the live labels, the date before and after and the
@@ -405,6 +417,7 @@ def renew_profiles(t: Tables, req: DataFrame, now: dt.datetime, price_default: s
     ok, bad = _split(
         r,
         F.when(F.col("new_expiry_date").isNull(), F.lit(MISSING_FIELD)).when(F.col("__found").isNull(), F.lit(NOT_FOUND)),
+        checkpoint,
     )
     ok = previous_in_key(ok, "profile_id", "seq", "new_expiry_date", "__prev")
     # 'price || 0' (missing or 0 gives 0); the older rule keeps the profile's price
@@ -437,7 +450,7 @@ def renew_profiles(t: Tables, req: DataFrame, now: dt.datetime, price_default: s
     )
 
 
-def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime) -> ChangeResult:
+def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime, checkpoint: bool = True) -> ChangeResult:
     """Set each account's expiry and append an 'account' log row.
 
     The price of the log row is the renewal cost (0 when missing); profile
@@ -468,6 +481,7 @@ def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime) -> ChangeResult:
     ok, bad = _split(
         r,
         F.when(F.col("new_expiry_date").isNull(), F.lit(MISSING_FIELD)).when(F.col("__found").isNull(), F.lit(NOT_FOUND)),
+        checkpoint,
     )
     ok = previous_in_key(ok, "account_id", "seq", "new_expiry_date", "__prev")
     rows = ok.select(

@@ -81,6 +81,7 @@ def summary(t: Tables, as_of: dt.date) -> DataFrame:
         *counts[4:],
         money(revenue - costs).alias("total_profit"),
         (F.col("expiring_soon_profiles") + F.col("expiring_soon_accounts")).alias("expiring_soon_total"),
+        (revenue >= costs).alias("profit_non_negative"),
     )
 
 

@@ -107,7 +107,8 @@ SUMMARY = f"""
 SELECT total_platforms, total_accounts, total_profiles, active_clients, total_costs, total_revenue,
        expired_profiles, expiring_soon_profiles, expired_accounts, expiring_soon_accounts,
        CAST(total_revenue - total_costs AS {M}) AS total_profit,
-       expiring_soon_profiles + expiring_soon_accounts AS expiring_soon_total
+       expiring_soon_profiles + expiring_soon_accounts AS expiring_soon_total,
+       total_revenue >= total_costs AS profit_non_negative
 FROM (
   SELECT
     (SELECT COUNT(*) FROM platforms) AS total_platforms,
@@ -667,7 +668,8 @@ SELECT (SELECT COUNT(*) FROM platforms) AS total_platforms, CAST(0 AS BIGINT) AS
        CAST(0 AS DECIMAL(18,2)) AS total_costs, CAST(0 AS DECIMAL(18,2)) AS total_revenue,
        CAST(0 AS BIGINT) AS expired_profiles, CAST(0 AS BIGINT) AS expiring_soon_profiles,
        CAST(0 AS BIGINT) AS expired_accounts, CAST(0 AS BIGINT) AS expiring_soon_accounts,
-       CAST(0 AS DECIMAL(18,2)) AS total_profit, CAST(0 AS BIGINT) AS expiring_soon_total
+       CAST(0 AS DECIMAL(18,2)) AS total_profit, CAST(0 AS BIGINT) AS expiring_soon_total,
+       true AS profit_non_negative
 """
 
 _LOG_COLS = (
