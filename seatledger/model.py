@@ -75,6 +75,10 @@ RENEWALS = T.StructType(
     ]
 )
 
+# Stored logs are partitioned by this month label (yyyy-MM of created_at);
+# operators keep it out of their results and use it for partition pruning.
+LOG_PARTITION = "created_month"
+
 # Column defaults of the original tables.
 DEFAULT_ICON = "📺"
 DEFAULT_COLOR = "#6c5ce7"

@@ -26,6 +26,7 @@ from ..model import (
     DEFAULT_COLOR,
     DEFAULT_ICON,
     DEFAULT_MAX_PROFILES,
+    LOG_PARTITION,
     MONEY,
     RENEWAL_ACCOUNT,
     RENEWAL_PROFILE,
@@ -366,10 +367,15 @@ def reset_data(t: Tables) -> Tables:
 
 # ---------------------------------------------------------------- renewals
 def _log_rows(rows: DataFrame, renewals: DataFrame) -> DataFrame:
-    """Shape new log rows like the log (extra log columns become null)."""
+    """Shape new log rows like the log (extra log columns become null; the
+    month partition column, when the log has one, is derived)."""
     cols = []
     for f in renewals.schema.fields:
-        cols.append((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name))
+        if f.name == LOG_PARTITION:
+            c = F.date_format("created_at", "yyyy-MM")
+        else:
+            c = F.col(f.name) if f.name in rows.columns else F.lit(None)
+        cols.append(c.cast(f.dataType).alias(f.name))
     return rows.select(*cols)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..model import RENEWAL_ACCOUNT, Tables, money_sum
+from ..model import LOG_PARTITION, RENEWAL_ACCOUNT, Tables, money_sum
 from ..plans.joins import dimension, left_join_spread_nulls, pick_keys
 from ..session import ensure_checkpoint_dir
 
@@ -67,6 +67,17 @@ def monthly_by_type(t: Tables, n: int = MONTHS) -> DataFrame:
 
 
 # ------------------------------------------------------------------- R14
+def month_range(date_from: str | None, date_to: str | None) -> F.Column:
+    """Predicate on the log's month partition column implied by a date range."""
+    m = F.col(LOG_PARTITION)
+    cond = F.lit(True)
+    if date_from:
+        cond = cond & (m >= F.lit(str(date_from)[:7]))
+    if date_to:
+        cond = cond & (m <= F.lit(str(date_to)[:7]))
+    return cond
+
+
 def history_order(columns: list[str]) -> list[F.Column]:
     """Newest first (null dates first, as the original database sorts), then
     every other log column, so that a LIMIT cuts at a well defined row."""
@@ -84,8 +95,11 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
     profile ids (account renewals) are spread so they do not meet in one task.
     A live blank value wins over a snapshot; only a missing row falls back.
     """
-    cols = t.renewals.columns
+    cols = [c for c in t.renewals.columns if c != LOG_PARTITION]
     r = t.renewals.where(P.created_between("created_at", date_from, date_to))
+    if LOG_PARTITION in t.renewals.columns:
+        # month partitions outside the range are skipped without being read
+        r = r.where(month_range(date_from, date_to)).drop(LOG_PARTITION)
     n = None if limit in (None, "") else int(limit)
     if n is not None:
         r = r.orderBy(*history_order(cols)).limit(n)

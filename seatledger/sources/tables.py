@@ -9,14 +9,15 @@ is available in this environment).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Tables
+from ..model import LOG_PARTITION, Tables
 from ..session import ensure_checkpoint_dir
 
 NAMES = ("platforms", "accounts", "profiles", "renewals")
-LOG_PARTITION = "created_month"
 
 
 def write_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
@@ -26,15 +27,21 @@ def write_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
         w = df.write.mode(mode)
         if name == "renewals":
             df = df.withColumn(LOG_PARTITION, F.date_format("created_at", "yyyy-MM"))
+            # Range partitioning clusters each month into few files (instead
+            # of one file per month per input task) and, unlike hashing on the
+            # month, splits a month holding most of the log across tasks.
+            df = df.repartitionByRange(LOG_PARTITION, "created_at", "account_id", "profile_id")
             w = df.write.mode(mode).partitionBy(LOG_PARTITION)
         w.parquet(f"{path}/{name}")
 
 
 def read_tables(spark: SparkSession, path: str) -> Tables:
-    """Read tables written by ``write_tables`` (the month column is dropped)."""
-    dfs = {name: spark.read.parquet(f"{path}/{name}") for name in NAMES}
-    dfs["renewals"] = dfs["renewals"].drop(LOG_PARTITION)
-    return Tables(**dfs)
+    """Read tables written by ``write_tables``.
+
+    The log keeps its month partition column, so that time-bounded reports
+    prune whole months before reading a file.
+    """
+    return Tables(**{name: spark.read.parquet(f"{path}/{name}") for name in NAMES})
 
 
 def materialize(spark: SparkSession, t: Tables, label: str) -> Tables:
@@ -45,7 +52,7 @@ def materialize(spark: SparkSession, t: Tables, label: str) -> Tables:
     ``spark.checkpoint.dir``; never a machine-local path on a cluster.
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables-{label}"
+    path = f"{base}/tables-{label}-{uuid.uuid4().hex[:12]}"
     write_tables(t, path)
     return read_tables(spark, path)
 
