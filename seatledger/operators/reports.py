@@ -23,10 +23,6 @@ def _zero(name: str) -> F.Column:
     return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
 
 
-def _zero_money(name: str) -> F.Column:
-    return money(F.coalesce(F.col(name), F.lit(0)))
-
-
 # --------------------------------------------------------------------- R8
 def summary(t: Tables, as_of: dt.date) -> DataFrame:
     """One row with the ten measures, profit and the 'soon' card total.

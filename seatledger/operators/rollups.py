@@ -56,13 +56,13 @@ def accounts_with_profiles(accounts: DataFrame, profiles: DataFrame, as_of: dt.d
     zero_cols = ["n_profiles", "n_active"] + (["n_expired", "n_soon"] if as_of is not None else [])
     return out.fillna(0, subset=zero_cols).withColumns(
         {
-            "revenue_all": money_sum_fill("revenue_all"),
-            "revenue_active": money_sum_fill("revenue_active"),
+            "revenue_all": _zero_money("revenue_all"),
+            "revenue_active": _zero_money("revenue_active"),
         }
     )
 
 
-def money_sum_fill(name: str):
+def _zero_money(name: str) -> F.Column:
     """A pre-aggregated money column after an outer join: null becomes 0."""
     return money(F.coalesce(F.col(name), F.lit(0)))
 

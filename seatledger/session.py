@@ -14,6 +14,30 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Settings the operators are designed around, for a cluster session (pass them
+# to the builder or spark-submit). Shuffle partitions start high and AQE
+# coalesces them to ~advisory size; skewed join partitions are split.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.ui.enabled": "false",
+}
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 * 1024**2, floor: int = 200) -> int:
+    """Initial shuffle partitions so each holds about ``target_bytes`` of input
+    (AQE coalesces small ones at run time)."""
+    return max(floor, -(-input_bytes // target_bytes))
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "seatledger") -> SparkSession:
     """A local session configured like the cluster one (AQE, skew join, UTC)."""

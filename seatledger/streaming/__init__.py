@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The original application has no streams, event-time windows, watermarks or
+per-key state: its only time-indexed data is the append-only renewal log,
+written one request at a time. Those writes are re-aimed as change batches
+(``seatledger.operators.changes``), which a Structured Streaming
+``foreachBatch`` sink can call unchanged if requests ever arrive as a stream.
+No streaming operator is provided because none exists to reproduce.
+"""
