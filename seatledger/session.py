@@ -70,7 +70,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
         current = tempfile.mkdtemp(prefix="seatledger-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set(CHECKPOINT_KEY, current)
+        except Exception:  # noqa: BLE001 - a core setting may be read-only at run time
+            pass
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions: the server owns the folder
+        return current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
