@@ -44,20 +44,20 @@ def left_join_spread_nulls(
     """``left LEFT JOIN right ON left.left_key = right.right_key``.
 
     Rows with a null ``left_key`` can never match, but hash partitioning would
-    send all of them to one task. They get a salt derived from their own
-    columns (deterministic, so a recomputed task routes rows the same way); all
-    other rows and the whole right side use salt 0. The right side keeps only
-    its columns; the salt columns are dropped again.
+    send all of them to one task. They are joined on a surrogate key instead:
+    one of ``buckets`` values derived from their own columns (deterministic,
+    so a recomputed task routes rows the same way). The extra condition
+    ``left_key IS NOT NULL`` keeps the result exact whatever ids the right
+    side holds. The surrogate is an expression of the left rows, not a
+    constant, so the optimizer keeps it in the join keys (a constant salt on
+    the right side would be folded out of them).
     """
-    salt = "__salt"
-    spread = F.when(
-        F.col(left_key).isNull(),
-        F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets)) + 1,
-    ).otherwise(F.lit(0))
-    lhs = left.withColumn(salt, spread)
-    rhs = right.withColumn(salt + "_r", F.lit(0))
-    cond = (lhs[left_key] == rhs[right_key]) & (lhs[salt] == rhs[salt + "_r"])
-    return lhs.join(rhs, cond, "left").drop(salt, salt + "_r")
+    jk = "__join_key"
+    kt = left.schema[left_key].dataType
+    spread = (F.lit(-1) - F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets))).cast(kt)
+    lhs = left.withColumn(jk, F.coalesce(F.col(left_key), spread))
+    cond = (lhs[jk] == right[right_key]) & lhs[left_key].isNotNull()
+    return lhs.join(right, cond, "left").drop(jk)
 
 
 def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:

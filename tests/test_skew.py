@@ -31,16 +31,22 @@ def test_spread_nulls_equals_plain_left_join(spark):
     got = left_join_spread_nulls(left, right, "k", "id", salt_cols=["rid", "v"], buckets=16)
     assert got.count() == left.count()
     assert _rows(got) == _rows(want)
-    assert "__salt" not in got.columns
+    assert "__join_key" not in got.columns
 
 
-def test_null_rows_land_in_many_partitions(spark):
-    left, _ = _data(spark)
-    salted = left.where(F.col("k").isNull()).withColumn(
-        "s", F.pmod(F.xxhash64("rid", "v"), F.lit(16)) + 1
-    ).repartition(16, "k", "s")
-    parts = salted.select(F.spark_partition_id().alias("p")).distinct().count()
-    assert parts > 8
+def test_null_keys_are_join_keys_not_a_filter(spark):
+    """The surrogate must stay in the shuffle keys (a constant would be folded)."""
+    left, right = _data(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = left_join_spread_nulls(left, right, "k", "id", salt_cols=["rid", "v"], buckets=16)
+        text = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [__join_key" in text
+    keys = left.select(F.coalesce("k", F.lit(-1) - F.pmod(F.xxhash64("rid", "v"), F.lit(16))).alias("j"))
+    nulls = keys.where("j < 0").repartition(16, "j")
+    assert nulls.select(F.spark_partition_id()).distinct().count() > 8
 
 
 def test_dimension_bound(spark):
