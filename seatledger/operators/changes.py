@@ -34,6 +34,7 @@ from ..model import (
     empty_like,
     ntz,
 )
+from ..plans.joins import left_join_spread_nulls
 from ..plans.sequence import previous_in_key, rank_in_key
 from ..session import ensure_checkpoint_dir
 from .reports import _profiles_with_labels
@@ -110,9 +111,12 @@ def _split(req: DataFrame, reason: Column, checkpoint: bool = False) -> tuple[Da
 
 
 def _exists(req: DataFrame, fk: str, parent: DataFrame, flag: str = "__found") -> DataFrame:
-    """Left join a presence flag of ``parent.id`` on ``req.fk`` (ids are unique)."""
+    """Left join a presence flag of ``parent.id`` on ``req.fk`` (ids are unique).
+
+    Requests without a key (invalid anyway) are spread, not sent to one task.
+    """
     keys = parent.select(F.col("id").alias(fk), F.lit(True).alias(flag))
-    return req.join(keys, fk, "left")
+    return left_join_spread_nulls(req, keys, fk, fk, salt_cols=["seq"])
 
 
 def new_ids(existing: DataFrame, req: DataFrame) -> Column:
@@ -419,7 +423,8 @@ def renew_profiles(
         F.col("profile_id").cast("bigint"),
         F.col("new_expiry_date").cast("date"),
         _opt(req, "sale_price", MONEY.simpleString()).alias("__price"),
-    ).join(live, "profile_id", "left")
+    )
+    r = left_join_spread_nulls(r, live, "profile_id", "profile_id", salt_cols=["seq"])
     ok, bad = _split(
         r,
         F.when(F.col("new_expiry_date").isNull(), F.lit(MISSING_FIELD)).when(F.col("__found").isNull(), F.lit(NOT_FOUND)),
@@ -483,7 +488,8 @@ def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime, checkpoint: bool
         F.col("account_id").cast("bigint"),
         F.col("new_expiry_date").cast("date"),
         _opt(req, "renewal_cost", MONEY.simpleString()).alias("__price"),
-    ).join(live, "account_id", "left")
+    )
+    r = left_join_spread_nulls(r, live, "account_id", "account_id", salt_cols=["seq"])
     ok, bad = _split(
         r,
         F.when(F.col("new_expiry_date").isNull(), F.lit(MISSING_FIELD)).when(F.col("__found").isNull(), F.lit(NOT_FOUND)),
@@ -531,8 +537,12 @@ def renewal_target_date(t: Tables, req: DataFrame, as_of: dt.date, kind: str = R
         base_tbl = t.accounts.select("id", "expiry_date")
     else:
         base_tbl = t.profiles.where(P.is_active()).select("id", "expiry_date")
-    r = req.select("seq", F.col("id").cast("bigint").alias("id"), "days").join(
-        base_tbl.withColumn("__found", F.lit(True)), "id", "left"
+    r = left_join_spread_nulls(
+        req.select("seq", F.col("id").cast("bigint").alias("id"), "days"),
+        base_tbl.withColumn("__found", F.lit(True)),
+        "id",
+        "id",
+        salt_cols=["seq"],
     )
     if kind == RENEWAL_ACCOUNT:
         base = today

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..model import LOG_PARTITION, RENEWAL_ACCOUNT, Tables, money_sum
-from ..plans.joins import dimension, left_join_spread_nulls, pick_keys
+from ..plans.joins import left_join_dimension, left_join_spread_nulls, pick_keys
 from ..session import ensure_checkpoint_dir
 
 DAILY_DATES = 30  # fixed value: newest dates shown by the sales report
@@ -120,10 +120,11 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
         p = pick_keys(p, "__p_id", r, "profile_id")
         a = pick_keys(a, "__a_id", r, "account_id")
         j = r.join(p, r["profile_id"] == p["__p_id"], "left")
+        j = j.join(a, j["account_id"] == a["__a_id"], "left")
     else:
         j = left_join_spread_nulls(r, p, "profile_id", "__p_id", salt_cols=cols)
-    j = j.join(a, j["account_id"] == a["__a_id"], "left")
-    j = j.join(dimension(pl), j["platform_id"] == pl["__pl_id"], "left")
+        j = left_join_spread_nulls(j, a, "account_id", "__a_id", salt_cols=cols)
+    j = left_join_dimension(j, pl, "platform_id", "__pl_id", salt_cols=cols)
 
     live = {
         "profile_name": ("__p_id", "__p_profile_name"),

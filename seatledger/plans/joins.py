@@ -52,12 +52,25 @@ def left_join_spread_nulls(
     constant, so the optimizer keeps it in the join keys (a constant salt on
     the right side would be folded out of them).
     """
-    jk = "__join_key"
+    jk, rk = "__join_key", "__right_key"
     kt = left.schema[left_key].dataType
     spread = (F.lit(-1) - F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets))).cast(kt)
     lhs = left.withColumn(jk, F.coalesce(F.col(left_key), spread))
-    cond = (lhs[jk] == right[right_key]) & lhs[left_key].isNotNull()
-    return lhs.join(right, cond, "left").drop(jk)
+    same = left_key == right_key
+    rhs = right.withColumnRenamed(right_key, rk) if same else right
+    cond = (lhs[jk] == rhs[rk if same else right_key]) & lhs[left_key].isNotNull()
+    out = lhs.join(rhs, cond, "left").drop(jk)
+    return out.drop(rk) if same else out
+
+
+def left_join_dimension(
+    left: DataFrame, dim: DataFrame, left_key: str, right_key: str, salt_cols: list[str], max_rows: int = DIMENSION_MAX_ROWS
+) -> DataFrame:
+    """Left join to a dimension: broadcast when its size is within the bound
+    (null keys cost nothing there), else the null-spreading shuffle join."""
+    if dim.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(dim), left[left_key] == dim[right_key], "left")
+    return left_join_spread_nulls(left, dim, left_key, right_key, salt_cols)
 
 
 def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
