@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..model import RENEWAL_ACCOUNT, RENEWAL_PROFILE, Tables
-from .lists import _account_revenue
 from .reports import _profiles_with_labels, platform_report
+from .rollups import profiles_per_account
 
 
 def _with_phone_and_days(t: Tables, as_of: dt.date) -> DataFrame:
@@ -89,7 +89,9 @@ def expiry_buckets(t: Tables, as_of: dt.date) -> DataFrame:
 
 def account_occupancy(t: Tables) -> DataFrame:
     """active profiles against the platform's max_profiles, per account."""
-    acc = _account_revenue(t, t.accounts).select("id", "platform_id", "profile_count")
+    per = profiles_per_account(t.profiles).select(F.col("account_id").alias("id"), "n_active")
+    acc = t.accounts.select("id", "platform_id").join(per, "id", "left")
+    acc = acc.select("id", "platform_id", F.coalesce(F.col("n_active"), F.lit(0)).cast("bigint").alias("profile_count"))
     pl = t.platforms.select(F.col("id").alias("platform_id"), "max_profiles")
     j = acc.join(pl, "platform_id")
     return j.select(
