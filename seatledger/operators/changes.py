@@ -36,7 +36,7 @@ from ..model import (
 )
 from ..plans.joins import left_join_spread_nulls
 from ..plans.sequence import previous_in_key, rank_in_key
-from ..session import ensure_checkpoint_dir
+from ..sources.tables import stage
 from .reports import _profiles_with_labels
 from .rollups import profiles_per_account
 
@@ -97,14 +97,14 @@ def _split(req: DataFrame, reason: Column, checkpoint: bool = False) -> tuple[Da
     """Tag each request with a reason (null = accepted) and split.
 
     With ``checkpoint`` the tagged requests (already joined to the live rows
-    they change) are written once to the shared checkpoint folder, so the
+    they change) are written once as Parquet to the shared checkpoint folder
+    (``stage``), so the
     several outputs of a change (log rows, new table, rejections) read them
     instead of repeating the join, and a lost executor does not recompute it.
     """
     tagged = req.withColumn("reason", reason)
     if checkpoint:
-        ensure_checkpoint_dir(tagged.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
+        tagged = stage(tagged, "requests")
     ok = tagged.where(F.col("reason").isNull()).drop("reason")
     bad = tagged.where(F.col("reason").isNotNull())
     return ok, bad

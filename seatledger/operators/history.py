@@ -9,7 +9,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..model import LOG_PARTITION, RENEWAL_ACCOUNT, Tables, money_sum
 from ..plans.joins import left_join_dimension, left_join_spread_nulls, pick_keys
-from ..session import ensure_checkpoint_dir
+from ..sources.tables import stage
 
 DAILY_DATES = 30  # fixed value: newest dates shown by the sales report
 MONTHS = 12  # fixed value: newest months shown by the monthly report
@@ -115,8 +115,7 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
     if n is not None and n <= HISTORY_BROADCAST_LIMIT:
         # the selected rows (at most n) are computed once, written to the
         # shared checkpoint folder and reused by the three key lookups
-        ensure_checkpoint_dir(r.sparkSession)
-        r = r.checkpoint(eager=True)
+        r = stage(r, "history")
         p = pick_keys(p, "__p_id", r, "profile_id")
         a = pick_keys(a, "__a_id", r, "account_id")
         j = r.join(p, r["profile_id"] == p["__p_id"], "left")

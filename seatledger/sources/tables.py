@@ -57,6 +57,21 @@ def materialize(spark: SparkSession, t: Tables, label: str) -> Tables:
     return read_tables(spark, path)
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()``, but the plan runs once (an eager RDD
+    checkpoint computes it for the count and again for the files), the files
+    are columnar and compressed, and later readers prune columns and push
+    filters into them. The folder is the session's ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/stage-{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_tables_jdbc(
     spark: SparkSession,
     url: str,

@@ -51,6 +51,6 @@ def test_dimension_is_broadcast(tables):
 
 
 def test_history_limit_scans_the_log_once(tables):
-    # the bounded selection is checkpointed; the lookups read it, not the log
+    # the bounded selection is staged as Parquet; the lookups read it, not the log
     text = plan(H.renewal_history(tables, limit=100))
     assert "lineitem.parquet" not in text and "TakeOrderedAndProject" not in text
