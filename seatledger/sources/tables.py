@@ -27,10 +27,12 @@ def write_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
         w = df.write.mode(mode)
         if name == "renewals":
             df = df.withColumn(LOG_PARTITION, F.date_format("created_at", "yyyy-MM"))
-            # Range partitioning clusters each month into few files (instead
-            # of one file per month per input task) and, unlike hashing on the
-            # month, splits a month holding most of the log across tasks.
-            df = df.repartitionByRange(LOG_PARTITION, "created_at", "account_id", "profile_id")
+            # Rebalance on the month: each month lands in few files (instead of
+            # one file per month per input task), small months are coalesced,
+            # and AQE splits a month that holds most of the log into
+            # advisory-sized pieces. One pass: unlike range partitioning, no
+            # sampling job recomputes the input first.
+            df = df.hint("rebalance", LOG_PARTITION)
             w = df.write.mode(mode).partitionBy(LOG_PARTITION)
         w.parquet(f"{path}/{name}")
 

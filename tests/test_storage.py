@@ -46,3 +46,37 @@ def test_log_append_fills_month(both):
     res = C.renew_accounts(stored, Q.renew_accounts_req(stored), Q.NOW)
     new = res.tables.renewals.where("created_at = timestamp_ntz'2000-01-01 12:00:00'")
     assert {r["created_month"] for r in new.select("created_month").distinct().collect()} == {"2000-01"}
+
+
+def test_hot_month_is_split_across_files(spark):
+    """A month holding 40% of the log is written by several tasks, rows whole."""
+    import glob
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from seatledger.sources.tables import read_tables, stage, write_tables
+
+    t = bind_tables(spark, "/root/testdata/sf0.01", AS_OF)
+    hot = F.pmod(F.xxhash64("created_at", "new_expiry_date", "sale_price", "profile_id"), F.lit(10)) < 4
+    log = t.renewals.withColumn("created_at", F.when(hot, F.lit("1999-01-15 10:00:00").cast("timestamp_ntz")).otherwise(F.col("created_at")))
+    # the log in several files, read by several tasks, as on a cluster
+    log = stage(log.repartition(8), "hot-month-input")
+    conf = {
+        "spark.sql.files.maxPartitionBytes": "256k",
+        "spark.sql.files.openCostInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/hot-month-{uuid.uuid4().hex[:8]}"
+    try:
+        write_tables(t.with_(renewals=log), path)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    files = glob.glob(f"{path}/renewals/created_month=1999-01/*.parquet")
+    assert len(files) > 1
+    back = read_tables(spark, path).renewals
+    assert back.count() == t.renewals.count()
+    assert back.where("created_month = '1999-01'").count() == log.where(F.date_format("created_at", "yyyy-MM") == "1999-01").count()
