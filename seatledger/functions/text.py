@@ -51,7 +51,7 @@ def money_text(c: Column | str) -> Column:
     integer digits on (CLDR minimum grouping digits of 'es'): 1234,50 and
     12.345,67. Null and non-numbers show as 0,00.
     """
-    x = F.coalesce(_c(c).cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
+    x = F.coalesce(_c(c).cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
     plain = F.translate(F.call_function("format_number", x, F.lit("0.00")), ".", ",")
     grouped = F.translate(F.format_number(x, 2), ",.", ".,")
     return F.concat(F.lit("$"), F.when(F.abs(x) < 10000, plain).otherwise(grouped))

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
-# every money expression ends in this type, in Spark and in the DuckDB oracle
-MONEY_OUT = T.DecimalType(18, 2)
+# every money expression ends in this type, in Spark and in the DuckDB oracle.
+# 38 digits: totals over a whole business grow with the data (the sum of
+# 10^12 prices of up to 10^8 would overflow 18 digits), and DuckDB's sum of
+# DECIMAL(10,2) is DECIMAL(38,2) already.
+MONEY_OUT = T.DecimalType(38, 2)
 
 PLATFORMS = T.StructType(
     [
@@ -107,7 +110,7 @@ def money(c: Column | str) -> Column:
 
 
 def money_sum(c: Column | str) -> Column:
-    """``coalesce(sum(c), 0)`` as decimal(18,2): zero on empty input."""
+    """``coalesce(sum(c), 0)`` as decimal(38,2): zero on empty input."""
     c = F.col(c) if isinstance(c, str) else c
     return money(F.coalesce(F.sum(c), F.lit(0)))
 

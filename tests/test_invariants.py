@@ -96,3 +96,18 @@ def test_uri_component_property(spark, texts):
     df = spark.createDataFrame([(s,) for s in clean], "s string")
     got = [r[0] for r in df.select(X.uri_component("s")).collect()]
     assert got == [urllib.parse.quote(s, safe="-_.!~*'()") for s in clean]
+
+
+def test_money_totals_beyond_eighteen_digits(spark):
+    """Totals over a whole business exceed 10^16; they must not overflow (ANSI)."""
+    from seatledger.model import money, money_sum
+
+    big = D("99999999.99")
+    df = spark.createDataFrame([(big,)], "x decimal(10,2)")
+    # 10^12 such prices, as a 100 TB log could hold
+    tot = df.select(money(F.col("x") * F.lit(10**12).cast("decimal(13,0)")).alias("t"))
+    assert tot.collect()[0]["t"] == big * 10**12
+    s = df.select(money_sum("x").alias("s")).collect()[0]["s"]
+    assert s == big
+    txt = tot.select(X.money_text("t").alias("m")).collect()[0]["m"]
+    assert txt.startswith("$99.999.999.990.000.000.000") and txt.endswith(",00")
