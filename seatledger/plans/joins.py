@@ -76,7 +76,14 @@ def left_join_dimension(
 def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in a bounded key frame (broadcast semi join).
 
-    Callers pass only key frames with a proven bound (e.g. after a LIMIT).
+    Callers pass only key frames with a proven bound (e.g. after a LIMIT),
+    best already written out (``stage``). The lowest and highest key (two
+    scalars from one small aggregate) become a literal range predicate, so
+    the scan of ``df`` skips Parquet row groups outside it; serial ids keep
+    recent rows together, so a page of recent keys reads a small part.
     """
     k = keys.select(F.col(keys_col).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return df.join(F.broadcast(k), key, "left_semi")
+    lo, hi = keys.agg(F.min(keys_col), F.max(keys_col)).first()
+    if lo is None:
+        return df.where(F.lit(False))
+    return df.where(F.col(key).between(F.lit(lo), F.lit(hi))).join(F.broadcast(k), key, "left_semi")

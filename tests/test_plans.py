@@ -54,3 +54,12 @@ def test_history_limit_scans_the_log_once(tables):
     # the bounded selection is staged as Parquet; the lookups read it, not the log
     text = plan(H.renewal_history(tables, limit=100))
     assert "lineitem.parquet" not in text and "TakeOrderedAndProject" not in text
+
+
+def test_history_lookups_push_a_key_range(tables):
+    # the at most `limit` picked keys bound the lookups' scans by id range
+    df = H.renewal_history(tables, limit=100)
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)  # full filter lists
+    assert "GreaterThanOrEqual(o_orderkey" in text and "LessThanOrEqual(o_orderkey" in text
+    assert "GreaterThanOrEqual(c_custkey" in text and "LessThanOrEqual(c_custkey" in text
