@@ -116,8 +116,10 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
         # the selected rows (at most n) are computed once, written to the
         # shared checkpoint folder and reused by the three key lookups
         r = stage(r, "history")
-        p = pick_keys(p, "__p_id", r, "profile_id")
-        a = pick_keys(a, "__a_id", r, "account_id")
+        # key ranges of both lookups from one small aggregate over the staged rows
+        b = r.agg(F.min("profile_id"), F.max("profile_id"), F.min("account_id"), F.max("account_id")).first()
+        p = pick_keys(p, "__p_id", r, "profile_id", bounds=(b[0], b[1]))
+        a = pick_keys(a, "__a_id", r, "account_id", bounds=(b[2], b[3]))
         j = r.join(p, r["profile_id"] == p["__p_id"], "left")
         j = j.join(a, j["account_id"] == a["__a_id"], "left")
     else:

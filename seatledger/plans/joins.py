@@ -73,7 +73,7 @@ def left_join_dimension(
     return left_join_spread_nulls(left, dim, left_key, right_key, salt_cols)
 
 
-def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
+def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, bounds: tuple | None = None) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in a bounded key frame (broadcast semi join).
 
     Callers pass only key frames with a proven bound (e.g. after a LIMIT),
@@ -81,9 +81,10 @@ def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFr
     scalars from one small aggregate) become a literal range predicate, so
     the scan of ``df`` skips Parquet row groups outside it; serial ids keep
     recent rows together, so a page of recent keys reads a small part.
+    ``bounds`` (lowest, highest) may be given when the caller has them.
     """
     k = keys.select(F.col(keys_col).alias(key)).where(F.col(key).isNotNull()).distinct()
-    lo, hi = keys.agg(F.min(keys_col), F.max(keys_col)).first()
+    lo, hi = bounds if bounds is not None else keys.agg(F.min(keys_col), F.max(keys_col)).first()
     if lo is None:
         return df.where(F.lit(False))
     return df.where(F.col(key).between(F.lit(lo), F.lit(hi))).join(F.broadcast(k), key, "left_semi")
