@@ -37,7 +37,7 @@ from ..model import (
 from ..plans.joins import left_join_spread_nulls
 from ..plans.sequence import previous_in_key, rank_in_key
 from ..sources.tables import stage
-from .reports import _profiles_with_labels
+from .reports import _accounts_with_platform
 from .rollups import profiles_per_account
 
 # Reasons given to rejected requests.
@@ -403,19 +403,24 @@ def renew_profiles(
     date. The profile's own sale_price is not changed. Log rows and the new
     expiry come from the same inputs, so they cannot disagree.
     """
-    live = _profiles_with_labels(t, t.profiles.where(P.is_active())).select(
+    # The batch meets the profiles first and only the matched requests meet
+    # the accounts: the labels of every active profile are never built.
+    prof = t.profiles.where(P.is_active()).select(
         F.col("id").alias("profile_id"),
         "account_id",
-        "account_email",
-        "platform_id",
-        "platform_name",
-        "platform_icon",
-        "platform_color",
         "profile_name",
         "client_name",
         "client_whatsapp",
         F.col("expiry_date").alias("__current"),
         F.col("sale_price").alias("__own_price"),
+    )
+    acc = _accounts_with_platform(t).select(
+        F.col("id").alias("account_id"),
+        F.col("email").alias("account_email"),
+        "platform_id",
+        "platform_name",
+        "platform_icon",
+        "platform_color",
         F.lit(True).alias("__found"),
     )
     r = req.select(
@@ -424,7 +429,10 @@ def renew_profiles(
         F.col("new_expiry_date").cast("date"),
         _opt(req, "sale_price", MONEY.simpleString()).alias("__price"),
     )
-    r = left_join_spread_nulls(r, live, "profile_id", "profile_id", salt_cols=["seq"])
+    r = left_join_spread_nulls(r, prof, "profile_id", "profile_id", salt_cols=["seq"])
+    # found = active profile whose account and platform exist (inner joins in
+    # the original); unmatched requests have no account_id and are spread
+    r = left_join_spread_nulls(r, acc, "account_id", "account_id", salt_cols=["seq"])
     ok, bad = _split(
         r,
         F.when(F.col("new_expiry_date").isNull(), F.lit(MISSING_FIELD)).when(F.col("__found").isNull(), F.lit(NOT_FOUND)),
