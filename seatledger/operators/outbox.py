@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as X
 from ..model import RENEWAL_ACCOUNT, RENEWAL_PROFILE, Tables
-from .reports import _profiles_with_labels, platform_report
+from .reports import _accounts_with_platform, _profiles_with_labels, platform_report
 from .rollups import profiles_per_account
 
 
@@ -58,15 +58,21 @@ def renewal_outbox(t: Tables, log_rows: DataFrame) -> DataFrame:
     wrote (``ChangeResult.applied``). The account password is not carried, a
     placeholder stands in its place.
     """
-    live = _profiles_with_labels(t).select(
+    prof = t.profiles.where(P.non_blank("client_whatsapp")).select(
         F.col("id").alias("profile_id"),
+        "account_id",
         F.col("client_whatsapp").alias("__phone"),
         F.col("profile_name").alias("__profile"),
-        F.col("account_email").alias("__email"),
+    )
+    acc = _accounts_with_platform(t).select(
+        F.col("id").alias("account_id"),
+        F.col("email").alias("__email"),
         F.col("platform_name").alias("__platform"),
     )
     rows = log_rows.where(F.col("renewal_type") == RENEWAL_PROFILE).select("seq", "profile_id", "new_expiry_date")
-    j = rows.join(live, "profile_id").where(P.non_blank("__phone"))
+    # the batch's rows meet the profiles first, then only those meet the
+    # accounts (inner joins, as the labels of the original)
+    j = rows.join(prof, "profile_id").join(acc, "account_id")
     msg = X.renewal_message("__platform", "__email", "__profile", None, "new_expiry_date")
     return j.select(
         "seq",
