@@ -165,3 +165,19 @@ def test_sequence_helpers_equal_plain_windows(spark):
     got_n = {r["seq"]: r["n"] for r in rank_in_key(df, "k", "seq", "n", bucket=64).collect()}
     assert got_p == {s: p for s, (p, _) in want.items()}
     assert got_n == {s: n for s, (_, n) in want.items()}
+
+
+def test_renew_profile_whose_account_is_gone(spark, golden):
+    """An active profile without its account is not found (inner joins of the
+    original), also when the batch meets profiles before accounts."""
+    orphaned = golden.with_(accounts=golden.accounts.where(F.col("id") != 10))
+    req = spark.createDataFrame(
+        [(1, 101, day(31), None), (2, 101, day(45), None)],
+        "seq bigint, profile_id bigint, new_expiry_date date, sale_price decimal(10,2)",
+    )
+    res = C.renew_profiles(orphaned, req, NOW)
+    assert res.applied.count() == 0
+    assert sorted((r["seq"], r["reason"]) for r in res.rejected.collect()) == [(1, C.NOT_FOUND), (2, C.NOT_FOUND)]
+    prof = {r["id"]: r for r in res.tables.profiles.collect()}
+    assert prof[101]["expiry_date"] == day(1)  # unchanged
+    assert N.renewal_outbox(res.tables, res.applied).count() == 0
