@@ -75,7 +75,7 @@ def date_prefix(text: Column | str) -> Column:
 
 def days_until(date: Column | str, as_of: dt.date | str) -> Column:
     """F8: whole days from today to the date (negative when past, null when missing)."""
-    return F.datediff(_c(date), _d(as_of))
+    return F.datediff(_c(date), _d(as_of)).cast("bigint")
 
 
 def long_date_text(date: Column | str) -> Column:

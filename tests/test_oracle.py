@@ -10,7 +10,7 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-from check_oracle import TABLES, rows_of  # noqa: E402
+from check_oracle import TABLES, rows_of, type_diffs  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 
@@ -44,5 +44,6 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(oracle_sql()[name])
     o_cols, o_rows = rel.columns, rel.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
+    assert type_diffs(df, rel) == []
     assert len(s_rows) == len(o_rows)
     assert rows_of(s_cols, s_rows) == rows_of(o_cols, o_rows)
