@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..model import RENEWAL_ACCOUNT, RENEWAL_PROFILE, Tables, money, money_sum
-from ..plans.joins import dimension
+from ..plans.joins import dimension, restrict_to_keys
 from .rollups import per_platform, renewals_per
 
 PLATFORM_LABELS = ["id", "name", "icon", "color"]
@@ -249,9 +249,12 @@ def platform_list(t: Tables, as_of: dt.date) -> DataFrame:
 def platform_detail(t: Tables, platform_id: int, as_of: dt.date) -> DataFrame:
     """R1 for one platform id; no row when it does not exist."""
     pid = F.lit(platform_id).cast("int")
+    accounts = t.accounts.where(F.col("platform_id") == pid)
     sub = t.with_(
         platforms=t.platforms.where(F.col("id") == pid),
-        accounts=t.accounts.where(F.col("platform_id") == pid),
+        accounts=accounts,
+        # only this platform's profiles are aggregated when its account set is small
+        profiles=restrict_to_keys(t.profiles, "account_id", accounts, "id"),
     )
     return platform_list(sub, as_of)
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 DIMENSION_MAX_ROWS = 100_000
 # Null keys are spread over this many salt values.
 NULL_SPREAD = 1024
+# A key set used to pre-filter a big table is broadcast only up to this size.
+KEY_FILTER_MAX_ROWS = 1_000_000
 
 
 def dimension(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
@@ -88,3 +90,18 @@ def pick_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, bounds: t
     if lo is None:
         return df.where(F.lit(False))
     return df.where(F.col(key).between(F.lit(lo), F.lit(hi))).join(F.broadcast(k), key, "left_semi")
+
+
+def restrict_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, max_rows: int = KEY_FILTER_MAX_ROWS) -> DataFrame:
+    """``df`` cut to the rows whose ``key`` is in ``keys``, when that is cheap.
+
+    For callers whose later joins apply the same restriction (so the result
+    is the same either way): when the key set holds at most ``max_rows``
+    rows (counted first), a broadcast semi join drops the other rows map-side,
+    before any shuffle or aggregate. A larger key set is not broadcast; ``df``
+    is returned unchanged and the later join restricts it.
+    """
+    k = keys.select(F.col(keys_col).alias(key)).where(F.col(key).isNotNull())
+    if k.limit(max_rows + 1).count() > max_rows:
+        return df
+    return df.join(F.broadcast(k), key, "left_semi")  # duplicate keys are harmless in a semi join

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from __spark_entry__ import queries
@@ -63,3 +65,13 @@ def test_history_lookups_push_a_key_range(tables):
     text = df._jdf.queryExecution().explainString(mode)  # full filter lists
     assert "GreaterThanOrEqual(o_orderkey" in text and "LessThanOrEqual(o_orderkey" in text
     assert "GreaterThanOrEqual(c_custkey" in text and "LessThanOrEqual(c_custkey" in text
+
+
+def test_platform_lists_filter_before_aggregating(tables):
+    from seatledger.operators import lists as L
+
+    semi = re.compile(r"\[account_id#\d+L\], \[account_id#\d+L\], LeftSemi")
+    # profiles and the log, cut to the platform's accounts before their aggregates
+    assert len(semi.findall(plan(L.account_list(tables, 3)))) == 2
+    assert len(semi.findall(plan(R.platform_detail(tables, 3, AS_OF)))) == 1
+    assert not semi.findall(plan(L.account_list(tables)))  # no platform, no cut

@@ -96,3 +96,13 @@ def test_hot_account_is_split_in_the_full_history_join(spark):
     assert len(rows) == t.renewals.count()
     assert "SortMergeJoin(skew=true)" in text
     assert sum(1 for r in rows if r["account_id"] == 73) > 0.3 * len(rows)
+
+
+def test_restrict_to_keys_bound(spark):
+    from seatledger.plans.joins import restrict_to_keys
+
+    df = spark.range(100).withColumnRenamed("id", "k")
+    keys = spark.createDataFrame([(3,), (5,), (5,), (None,)], "id bigint")
+    assert sorted(r["k"] for r in restrict_to_keys(df, "k", keys, "id").collect()) == [3, 5]
+    # beyond the bound the frame is returned unchanged (the caller's join restricts)
+    assert restrict_to_keys(df, "k", keys, "id", max_rows=2) is df
