@@ -34,7 +34,7 @@ from ..model import (
     empty_like,
     ntz,
 )
-from ..plans.joins import left_join_spread_nulls
+from ..plans.joins import left_join_spread_nulls, restrict_to_keys
 from ..plans.sequence import previous_in_key, rank_in_key
 from ..sources.tables import stage
 from .reports import _accounts_with_platform
@@ -205,7 +205,9 @@ def admit_within_capacity(t: Tables, req: DataFrame) -> tuple[DataFrame, DataFra
     Returns (admitted, rejected). The position of each request within its
     account is computed without a per-account window group.
     """
-    active = profiles_per_account(t.profiles).select(F.col("account_id"), F.col("n_active"))
+    # only the batch's accounts are counted when that key set is small
+    mine = restrict_to_keys(t.profiles, "account_id", req, "account_id")
+    active = profiles_per_account(mine).select(F.col("account_id"), F.col("n_active"))
     cap = t.accounts.select(F.col("id").alias("account_id"), "platform_id").join(
         t.platforms.select(F.col("id").alias("platform_id"), "max_profiles"), "platform_id"
     )
