@@ -18,6 +18,9 @@ from ..model import LOG_PARTITION, Tables
 from ..session import ensure_checkpoint_dir
 
 NAMES = ("platforms", "accounts", "profiles", "renewals")
+# Secrets of the original tables are never read: Spark prunes the JDBC
+# projection, so these columns do not leave the database.
+SECRET_COLUMNS = {"accounts": ("password",), "profiles": ("pin",)}
 
 
 def write_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
@@ -85,13 +88,15 @@ def read_tables_jdbc(
 
     Tables named in ``bounds`` (name -> (lowest id, highest id)) are read in
     ``num_partitions`` parallel id ranges; the others in one partition.
-    Credentials come from ``properties``, never from code.
+    Credentials come from ``properties``, never from code; the tables'
+    secret columns (account password, profile PIN) are not read.
     """
     out: dict[str, DataFrame] = {}
     for name in NAMES:
         if bounds and name in bounds:
             lo, hi = bounds[name]
-            out[name] = spark.read.jdbc(url, name, "id", lo, hi, num_partitions, properties=properties)
+            df = spark.read.jdbc(url, name, "id", lo, hi, num_partitions, properties=properties)
         else:
-            out[name] = spark.read.jdbc(url, name, properties=properties)
+            df = spark.read.jdbc(url, name, properties=properties)
+        out[name] = df.drop(*SECRET_COLUMNS.get(name, ()))
     return Tables(**out)

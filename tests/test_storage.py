@@ -80,3 +80,37 @@ def test_hot_month_is_split_across_files(spark):
     back = read_tables(spark, path).renewals
     assert back.count() == t.renewals.count()
     assert back.where("created_month = '1999-01'").count() == log.where(F.date_format("created_at", "yyyy-MM") == "1999-01").count()
+
+
+def test_jdbc_reader_wiring():
+    """SRC1 without a database: id-bounded tables are read in parallel ranges,
+    the others in one partition; credentials come only from ``properties``;
+    password and PIN columns are not read."""
+    from seatledger.sources.tables import NAMES, read_tables_jdbc
+
+    calls, dropped = [], {}
+
+    class Frame:
+        def __init__(self, table):
+            self.table = table
+
+        def drop(self, *cols):
+            dropped[self.table] = cols
+            return self.table
+
+    class Reader:
+        def jdbc(self, url, table, column=None, lowerBound=None, upperBound=None, numPartitions=None, properties=None):
+            calls.append((url, table, column, lowerBound, upperBound, numPartitions, dict(properties or {})))
+            return Frame(table)
+
+    class FakeSpark:
+        read = Reader()
+
+    props = {"user": "u", "password": "from-env"}
+    t = read_tables_jdbc(FakeSpark(), "jdbc:postgresql://db/x", props, {"profiles": (1, 1000), "renewals": (1, 50)}, 16)
+    assert [getattr(t, n) for n in NAMES] == list(NAMES)
+    by = {c[1]: c for c in calls}
+    assert by["profiles"][2:6] == ("id", 1, 1000, 16) and by["renewals"][2:6] == ("id", 1, 50, 16)
+    assert by["platforms"][2:6] == (None, None, None, None)
+    assert all(c[6] == props for c in calls)
+    assert dropped["accounts"] == ("password",) and dropped["profiles"] == ("pin",) and dropped["renewals"] == ()
