@@ -85,6 +85,19 @@ def history_order(columns: list[str]) -> list[F.Column]:
     return [F.col("created_at").desc_nulls_first(), *rest]
 
 
+def _selected_log(t: Tables, date_from, date_to, limit) -> tuple[DataFrame, int | None]:
+    """The log rows the history shows: in the range, newest first, at most ``limit``."""
+    cols = [c for c in t.renewals.columns if c != LOG_PARTITION]
+    r = t.renewals.where(P.created_between("created_at", date_from, date_to))
+    if LOG_PARTITION in t.renewals.columns:
+        # month partitions outside the range are skipped without being read
+        r = r.where(month_range(date_from, date_to)).drop(LOG_PARTITION)
+    n = None if limit in (None, "") else int(limit)
+    if n is not None:
+        r = r.orderBy(*history_order(cols)).limit(n)
+    return r, n
+
+
 def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None = None, limit=None) -> DataFrame:
     """The log with live labels where the row still exists, else snapshots.
 
@@ -96,13 +109,7 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
     A live blank value wins over a snapshot; only a missing row falls back.
     """
     cols = [c for c in t.renewals.columns if c != LOG_PARTITION]
-    r = t.renewals.where(P.created_between("created_at", date_from, date_to))
-    if LOG_PARTITION in t.renewals.columns:
-        # month partitions outside the range are skipped without being read
-        r = r.where(month_range(date_from, date_to)).drop(LOG_PARTITION)
-    n = None if limit in (None, "") else int(limit)
-    if n is not None:
-        r = r.orderBy(*history_order(cols)).limit(n)
+    r, n = _selected_log(t, date_from, date_to, limit)
 
     p = t.profiles.select(F.col("id").alias("__p_id"), *[F.col(c).alias("__p_" + c) for c in ("profile_name", "client_name", "client_whatsapp")])
     a = t.accounts.select(F.col("id").alias("__a_id"), F.col("email").alias("__a_email"))
@@ -150,9 +157,14 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
 
 
 def renewal_history_total(t: Tables, date_from: str | None = None, date_to: str | None = None, limit=None) -> DataFrame:
-    """Count and price total of the returned rows (after the limit)."""
-    h = renewal_history(t, date_from, date_to, limit)
-    return h.agg(F.count(F.lit(1)).alias("count"), money_sum("sale_price").alias("total_revenue"))
+    """Count and price total of the returned rows (after the limit).
+
+    The history's label joins are left joins on unique keys: they keep every
+    row and do not touch ``sale_price``, so the total is taken from the
+    selected log rows directly, without the joins.
+    """
+    r, _ = _selected_log(t, date_from, date_to, limit)
+    return r.agg(F.count(F.lit(1)).alias("count"), money_sum("sale_price").alias("total_revenue"))
 
 
 def renewal_display(history: DataFrame) -> DataFrame:

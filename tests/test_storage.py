@@ -114,3 +114,17 @@ def test_jdbc_reader_wiring():
     assert by["platforms"][2:6] == (None, None, None, None)
     assert all(c[6] == props for c in calls)
     assert dropped["accounts"] == ("password",) and dropped["profiles"] == ("pin",) and dropped["renewals"] == ()
+
+
+def test_history_total_needs_no_joins(both):
+    """The total equals the labelled history's, from the log alone."""
+    from pyspark.sql import functions as F
+
+    _, stored = both
+    for args in [("1996-01-01", "1996-06-30", None), (None, None, 25), (None, None, None)]:
+        tot = H.renewal_history_total(stored, *args)
+        h = H.renewal_history(stored, *args)
+        want = h.agg(F.count(F.lit(1)), F.sum("sale_price")).collect()[0]
+        got = tot.collect()[0]
+        assert got["count"] == want[0] and got["total_revenue"] == (want[1] or 0)
+        assert "Join" not in tot._jdf.queryExecution().executedPlan().toString()
