@@ -75,3 +75,24 @@ def test_platform_lists_filter_before_aggregating(tables):
     assert len(semi.findall(plan(L.account_list(tables, 3)))) == 2
     assert len(semi.findall(plan(R.platform_detail(tables, 3, AS_OF)))) == 1
     assert not semi.findall(plan(L.account_list(tables)))  # no platform, no cut
+
+
+def test_renewals_meet_profiles_before_accounts(tables, monkeypatch):
+    """The batch is joined to profiles first and only then to accounts: the
+    labels of all active profiles (a profiles x accounts join) are never built."""
+    from seatledger import requests as Q
+    from seatledger.operators import changes as C
+
+    seen = []
+    real = C.stage
+
+    def spy(df, label):
+        seen.append(plan(df))
+        return real(df, label)
+
+    monkeypatch.setattr(C, "stage", spy)
+    C.renew_profiles(tables, Q.renew_profiles_req(tables), Q.NOW)
+    text = seen[0]
+    # outermost: the account lookup; inside it: the profile lookup of the batch
+    assert text.index("isnotnull(account_id") < text.index("isnotnull(profile_id")
+    assert not re.search(r"\[account_id#\d+L\], \[id#\d+L\], Inner", text)
