@@ -154,7 +154,7 @@ register("delete_accounts", O.delete_accounts_sql(Q.DELETE_ACCOUNTS_REQ))(
 register("delete_platforms", O.delete_platforms_sql(Q.DELETE_PLATFORMS_REQ))(
     lambda t: C.delete_platforms(t, Q.delete_platforms_req(t)).tables.profiles
 )
-register("reset_data", O.RESET_SUMMARY)(lambda t: R.summary(C.reset_data(t), AS_OF))
+register("reset_data", O.RESET_REPORT)(lambda t: C.reset_report(t, C.reset_data(t)))
 register("renew_profiles", O.renew_profiles_sql(Q.RENEW_PROFILES_REQ, Q.NOW_SQL))(
     lambda t: C.renew_profiles(t, Q.renew_profiles_req(t), Q.NOW).applied
 )

@@ -371,6 +371,38 @@ def reset_data(t: Tables) -> Tables:
     return t.with_(accounts=empty_like(t.accounts), profiles=empty_like(t.profiles), renewals=empty_like(t.renewals))
 
 
+def reset_report(before: Tables, after: Tables) -> DataFrame:
+    """What a reset did: rows per table before and after, one row per table.
+
+    One pass per table: each row counts 1 on its side, the union is summed
+    per table name (partial aggregation, no join).
+    """
+    parts = []
+    for name in ("platforms", "accounts", "profiles", "renewals"):
+        for side, frame in (("rows_before", getattr(before, name)), ("rows_after", getattr(after, name))):
+            parts.append(
+                frame.select(
+                    F.lit(name).alias("table_name"),
+                    F.lit(1 if side == "rows_before" else 0).alias("rows_before"),
+                    F.lit(1 if side == "rows_after" else 0).alias("rows_after"),
+                )
+            )
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    names = F.array(*[F.lit(n) for n in ("platforms", "accounts", "profiles", "renewals")])
+    g = u.groupBy("table_name").agg(
+        F.sum("rows_before").cast("bigint").alias("rows_before"), F.sum("rows_after").cast("bigint").alias("rows_after")
+    )
+    # a table empty on both sides still gets its row
+    allnames = before.platforms.sparkSession.range(1).select(F.explode(names).alias("table_name"))
+    return allnames.join(g, "table_name", "left").select(
+        "table_name",
+        F.coalesce(F.col("rows_before"), F.lit(0)).cast("bigint").alias("rows_before"),
+        F.coalesce(F.col("rows_after"), F.lit(0)).cast("bigint").alias("rows_after"),
+    )
+
+
 # ---------------------------------------------------------------- renewals
 def _log_rows(rows: DataFrame, renewals: DataFrame) -> DataFrame:
     """Shape new log rows like the log (extra log columns become null; the

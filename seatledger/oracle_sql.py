@@ -672,6 +672,14 @@ SELECT (SELECT COUNT(*) FROM platforms) AS total_platforms, CAST(0 AS BIGINT) AS
        true AS profit_non_negative
 """
 
+RESET_REPORT = """
+SELECT 'platforms' AS table_name, (SELECT COUNT(*) FROM platforms) AS rows_before,
+       (SELECT COUNT(*) FROM platforms) AS rows_after
+UNION ALL SELECT 'accounts', (SELECT COUNT(*) FROM accounts), CAST(0 AS BIGINT)
+UNION ALL SELECT 'profiles', (SELECT COUNT(*) FROM profiles), CAST(0 AS BIGINT)
+UNION ALL SELECT 'renewals', (SELECT COUNT(*) FROM renewals), CAST(0 AS BIGINT)
+"""
+
 _LOG_COLS = (
     "seq, profile_id, account_id, account_email, platform_id, platform_name, platform_icon, platform_color, "
     "profile_name, client_name, client_whatsapp"

@@ -47,3 +47,17 @@ def test_query_matches_oracle(spark, duck, name):
     assert type_diffs(df, rel) == []
     assert len(s_rows) == len(o_rows)
     assert rows_of(s_cols, s_rows) == rows_of(o_cols, o_rows)
+
+
+def test_summary_after_reset_matches_oracle(spark, duck):
+    """C9 then R8: the summary of reset tables (zeros, platforms kept)."""
+    from seatledger import oracle_sql as O
+    from seatledger.catalog import AS_OF
+    from seatledger.operators import changes as C
+    from seatledger.operators import reports as R
+    from seatledger.sources.bindings import bind_tables
+
+    df = R.summary(C.reset_data(bind_tables(spark, SF, AS_OF)), AS_OF)
+    rel = duck.sql(O.with_bindings(O.RESET_SUMMARY))
+    assert type_diffs(df, rel) == []
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(rel.columns, rel.fetchall())
