@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..model import RENEWAL_PROFILE, Tables, money
-from ..plans.joins import restrict_to_keys
+from ..plans.joins import restrict_all_to_keys
 from .reports import _profiles_with_labels
 from .rollups import profiles_per_account, renewals_per
 
@@ -39,10 +39,8 @@ def account_list(t: Tables, platform_id: int | None = None) -> DataFrame:
     if platform_id is not None:
         acc = acc.where(F.col("platform_id") == F.lit(platform_id).cast("int"))
         # the platform's profiles and log rows only, when its account set is small
-        t = t.with_(
-            profiles=restrict_to_keys(t.profiles, "account_id", acc, "id"),
-            renewals=restrict_to_keys(t.renewals, "account_id", acc, "id"),
-        )
+        profiles, renewals = restrict_all_to_keys([t.profiles, t.renewals], "account_id", acc, "id")
+        t = t.with_(profiles=profiles, renewals=renewals)
     return _account_revenue(t, acc).orderBy(F.col("created_on").desc_nulls_first(), F.col("id"))
 
 

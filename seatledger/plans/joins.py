@@ -101,7 +101,15 @@ def restrict_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, ma
     before any shuffle or aggregate. A larger key set is not broadcast; ``df``
     is returned unchanged and the later join restricts it.
     """
+    return restrict_all_to_keys([df], key, keys, keys_col, max_rows)[0]
+
+
+def restrict_all_to_keys(
+    frames: list[DataFrame], key: str, keys: DataFrame, keys_col: str, max_rows: int = KEY_FILTER_MAX_ROWS
+) -> list[DataFrame]:
+    """``restrict_to_keys`` for several frames sharing one key set (counted once)."""
     k = keys.select(F.col(keys_col).alias(key)).where(F.col(key).isNotNull())
     if k.limit(max_rows + 1).count() > max_rows:
-        return df
-    return df.join(F.broadcast(k), key, "left_semi")  # duplicate keys are harmless in a semi join
+        return list(frames)
+    # duplicate keys are harmless in a semi join
+    return [df.join(F.broadcast(k), key, "left_semi") for df in frames]
