@@ -62,22 +62,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for staged tables and checkpoints.
 
-    On a cluster the setting names a shared file system path and is used as
-    given. Only when it is unset (local tests) is a fresh scratch folder made.
+    In this order: the folder already set on the Spark context, the folder
+    named by ``spark.checkpoint.dir``, and, with a local master only, a fresh
+    scratch folder (set on the context, so that it is made once a session).
+    Any other master without a folder is an error: executors there do not
+    share the driver's disk.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        # the context appends an id of its own to the folder it is given
+        return current
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="seatledger-ckpt-")
-        try:
-            spark.conf.set(CHECKPOINT_KEY, current)
-        except Exception:  # noqa: BLE001 - a core setting may be read-only at run time
-            pass
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote (Connect) sessions: the server owns the folder
-        return current
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
+    sc.setCheckpointDir(current)
     return current

@@ -12,7 +12,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from check_oracle import TABLES, rows_of, type_diffs  # noqa: E402
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from seatledger import catalog  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +30,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 def test_entry(spark):
@@ -37,11 +38,11 @@ def test_entry(spark):
     assert df.columns[:4] == ["id", "name", "icon", "color"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
-    rel = duck.sql(oracle_sql()[name])
+    rel = duck.sql(catalog.ORACLE[name])
     o_cols, o_rows = rel.columns, rel.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
     assert type_diffs(df, rel) == []
