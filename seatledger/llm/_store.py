@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,3 +36,16 @@ def spread(df: DataFrame, least: int = 1) -> int:
 def plus(schema: T.StructType, **added: str) -> T.StructType:
     """A schema with columns added (``schema.add`` would change the frame's own)."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for tasks started where it is not installed."""
+    sc, name = spark.sparkContext, __name__.split(".")[0]
+    if name not in _shipped.get(sc.applicationId, ()):
+        root = Path(__file__).resolve().parents[1]
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root.parent, root.name)
+        sc.addPyFile(made)  # Spark copies it to each executor
+        _shipped[sc.applicationId] = (name,)
+
+
+_shipped: dict[str, tuple] = {}

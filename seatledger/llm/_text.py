@@ -54,11 +54,18 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document index of all words of a run of documents."""
+# Everything but ASCII letters and digits and characters beyond ASCII.
+MARK = np.ones(128, bool)
+MARK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+MARK = np.concatenate((MARK, np.zeros(128, bool)))
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document index of all words of a run of documents;
+    ``between`` says which bytes stand between words."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE[data]
+    solid = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -80,3 +87,14 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     at = within + np.repeat(starts, lens)
     terms = BYTE_CODE[data[at]] * powers(int(lens.max()))[within]
     return mix(np.add.reduceat(terms, first) + lens.astype(np.uint64))
+
+
+def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit code for each run of ``n`` symbols (mixed 64-bit codes themselves)."""
+    count = len(codes) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(count, np.uint64)
+    for i in range(n):
+        out = out * MULTIPLIER + codes[i : i + count]
+    return mix(out)

@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import ship
+from .decontam import mark_contaminated
 from .line_dedup import drop_common_lines
 from .packing import pack
+from .quality import score_quality
 from .simhash import document_groups, hexadecimal
 
 CAPACITY, END = 1024, 2
+QUALITY_FROM = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,8 +41,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def learnable(doc_id: str = "doc_id") -> Column:
+    """Rows that labels may be learned from; the rest is held out."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) != 2
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores by regularised quadratic discriminant."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), learnable(), "quality")
+    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination by greedy string tiling, over all documents and items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mark_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op4_packing, op5_line_dedup)
+    f.__name__: f for f in (op3_simhash, op4_packing, op5_line_dedup, op8_quality, op10_decontamination)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
