@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import row_key
+from ._store import row_key, stage
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,9 +42,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, d
         .select("x", "y", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     )
     # rows of one document with one line meet here; a repeated row has each position again
-    found = lines.groupBy("h", "g", "x", "y").agg(F.collect_set("at").alias("at"), F.count("*").alias("n"))
+    found = stage(lines.groupBy("h", "g", "x", "y").agg(F.collect_set("at").alias("at"), F.count("*").alias("n")), "lines")
     copies = F.col("n") / F.size("at")
     common = found.groupBy("h", "g").agg(F.sum(copies).alias("docs")).where(F.col("docs") >= min_docs).select("h", "g")
+    common = stage(common, "common")  # so that the join below has exchanges of its own, which AQE can split at a hot line
     dropped = (
         found.join(common, ["h", "g"]).groupBy("x", "y").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_at"))
     ).withColumnsRenamed({"x": "_x", "y": "_y"})
