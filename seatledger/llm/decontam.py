@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap, lookup
 from ._store import plus, row_key, stage
 from ._text import LOWER, MARK, MULTIPLIER, gram_codes, powers, slices, utf8, word_bounds, word_codes
 
 MIN_WORDS = 5
 COVERAGE = 0.8
-BITS = 26  # of a place in the bitmap: 8 MB
-SLICE = 4 << 20
+SLICE = 1 << 20
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
@@ -149,24 +149,6 @@ def seeds(rows: DataFrame) -> DataFrame:
     return rows.select("x", "y", "codes").mapInArrow(run, "x long, y long, seed long, n long")
 
 
-def places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64((1 << BITS) - 1)
-    return codes & low, (codes >> np.uint64(32)) & low
-
-
-def bitmap(seeded: DataFrame) -> np.ndarray:
-    """The seeds' places: 2^26 bits, put together by Spark in blocks of 4 KB."""
-    low = (1 << BITS) - 1
-    pair = F.array(F.col("seed").bitwiseAND(low) + 1, F.shiftrightunsigned("seed", 32).bitwiseAND(low) + 1)
-    place = seeded.select(F.explode(pair).alias("p"))
-    blocks = place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in blocks.collect():  # at most 2^26 / 2^15 rows
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(part)] = part
-    return out
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -176,16 +158,11 @@ def contamination(
     items = benchmark.select(item_key["x"].alias("x"), item_key["y"].alias("y"), F.col(item_id).alias("item"), F.col(item_text).alias("text"))
     items = stage(word_lists(items.dropDuplicates(["x", "y"]), "text"), "items").where(F.size("codes") >= MIN_WORDS)
     item_seeds = seeds(items)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(item_seeds))
-
-    def hit(codes: np.ndarray) -> np.ndarray:
-        at = [p.astype(np.int64) for p in places(codes)]
-        a, b = (bits.value[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in at)
-        return (a & b).astype(bool)
+    bits = bitmap(item_seeds.select("seed"), docs.sparkSession.sparkContext)
 
     key = row_key(doc_id, text)
     near = docs.select(key["x"].alias("x"), key["y"].alias("y"), F.col(text).alias("text"))
-    near = stage(word_lists(near, "text", hit), "near").dropDuplicates(["x", "y"])
+    near = stage(word_lists(near, "text", lambda codes: lookup(bits.value, codes)), "near").dropDuplicates(["x", "y"])
     need = F.ceil(F.ceil(F.size("codes") * F.lit(coverage) - 1e-9) / MIN_WORDS)
     pairs = (
         seeds(near).select("x", "y", "seed")

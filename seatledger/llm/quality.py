@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._store import plus, stage
 from ._text import LOWER, slices, utf8, word_bounds, word_codes
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 # Byte classes: 0 lower case, 1 upper case, 2 digits, 3 white space but for
 # line ends, 4 line ends, 5 sentence marks, 6 other ASCII marks, 7 beyond
 # ASCII, 8 exclamation and question marks.

@@ -14,6 +14,8 @@ from .line_dedup import drop_common_lines
 from .packing import pack
 from .quality import score_quality
 from .simhash import document_groups, hexadecimal
+from .substring_dedup import drop_repeated_passages
+from .suffix_dedup import drop_repeated_bytes
 
 CAPACITY, END = 1024, 2
 QUALITY_FROM = 0.7
@@ -24,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes of strings of 200 bytes that occur twice."""
+    kept = drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: 4-word shingles, at most 4 differing bits."""
     found = document_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -41,6 +49,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring dedup: words of passages of 35 words that occur twice."""
+    kept = drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def learnable(doc_id: str = "doc_id") -> Column:
     """Rows that labels may be learned from; the rest is held out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) != 2
@@ -60,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op4_packing, op5_line_dedup, op8_quality, op10_decontamination)
+    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op7_substring_dedup, op8_quality, op10_decontamination)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
