@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ._store import ship
 from .decontam import mark_contaminated
 from .line_dedup import drop_common_lines
+from .mtree import top_k
 from .packing import pack
 from .quality import score_quality
 from .simhash import document_groups, hexadecimal
@@ -26,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top-k search: the five highest integer products of each 50th vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    usable = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    whole = F.when(usable, F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")).cast("long")))
+    return top_k(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes of strings of 200 bytes that occur twice."""
     kept = drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
@@ -74,11 +83,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op7_substring_dedup, op8_quality, op10_decontamination)
+    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op7_substring_dedup, op8_quality, op10_decontamination)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE: dict[str, str] = {
+    "op1_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op5_line_dedup": f"""
         WITH line AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
