@@ -17,9 +17,11 @@ from .quality import score_quality
 from .simhash import document_groups, hexadecimal
 from .substring_dedup import drop_repeated_passages
 from .suffix_dedup import drop_repeated_bytes
+from .toxicity import score_toxicity
 
 CAPACITY, END = 1024, 2
 QUALITY_FROM = 0.7
+TOXIC_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,15 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) != 2
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores and offending spans by a linear-chain conditional random field."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), learnable(), "toxic")
+    return scored.select(
+        "doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "spans"
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores by regularised quadratic discriminant."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,7 +94,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op7_substring_dedup, op8_quality, op10_decontamination)
+    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op10_decontamination)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
