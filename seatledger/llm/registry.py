@@ -13,6 +13,7 @@ from .decontam import mark_contaminated
 from .line_dedup import drop_common_lines
 from .mtree import top_k
 from .packing import pack
+from .pitman_yor import score_texts
 from .quality import score_quality
 from .simhash import document_groups, hexadecimal
 from .substring_dedup import drop_repeated_passages
@@ -87,6 +88,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores from a hierarchical Pitman-Yor model of four fifths of the texts."""
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    scored = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(part != 1, F.lit(False)))
+    return scored.withColumn("held_out", part == 1)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination by greedy string tiling, over all documents and items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,7 +102,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op10_decontamination)
+    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op9_language_model, op10_decontamination)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

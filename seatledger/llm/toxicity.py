@@ -271,7 +271,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 20_000, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 10_000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``docs`` without the text plus ``score`` and ``spans`` (start, end, marginal
     of each offending token); ``train`` says which labelled rows may be learned from."""
