@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatledger.llm._store import row_key, ship
+from seatledger.llm._store import plain, row_key, ship
 from seatledger.llm.decontam import drop_contaminated
 from seatledger.llm.line_dedup import drop_common_lines
 from seatledger.llm.packing import pack
@@ -28,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = row_key("doc_id", "text")
     rows = docs.select("doc_id", "text", key["x"].alias("x"), key["y"].alias("y"))
     scored = score_quality(rows, table(spark, sf_dir, "labels"), learnable(), "quality")
-    low = scored.where(F.col("score") < QUALITY_FROM).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-    return docs.withColumns({"_x": key["x"], "_y": key["y"]}).join(low, ["_x", "_y"], "left_anti").select(*docs.columns)
+    low = scored.where(F.col("score") < QUALITY_FROM).select(F.col("x").alias("__x"), F.col("y").alias("__y"))
+    docs = plain(docs)
+    return docs.withColumns({"__x": key["x"], "__y": key["y"]}).join(low, ["__x", "__y"], "left_anti").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = drop_common_lines(docs, min_docs=10, min_chars=1)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.select(*plain(docs).columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,11 @@ def row_key(*columns: Column | str) -> Column:
     return F.struct(F.xxhash64(F.lit(1), *columns).alias("x"), F.xxhash64(F.lit(2), *reversed(columns)).alias("y"))
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """Without columns whose names begin with two underscores: those are the operators' own."""
+    return docs.drop(*[c for c in docs.columns if c.startswith("__")])
+
+
 def spread(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, as a number of buckets."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

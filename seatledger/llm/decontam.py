@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import bitmap, lookup
-from ._store import plus, row_key, stage
+from ._store import plain, plus, row_key, stage
 from ._text import LOWER, MARK, MULTIPLIER, gram_codes, powers, slices, utf8, word_bounds, word_codes
 
 MIN_WORDS = 5
@@ -198,19 +198,21 @@ def contamination(
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text plus ``contaminated``, ``items`` and ``coverage`` (0 where clean)."""
-    leaks = contamination(docs, benchmark, coverage, doc_id, text).withColumnsRenamed({"x": "_x", "y": "_y"})
+    docs = plain(docs)
+    leaks = contamination(docs, benchmark, coverage, doc_id, text).withColumnsRenamed({"x": "__x", "y": "__y"})
     key, names = row_key(doc_id, text), ("contaminated", "items", "coverage")
     kind = leaks.schema["items"].dataType
     return (
-        docs.drop(*names).withColumns({"_x": key["x"], "_y": key["y"]}).drop(text).join(leaks, ["_x", "_y"], "left")
+        docs.drop(*names).withColumns({"__x": key["x"], "__y": key["y"]}).drop(text).join(leaks, ["__x", "__y"], "left")
         .withColumn("contaminated", F.col("items").isNotNull())
         .withColumn("items", F.coalesce("items", F.array().cast(kind))).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-        .drop("_x", "_y")
+        .drop("__x", "__y")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The clean rows of ``docs``."""
-    leaks = contamination(docs, benchmark, coverage, doc_id, text).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+    docs = plain(docs)
+    leaks = contamination(docs, benchmark, coverage, doc_id, text).select(F.col("x").alias("__x"), F.col("y").alias("__y"))
     key = row_key(doc_id, text)
-    return docs.withColumns({"_x": key["x"], "_y": key["y"]}).join(leaks, ["_x", "_y"], "left_anti").select(*docs.columns)
+    return docs.withColumns({"__x": key["x"], "__y": key["y"]}).join(leaks, ["__x", "__y"], "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import row_key, stage
+from ._store import plain, row_key, stage
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,7 +32,7 @@ def flags(dropped: Column) -> Column:
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with shortened texts, plus ``n_lines`` (before) and ``n_dropped``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    docs, whole = plain(docs), F.coalesce(F.col(text), F.lit(""))
     key = row_key(doc_id, text)
     keys = F.split(F.translate(whole, UPPER, LOWER), "\n", -1)
     lines = (
@@ -47,16 +47,16 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, d
     common = found.groupBy("h", "g").agg(F.sum(copies).alias("docs")).where(F.col("docs") >= min_docs).select("h", "g")
     common = stage(common, "common")  # so that the join below has exchanges of its own, which AQE can split at a hot line
     dropped = (
-        found.join(common, ["h", "g"]).groupBy("x", "y").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("_at"))
-    ).withColumnsRenamed({"x": "_x", "y": "_y"})
-    split = F.split(F.col("_whole"), "\n", -1)
-    kept = F.filter(split, lambda _, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))
-    rest = F.when(F.col("_at").isNull(), F.col("_whole")).otherwise(F.array_join(kept, "\n"))
+        found.join(common, ["h", "g"]).groupBy("x", "y").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("__at"))
+    ).withColumnsRenamed({"x": "__x", "y": "__y"})
+    split = F.split(F.col("__whole"), "\n", -1)
+    kept = F.filter(split, lambda _, i: ~F.coalesce(F.get(F.col("__flags"), i), F.lit(False)))
+    rest = F.when(F.col("__at").isNull(), F.col("__whole")).otherwise(F.array_join(kept, "\n"))
     return (
         docs.drop("n_lines", "n_dropped")
-        .withColumns({"_x": key["x"], "_y": key["y"], "_whole": whole})
-        .join(dropped, ["_x", "_y"], "left")
-        .withColumns({"_flags": flags(F.col("_at")), "n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size("_at"), F.lit(0)).cast("long")})
+        .withColumns({"__x": key["x"], "__y": key["y"], "__whole": whole})
+        .join(dropped, ["__x", "__y"], "left")
+        .withColumns({"__flags": flags(F.col("__at")), "n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size("__at"), F.lit(0)).cast("long")})
         .withColumn(text, rest)
         .select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
     )

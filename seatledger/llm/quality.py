@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import plus, stage
+from ._store import plain, plus, stage
 from ._text import LOWER, slices, utf8, word_bounds, word_codes
 
 SLICE = 1 << 20
@@ -173,7 +173,7 @@ def moments(rows: DataFrame, label: str, stats: str = "stats") -> tuple[np.ndarr
 def one_label(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
     """One label for each document that has any: the majority, ties as 1."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    return known.groupBy(doc_id).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
+    return known.groupBy(doc_id).agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
 
 
 def score_quality(
@@ -189,11 +189,11 @@ def score_quality(
 ) -> DataFrame:
     """``docs`` without the text plus ``score`` (that the label is 1); ``train``
     says which labelled rows may be learned from."""
-    measured = stage(with_statistics(docs.drop("score"), text, "_stats"), "stats")
-    learned = measured.where(train).select(doc_id, "_stats").join(one_label(labels, label, doc_id), doc_id)
-    model = fit(*moments(learned, "_label", "_stats"), shrink, ridge, noise)
-    rest = measured.drop("_stats")
-    names, where = rest.columns, measured.columns.index("_stats")
+    measured = stage(with_statistics(plain(docs).drop("score"), text, "__stats"), "stats")
+    learned = measured.where(train).select(doc_id, "__stats").join(one_label(labels, label, doc_id), doc_id)
+    model = fit(*moments(learned, "__label", "__stats"), shrink, ridge, noise)
+    rest = measured.drop("__stats")
+    names, where = rest.columns, measured.columns.index("__stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import plus, row_key, stage
+from ._store import plain, plus, row_key, stage
 
 SEED = 42
 CHUNK = 1024
@@ -157,12 +157,13 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the
     smallest id (ties: one of them, by a hash of its text; repeated rows: one)."""
+    docs = plain(docs)
     groups = document_groups(docs, shingle, max_bits, n_blocks, doc_id, text)
     first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("row")))
-    keep = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row.x").alias("_x"), F.col("first.row.y").alias("_y"))
+    keep = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row.x").alias("__x"), F.col("first.row.y").alias("__y"))
     key = row_key(doc_id, text)
-    kept = docs.withColumns({"_x": key["x"], "_y": key["y"]}).join(keep, ["_x", "_y"], "left_semi")
-    return kept.dropDuplicates(["_x", "_y"]).select(*docs.columns)
+    kept = docs.withColumns({"__x": key["x"], "__y": key["y"]}).join(keep, ["__x", "__y"], "left_semi")
+    return kept.dropDuplicates(["__x", "__y"]).select(*docs.columns)
 
 
 def hexadecimal(code: Column) -> Column:

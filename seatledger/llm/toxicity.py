@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import plus, stage
+from ._store import plain, plus, stage
 from ._text import BYTE_CODE, LOWER, MARK, MULTIPLIER, mix, powers, slices, utf8, word_bounds, word_codes
 from .quality import one_label
 
@@ -251,7 +251,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column("text"))
-            y = b.column("_label").to_numpy().astype(np.int64)
+            y = b.column("__label").to_numpy().astype(np.int64)
             got = []
             for i, j in slices(offsets, SLICE):
                 doc, _, _, which, found = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -275,15 +275,15 @@ def score_toxicity(
 ) -> DataFrame:
     """``docs`` without the text plus ``score`` and ``spans`` (start, end, marginal
     of each offending token); ``train`` says which labelled rows may be learned from."""
-    docs = docs.drop("score", "spans")
+    docs = plain(docs).drop("score", "spans")
     # the labels of about ``sample`` documents: a bounded table
     usable = one_label(labels, label, doc_id).where(train)
     share = min(1.0, sample / max(usable.count(), 1))
     chosen = usable.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share * (1 << 20))
-    learned = docs.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "_label")
-    learned = stage(learned.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"), F.max("_label").alias("_label")), "labelled")
-    learned = learned.select("text", "_label")
-    totals = {r["_label"]: r["n"] for r in learned.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    learned = docs.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "__label")
+    learned = stage(learned.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"), F.max("__label").alias("__label")), "labelled")
+    learned = learned.select("text", "__label")
+    totals = {r["__label"]: r["n"] for r in learned.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -296,7 +296,7 @@ def score_toxicity(
             data, offsets = utf8(b.column("text"))
             doc, at, bins, _, _, sizes = events_of(data, offsets, evidence)
             cuts = np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("_label"), pa.array(sizes), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (at, bins))], ["y", "size", "at", "bins"])
+            yield pa.RecordBatch.from_arrays([b.column("__label"), pa.array(sizes), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (at, bins))], ["y", "size", "at", "bins"])
 
     share1 = toxic / max(toxic + clean, 1)
     weights = pair = curve = None
