@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ._store import plus, spread, stage
 
 Patterns = list[tuple[int, tuple[int, ...]]]
-CACHED = 300_000
+CACHED = 600_000  # units in a worker's table
+POINTS = ".,;:!?"
 
 
 # ------------------------------------------------------------------ tokens
@@ -36,9 +37,10 @@ class Units(dict):
     characters across a space that stands between two others, so a text's ids
     are its units' ids one after the other."""
 
-    def __init__(self, encode, space: str, newline: bytes):
+    def __init__(self, encode, word, space: str, heads: "Units | None" = None):
         super().__init__()
-        self.encode, self.space, self.newline, self.heads = encode, space, newline, self
+        self.encode, self.word, self.space, self.heads = encode, word, space, self if heads is None else heads
+        self.newline, self.points = encode("\n"), {p: encode(p) for p in POINTS}
 
     def __missing__(self, unit: str) -> bytes | None:
         if not unit or unit[0].isspace() or unit[-1].isspace():
@@ -47,12 +49,30 @@ class Units(dict):
             first, *rest = unit.split("\n")
             parts = [self[first], *(self.heads[x] for x in rest)]
             return None if None in parts else self.newline.join(parts)
-        ids = self.encode(self.space + unit)
+        if latin(unit):
+            ids = self.word(self.space + unit)
+        elif unit[-1] in POINTS and latin(unit[:-1]):  # the tokenizer parts letters from marks
+            ids = self[unit[:-1]] + self.points[unit[-1]]
+        else:
+            ids = self.encode(self.space + unit)
         if len(self) < CACHED:
             self[unit] = ids
         return ids
 
 
+def latin(word: str) -> bool:
+    """Letters only, of blocks that every version of Unicode agrees on."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary:
+    itself if it has a mark of its own, else the next unused one from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 _units: dict[str, tuple] = {}
 
 
@@ -62,12 +82,14 @@ def units(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        encode = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        heads = Units(encode, "", encode("\n"))
-        inner = Units(encode, " ", encode("\n"))
-        inner.heads = heads
+        pack = lambda ids: np.array(ids, "<u4").tobytes()
+        encode = lambda s: pack(tokenizer.encode(s, add_special_tokens=False).ids)
+        # a word of letters alone is one piece, so its merges can be asked for directly
+        letters = byte_letters()
+        word = lambda s: pack([t.id for t in tokenizer.model.tokenize(s.encode().decode("latin-1").translate(letters))])
+        heads = Units(encode, word, "")
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _units[path] = encode, heads, inner, special
+        _units[path] = encode, heads, Units(encode, word, " ", heads), special
     return _units[path]
 
 
