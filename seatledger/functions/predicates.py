@@ -8,6 +8,7 @@ Parquet scan.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,19 +79,44 @@ def positive(c: Column | str = "sale_price") -> Column:
     return _c(c) > F.lit(0)
 
 
-def created_between(c: Column | str, date_from: str | None, date_to: str | None) -> Column:
-    """P10: optional range; ``to`` is a date and means 'to 23:59:59' of that day.
+_WHEN = re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?)?")
 
-    Fractions of the last second fall outside, as in the original. A ``to`` with
-    a time part is rejected like an invalid date.
-    """
-    col = _c(c)
-    cond = F.lit(True)
-    if date_from:
-        cond = cond & (col >= F.lit(date_from).cast("timestamp_ntz"))
-    if date_to:
-        day = dt.date.fromisoformat(str(date_to))
-        cond = cond & (col <= F.lit(f"{day.isoformat()} 23:59:59").cast("timestamp_ntz"))
+
+def parse_moment(value: str | dt.date | None) -> dt.datetime | None:
+    """A date (padded or not) with or without a time; blank is none, anything else an error."""
+    if value is None or value == "":
+        return None
+    if isinstance(value, dt.datetime):
+        return value.replace(tzinfo=None)
+    if isinstance(value, dt.date):
+        return dt.datetime(value.year, value.month, value.day)
+    m = _WHEN.fullmatch(str(value).strip())
+    if not m:
+        raise ValueError(f"not a date: {value!r}")
+    *parts, fraction = m.groups()
+    return dt.datetime(*(int(x or 0) for x in parts), int((fraction or "0").ljust(6, "0")))
+
+
+def parse_range(date_from, date_to) -> tuple[dt.datetime | None, dt.datetime | None]:
+    """P10's bounds, both inclusive: ``to`` is a date and means 'to 23:59:59' of that day."""
+    low, high = parse_moment(date_from), parse_moment(date_to)
+    if high is not None and (isinstance(date_to, dt.datetime) or not isinstance(date_to, dt.date) and re.search("[T:]", str(date_to))):
+        raise ValueError(f"the end of a range is a date without a time: {date_to!r}")
+    return low, high and high.replace(hour=23, minute=59, second=59)
+
+
+def _moment(t: dt.datetime) -> Column:
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def created_between(c: Column | str, date_from: str | None, date_to: str | None) -> Column:
+    """P10: optional range. Fractions of the last second fall outside, as in the original."""
+    col, cond = _c(c), F.lit(True)
+    low, high = parse_range(date_from, date_to)
+    if low is not None:
+        cond = cond & (col >= _moment(low))
+    if high is not None:
+        cond = cond & (col <= _moment(high))
     return cond
 
 

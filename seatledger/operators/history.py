@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -35,8 +35,10 @@ def sales_daily(t: Tables, n: int = DAILY_DATES) -> DataFrame:
 
 def renewals_daily(t: Tables, n: int = DAILY_DATES) -> DataFrame:
     """Renewals per calendar date (price > 0; both types mixed)."""
+    priced = t.renewals.where(P.positive("sale_price"))
+    # n dates lie in the newest months that hold so many: at least one a month
     g = (
-        t.renewals.where(P.positive("sale_price"))
+        _newest_months(priced, n)
         .groupBy(F.to_date("created_at").alias("date"))
         .agg(F.count(F.lit(1)).alias("renewals_count"), money_sum("sale_price").alias("renewal_revenue"))
     )
@@ -48,33 +50,57 @@ def _month() -> F.Column:
     return F.date_format("created_at", "yyyy-MM")
 
 
-def monthly(t: Tables, n: int = MONTHS) -> DataFrame:
-    """Renewals per month label, both types, zero prices counted; newest n."""
-    g = t.renewals.groupBy(_month().alias("month")).agg(
+def _newest_months(log: DataFrame, n: int) -> DataFrame:
+    """The part of a stored log that can hold its newest ``n`` labels (months, or dates).
+
+    Each month that has rows holds at least one label, so the newest ``n``
+    months do; they are found from the partition column alone (at most one
+    value a month leaves Spark), and become a partition filter with the null
+    month, which sorts first. A log without that column is returned as it is.
+    """
+    if LOG_PARTITION not in log.columns:
+        return log
+    month = F.col(LOG_PARTITION)
+    known = log.where(month.isNotNull()).select(month.alias("m")).distinct().orderBy(F.desc("m")).limit(n)
+    least = min((r["m"] for r in known.collect()), default=None)
+    return log if least is None else log.where(month.isNull() | (month >= F.lit(least)))
+
+
+def _months_by_type(t: Tables, n: int) -> DataFrame:
+    """Rows and revenue by month and type: one scan of the newest months."""
+    log = _newest_months(t.renewals, n)
+    return log.groupBy(_month().alias("month"), "renewal_type").agg(
         F.count(F.lit(1)).alias("renewal_count"), money_sum("sale_price").alias("revenue")
     )
+
+
+def monthly(t: Tables, n: int = MONTHS) -> DataFrame:
+    """Renewals per month label, both types, zero prices counted; newest n."""
+    g = _months_by_type(t, n).groupBy("month").agg(F.sum("renewal_count").alias("renewal_count"), money_sum("revenue").alias("revenue"))
     return g.orderBy(F.col("month").desc_nulls_first()).limit(n)
 
 
 def monthly_by_type(t: Tables, n: int = MONTHS) -> DataFrame:
-    """R15 split by renewal_type (cost vs revenue), same newest n months."""
-    g = t.renewals.groupBy(_month().alias("month"), "renewal_type").agg(
-        F.count(F.lit(1)).alias("renewal_count"), money_sum("sale_price").alias("revenue")
-    )
-    # the month list is bounded by n rows; null-safe match keeps a null month
-    top = monthly(t, n).select(F.col("month").alias("m"))
-    return g.join(F.broadcast(top), g["month"].eqNullSafe(top["m"]), "left_semi")
+    """R15 split by renewal_type (cost vs revenue), same newest n months.
+
+    The months are ranked over the grouped rows (two for each month), not over
+    the log, so the log is scanned once.
+    """
+    newest = Window.orderBy(F.col("month").desc_nulls_first())
+    g = _months_by_type(t, n).withColumn("__place", F.dense_rank().over(newest))
+    return g.where(F.col("__place") <= n).drop("__place")
 
 
 # ------------------------------------------------------------------- R14
 def month_range(date_from: str | None, date_to: str | None) -> F.Column:
-    """Predicate on the log's month partition column implied by a date range."""
-    m = F.col(LOG_PARTITION)
-    cond = F.lit(True)
-    if date_from:
-        cond = cond & (m >= F.lit(str(date_from)[:7]))
-    if date_to:
-        cond = cond & (m <= F.lit(str(date_to)[:7]))
+    """Predicate on the log's month partition column implied by a date range,
+    from the same parsed bounds as the row predicate."""
+    m, cond = F.col(LOG_PARTITION), F.lit(True)
+    low, high = P.parse_range(date_from, date_to)
+    if low is not None:
+        cond = cond & (m >= F.lit(f"{low.year:04d}-{low.month:02d}"))
+    if high is not None:
+        cond = cond & (m <= F.lit(f"{high.year:04d}-{high.month:02d}"))
     return cond
 
 
@@ -153,7 +179,7 @@ def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None
         else:
             out.append(F.col(c))
     res = j.select(*out)
-    return res.orderBy(*history_order(cols)) if n is not None else res
+    return res.orderBy(*history_order(cols))
 
 
 def renewal_history_total(t: Tables, date_from: str | None = None, date_to: str | None = None, limit=None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Derive the four domain tables from the driver's TPC-H-style Parquet files.
 
 The mapping is fixed by FIXTURES.md (section 2) so that the DuckDB oracle can
-build the same rows from the same files. The row-dropping conditions below are
-part of that data definition: they delete some parents so that the log holds
-renewals whose profile, account or platform is gone, which is what the outer
-joins and snapshot fallbacks of the reports exist for. Every operator then
-runs over the whole derived tables.
+build the same rows from the same files. Every customer is an account, every
+order a profile and every line a log row. Some log rows name a profile, an
+account or a platform that does not exist (a negative id, platform 99), as if it
+had been deleted since: the outer joins and snapshot fallbacks of the reports
+exist for those. Platform 24 has no accounts and every tenth account has no
+profiles.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ def bind_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bind_accounts(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
     c = read_source(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     key = F.col("c_custkey")
-    return c.where((F.col("c_nationkey") != 24) & (key % 50 != 0)).select(
+    nation = F.col("c_nationkey")
+    return c.select(
         key.alias("id"),
-        F.col("c_nationkey").cast("int").alias("platform_id"),
+        F.when(nation == 24, 23).otherwise(nation).cast("int").alias("platform_id"),
         F.concat(F.lit("cust"), key.cast("string"), F.lit("@mail.example")).alias("email"),
         F.col("c_mktsegment").alias("provider_name"),
         F.abs("c_acctbal").cast(MONEY).alias("cost"),
@@ -58,20 +60,17 @@ def bind_accounts(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> D
     )
 
 
-def bind_profiles(spark: SparkSession, sf_dir: str, accounts: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+def bind_profiles(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
     o = read_source(
         spark,
         sf_dir,
         "orders",
         ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     )
-    key = F.col("o_orderkey")
-    o = o.where((F.col("o_custkey") % 10 != 7) & (key % 9 != 0))
-    # every profile belongs to an existing account: semi join, accounts keyed by id
-    o = o.join(accounts.select(F.col("id").alias("o_custkey")), "o_custkey", "left_semi")
+    key, holder = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
         key.alias("id"),
-        F.col("o_custkey").alias("account_id"),
+        F.when(holder % 10 == 7, holder - 1).otherwise(holder).alias("account_id"),
         F.concat(F.lit("P"), key.cast("string")).alias("profile_name"),
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit(""))
         .otherwise(F.concat(F.lit("Client "), F.col("o_custkey").cast("string")))
@@ -99,16 +98,16 @@ def bind_renewals(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_source(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
     is_acct = F.col("l_returnflag") == "A"
-    lk = F.col("l_orderkey")
+    lk, holder, nation = F.col("l_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
     cust = F.col("o_custkey").cast("string")
 
     def profile_only(text: F.Column) -> F.Column:
         return F.when(is_acct, F.lit("")).otherwise(text)
 
     return j.select(
-        F.when(is_acct, F.lit(None).cast("bigint")).otherwise(lk).alias("profile_id"),
-        F.col("o_custkey").alias("account_id"),
-        F.col("c_nationkey").cast("int").alias("platform_id"),
+        F.when(is_acct, F.lit(None).cast("bigint")).when(lk % 9 == 0, -lk).otherwise(lk).alias("profile_id"),
+        F.when(holder % 50 == 0, -holder).otherwise(holder).alias("account_id"),
+        F.when(nation == 24, 99).otherwise(nation).cast("int").alias("platform_id"),
         F.concat(F.lit("old"), cust, F.lit("@mail.example")).alias("account_email"),
         F.concat(F.lit("Old "), F.col("c_nationkey").cast("string")).alias("platform_name"),
         profile_only(F.concat(F.lit("OldP"), lk.cast("string"))).alias("profile_name"),
@@ -133,10 +132,9 @@ def bind_renewals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bind_tables(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> Tables:
     """Lazy DataFrames for the four tables; nothing runs until an action."""
-    accounts = bind_accounts(spark, sf_dir, as_of)
     return Tables(
         platforms=bind_platforms(spark, sf_dir),
-        accounts=accounts,
-        profiles=bind_profiles(spark, sf_dir, accounts, as_of),
+        accounts=bind_accounts(spark, sf_dir, as_of),
+        profiles=bind_profiles(spark, sf_dir, as_of),
         renewals=bind_renewals(spark, sf_dir),
     )
