@@ -18,6 +18,7 @@ from .operators import history as H
 from .operators import lists as L
 from .operators import reports as R
 from .sources.bindings import bind_tables
+from .sources.tables import materialize
 
 AS_OF = dt.date(2000, 1, 1)
 PLATFORM_ID = 3
@@ -172,3 +173,46 @@ register("seed_defaults", O.seed_defaults_sql(Q.AS_OF_SQL))(
 register("conform_schema", O.CONFORM_SCHEMA)(
     lambda t: S.conform_renewals(t.renewals.select("profile_id", "new_expiry_date", "sale_price", "created_at"))
 )
+register("seed_defaults_empty", O.seed_defaults_sql(Q.AS_OF_SQL, empty=True))(
+    lambda t: S.seed_defaults(t.platforms.sparkSession, t.platforms.where("id < 0"), AS_OF)
+)
+register("conform_profiles", O.CONFORM_PROFILES)(
+    lambda t: S.conform_profiles(t.profiles.drop("is_active", "client_whatsapp"))
+)
+
+
+# ------------------------------------- what else a change gives: rejections, other tables
+def _rejected(name: str, sql: str, change: Callable) -> None:
+    register(f"{name}_rejected", sql)(lambda t: change(t).rejected.select("seq", "reason"))
+
+
+_rejected("insert_accounts", O.rejected_insert_sql(Q.INSERT_ACCOUNTS_REQ, "accounts"), lambda t: C.insert_accounts(t, Q.insert_accounts_req(t), AS_OF))
+_rejected("insert_profiles", O.rejected_insert_sql(Q.INSERT_PROFILES_REQ, "profiles"), lambda t: C.insert_profiles(t, Q.insert_profiles_req(t), Q.NOW))
+_rejected("update_accounts", O.rejected_update_sql(Q.UPDATE_ACCOUNTS_REQ, "accounts"), lambda t: C.update_accounts(t, Q.update_accounts_req(t)))
+_rejected("update_profiles", O.rejected_update_sql(Q.UPDATE_PROFILES_REQ, "profiles"), lambda t: C.update_profiles(t, Q.update_profiles_req(t)))
+_rejected("delete_accounts", O.rejected_delete_sql(Q.DELETE_ACCOUNTS_REQ, "accounts"), lambda t: C.delete_accounts(t, Q.delete_accounts_req(t)))
+_rejected("renew_profiles", O.rejected_renewal_sql(Q.RENEW_PROFILES_REQ, "profile_id"), lambda t: C.renew_profiles(t, Q.renew_profiles_req(t), Q.NOW))
+_rejected("renew_accounts", O.rejected_renewal_sql(Q.RENEW_ACCOUNTS_REQ, "account_id"), lambda t: C.renew_accounts(t, Q.renew_accounts_req(t), Q.NOW))
+register("renew_profiles_table", O.renewed_table_sql(Q.RENEW_PROFILES_REQ, "profiles"))(
+    lambda t: C.renew_profiles(t, Q.renew_profiles_req(t), Q.NOW).tables.profiles
+)
+register("renew_accounts_table", O.renewed_table_sql(Q.RENEW_ACCOUNTS_REQ, "accounts"))(
+    lambda t: C.renew_accounts(t, Q.renew_accounts_req(t), Q.NOW).tables.accounts
+)
+register("delete_platforms_accounts", O.delete_platforms_accounts_sql(Q.DELETE_PLATFORMS_REQ))(
+    lambda t: C.delete_platforms(t, Q.delete_platforms_req(t)).tables.accounts
+)
+# a stored log (months as partitions) with dates that are not padded
+register("renewal_history_stored", O.renewal_history_sql("1999-01-05", "1999-03-07", None))(
+    lambda t: H.renewal_history(materialize(t.platforms.sparkSession, t, "history"), "1999-1-5", "1999-3-7")
+)
+register("profile_display", O.PROFILE_DISPLAY)(lambda t: N.profile_display(L.profile_list(t)))
+register("expiring_display", O.expiring_display_sql(WITHIN_DAYS))(lambda t: N.expiring_display(R.expiring_within(t, AS_OF, WITHIN_DAYS)))
+
+
+def _creation_outbox(t):
+    res = C.insert_profiles(t, Q.insert_profiles_req(t), Q.NOW)
+    return N.creation_outbox(res.tables, res.applied)
+
+
+register("creation_outbox", O.creation_outbox_sql(Q.INSERT_PROFILES_REQ, Q.NOW_SQL))(_creation_outbox)

@@ -58,8 +58,9 @@ def money_text(c: Column | str) -> Column:
 
 
 def occupancy_pct(count: Column | str, max_profiles: Column | str) -> Column:
-    """share of seats used, in percent, capped at 100."""
-    return F.least(F.lit(100.0), (_c(count) / _c(max_profiles)) * F.lit(100.0))
+    """share of seats used, in percent, capped at 100 (without seats: 100 once any is used, else null)."""
+    share = F.try_divide(_c(count), _c(max_profiles)) * F.lit(100.0)
+    return F.when((_c(max_profiles) == 0) & (_c(count) > 0), F.lit(100.0)).otherwise(F.least(F.lit(100.0), share))
 
 
 def is_full(count: Column | str, max_profiles: Column | str) -> Column:
@@ -183,6 +184,7 @@ def expiry_message(client: Column | str, platform: Column | str) -> Column:
     )
 
 
+# The rules at the end of a renewal notice, and its dividing line.
 RULES_BLOCK = (
     "*REGLAS:*\n"
     "1.- NO COMPARTIR LA CUENTA.\n"

@@ -15,7 +15,7 @@ use ``plans.sequence`` (bounded window groups).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from ..model import (
     empty_like,
     ntz,
 )
-from ..plans.joins import left_join_spread_nulls, restrict_to_keys
+from ..plans.joins import DIMENSION_MAX_ROWS, left_join_spread_nulls, matching, restrict_to_keys, small_enough
 from ..plans.sequence import previous_in_key, rank_in_key
 from ..sources.tables import stage
 from .reports import _accounts_with_platform
@@ -47,12 +47,19 @@ PARENT_NOT_FOUND = "parent_not_found"
 ACCOUNT_FULL = "account_full"
 BAD_DAYS = "invalid_days"
 
+PHONE = "provider_phone"  # an account column that only some deployments keep
+
 
 @dataclass(frozen=True)
 class ChangeResult:
+    """The tables after a change, the rows written and the requests rejected.
+    ``appended``: by table, rows that were only added (``commit_changes``
+    writes those beside the old ones instead of the whole table)."""
+
     tables: Tables
     applied: DataFrame
     rejected: DataFrame
+    appended: dict[str, DataFrame] = field(default_factory=dict)
 
 
 # ----------------------------------------------------------------- helpers
@@ -73,6 +80,13 @@ def _opt(req: DataFrame, name: str, dtype: str) -> Column:
     return F.col(name).cast(dtype) if name in req.columns else F.lit(None).cast(dtype)
 
 
+def _filled(req: DataFrame, name: str, default, dtype=None) -> Column:
+    """A request column with its default (F6), also where the batch does not carry it."""
+    if name not in req.columns:
+        return F.lit(default).cast(dtype or "string").alias(name)
+    return (text_or(name, default) if dtype is None else number_or(name, default, dtype)).alias(name)
+
+
 def truthy(req: DataFrame, name: str) -> Column:
     """P12 for one request field: null, blank text and numeric 0 are falsy."""
     if name not in req.columns:
@@ -113,9 +127,10 @@ def _split(req: DataFrame, reason: Column, checkpoint: bool = False) -> tuple[Da
 def _exists(req: DataFrame, fk: str, parent: DataFrame, flag: str = "__found") -> DataFrame:
     """Left join a presence flag of ``parent.id`` on ``req.fk`` (ids are unique).
 
-    Requests without a key (invalid anyway) are spread, not sent to one task.
+    Requests without a key (invalid anyway) are spread, not sent to one task;
+    the parents of a small batch are picked without shuffling the table.
     """
-    keys = parent.select(F.col("id").alias(fk), F.lit(True).alias(flag))
+    keys = matching(parent.select(F.col("id").alias(fk), F.lit(True).alias(flag)), fk, req, fk, small_enough(req))
     return left_join_spread_nulls(req, keys, fk, fk, salt_cols=["seq"])
 
 
@@ -144,7 +159,7 @@ def insert_platforms(t: Tables, req: DataFrame, as_of: dt.date) -> ChangeResult:
         .alias("max_profiles"),
         F.lit(as_of).alias("created_on"),
     )
-    return ChangeResult(t.with_(platforms=t.platforms.unionByName(new)), new, bad)
+    return ChangeResult(t.with_(platforms=t.platforms.unionByName(new)), new, bad, {"platforms": new})
 
 
 def insert_accounts(t: Tables, req: DataFrame, as_of: dt.date) -> ChangeResult:
@@ -162,8 +177,9 @@ def insert_accounts(t: Tables, req: DataFrame, as_of: dt.date) -> ChangeResult:
         (number_or("cost", 0, MONEY) if "cost" in req.columns else F.lit(0).cast(MONEY)).alias("cost"),
         _opt(req, "expiry_date", "date").alias("expiry_date"),
         F.lit(as_of).alias("created_on"),
+        *([_filled(req, PHONE, "")] if PHONE in t.accounts.columns else []),
     )
-    return ChangeResult(t.with_(accounts=t.accounts.unionByName(new)), new, bad.drop("__found"))
+    return ChangeResult(t.with_(accounts=t.accounts.unionByName(new)), new, bad.drop("__found"), {"accounts": new})
 
 
 def insert_profiles(t: Tables, req: DataFrame, now: dt.datetime, enforce_capacity: bool = False) -> ChangeResult:
@@ -196,7 +212,7 @@ def insert_profiles(t: Tables, req: DataFrame, now: dt.datetime, enforce_capacit
         F.lit(True).alias("is_active"),
         ntz(now).alias("created_at"),
     )
-    return ChangeResult(t.with_(profiles=t.profiles.unionByName(new)), new, bad)
+    return ChangeResult(t.with_(profiles=t.profiles.unionByName(new)), new, bad, {"profiles": new})
 
 
 def admit_within_capacity(t: Tables, req: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +251,8 @@ def _last_valid(ok: DataFrame, fields: list[str], keep_on_null: list[str] = ())
 def _overwrite(table: DataFrame, winners: DataFrame, fields: list[str], keep_on_null: list[str] = ()) -> DataFrame:
     """Replace ``fields`` of matched rows; ``keep_on_null`` fall back to the old value."""
     w = winners.select(F.col("id"), F.lit(True).alias("__hit"), *[F.col(f).alias("__new_" + f) for f in fields])
-    j = table.join(w, "id", "left")
+    # few new rows go to the table's tasks; the table itself is not shuffled
+    j = table.join(F.broadcast(w) if small_enough(w, DIMENSION_MAX_ROWS) else w, "id", "left")
     out = []
     for c in table.columns:
         if c in fields:
@@ -259,9 +276,9 @@ def update_platforms(t: Tables, req: DataFrame) -> ChangeResult:
         "seq",
         F.col("id").cast("int").alias("id"),
         "name",
-        text_or("icon", DEFAULT_ICON).alias("icon"),
-        text_or("color", DEFAULT_COLOR).alias("color"),
-        number_or("max_profiles", DEFAULT_MAX_PROFILES, "int").alias("max_profiles"),
+        _filled(req, "icon", DEFAULT_ICON),
+        _filled(req, "color", DEFAULT_COLOR),
+        _filled(req, "max_profiles", DEFAULT_MAX_PROFILES, "int"),
     )
     fields = ["name", "icon", "color", "max_profiles"]
     win = _last_valid(ok, fields)
@@ -282,11 +299,12 @@ def update_accounts(t: Tables, req: DataFrame, keep_expiry_on_blank: bool = Fals
         "seq",
         F.col("id").cast("bigint").alias("id"),
         "email",
-        text_or("provider_name", "").alias("provider_name"),
-        number_or("cost", 0, MONEY).alias("cost"),
-        F.col("expiry_date").cast("date").alias("expiry_date"),
+        _filled(req, "provider_name", ""),
+        _filled(req, "cost", 0, MONEY),
+        _opt(req, "expiry_date", "date").alias("expiry_date"),
+        *([_filled(req, PHONE, "")] if PHONE in t.accounts.columns else []),
     )
-    fields = ["email", "provider_name", "cost", "expiry_date"]
+    fields = ["email", "provider_name", "cost", "expiry_date", *([PHONE] if PHONE in t.accounts.columns else [])]
     keep = ["expiry_date"] if keep_expiry_on_blank else []
     win = _last_valid(ok, fields, keep)
     return ChangeResult(t.with_(accounts=_overwrite(t.accounts, win, fields, keep)), win, bad.drop("__found"))
@@ -306,9 +324,9 @@ def update_profiles(t: Tables, req: DataFrame, keep_expiry_on_blank: bool = Fals
         F.col("id").cast("bigint").alias("id"),
         "profile_name",
         "client_name",
-        text_or("client_whatsapp", "").alias("client_whatsapp"),
-        number_or("sale_price", 0, MONEY).alias("sale_price"),
-        F.col("expiry_date").cast("date").alias("expiry_date"),
+        _filled(req, "client_whatsapp", ""),
+        _filled(req, "sale_price", 0, MONEY),
+        _opt(req, "expiry_date", "date").alias("expiry_date"),
     )
     fields = ["profile_name", "client_name", "client_whatsapp", "sale_price", "expiry_date"]
     keep = ["expiry_date"] if keep_expiry_on_blank else []
@@ -330,7 +348,7 @@ def merge_profiles(t: Tables, req: DataFrame) -> ChangeResult:
 def _first_hits(req: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first request per existing target id is applied; the rest rejected."""
     first = req.groupBy("id").agg(F.min("seq").alias("seq"))
-    hits = first.join(targets.select("id"), "id", "left_semi")
+    hits = first.join(matching(targets.select("id"), "id", req, "id", small_enough(req)), "id", "left_semi")
     bad = req.join(hits.select("id", "seq"), ["id", "seq"], "left_anti").withColumn("reason", F.lit(NOT_FOUND))
     return hits, bad
 
@@ -349,8 +367,8 @@ def delete_accounts(t: Tables, req: DataFrame) -> ChangeResult:
     req = req.select("seq", F.col("id").cast("bigint").alias("id"))
     hits, bad = _first_hits(req, t.accounts)
     gone = hits.select("id")
-    accounts = t.accounts.join(gone, "id", "left_anti")
-    profiles = t.profiles.join(gone.withColumnRenamed("id", "account_id"), "account_id", "left_anti")
+    accounts = t.accounts.join(gone, "id", "left_anti").select(*t.accounts.columns)
+    profiles = t.profiles.join(gone.withColumnRenamed("id", "account_id"), "account_id", "left_anti").select(*t.profiles.columns)
     return ChangeResult(t.with_(accounts=accounts, profiles=profiles), hits, bad)
 
 
@@ -359,10 +377,10 @@ def delete_platforms(t: Tables, req: DataFrame) -> ChangeResult:
     req = req.select("seq", F.col("id").cast("int").alias("id"))
     hits, bad = _first_hits(req, t.platforms)
     gone = hits.select(F.col("id").alias("platform_id"))
-    platforms = t.platforms.join(hits.select("id"), "id", "left_anti")
+    platforms = t.platforms.join(hits.select("id"), "id", "left_anti").select(*t.platforms.columns)
     gone_accounts = t.accounts.join(gone, "platform_id", "left_semi").select(F.col("id").alias("account_id"))
-    accounts = t.accounts.join(gone, "platform_id", "left_anti")
-    profiles = t.profiles.join(gone_accounts, "account_id", "left_anti")
+    accounts = t.accounts.join(gone, "platform_id", "left_anti").select(*t.accounts.columns)
+    profiles = t.profiles.join(gone_accounts, "account_id", "left_anti").select(*t.profiles.columns)
     return ChangeResult(t.with_(platforms=platforms, accounts=accounts, profiles=profiles), hits, bad)
 
 
@@ -406,11 +424,13 @@ def reset_report(before: Tables, after: Tables) -> DataFrame:
 # ---------------------------------------------------------------- renewals
 def _log_rows(rows: DataFrame, renewals: DataFrame) -> DataFrame:
     """Shape new log rows like the log (extra log columns become null; the
-    month partition column, when the log has one, is derived)."""
+    month partition column, when the log has one, is derived, and so is its id)."""
     cols = []
     for f in renewals.schema.fields:
         if f.name == LOG_PARTITION:
             c = F.date_format("created_at", "yyyy-MM")
+        elif f.name == "id":
+            c = new_ids(renewals, rows)
         else:
             c = F.col(f.name) if f.name in rows.columns else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
@@ -420,7 +440,8 @@ def _log_rows(rows: DataFrame, renewals: DataFrame) -> DataFrame:
 def _set_expiry(table: DataFrame, valid: DataFrame, key: str) -> DataFrame:
     """The table with each renewed row's expiry set to its last requested date."""
     last = valid.groupBy(key).agg(F.max_by("new_expiry_date", "seq").alias("__new"))
-    j = table.join(last.withColumnRenamed(key, "id"), "id", "left")
+    last = last.withColumnRenamed(key, "id")
+    j = table.join(F.broadcast(last) if small_enough(last) else last, "id", "left")
     cols = [F.coalesce(F.col("__new"), F.col(c)).alias(c) if c == "expiry_date" else F.col(c) for c in table.columns]
     return j.select(*cols)
 
@@ -463,7 +484,9 @@ def renew_profiles(
         F.col("new_expiry_date").cast("date"),
         _opt(req, "sale_price", MONEY.simpleString()).alias("__price"),
     )
-    r = left_join_spread_nulls(r, prof, "profile_id", "profile_id", salt_cols=["seq"])
+    small = small_enough(r)
+    r = left_join_spread_nulls(r, matching(prof, "profile_id", r, "profile_id", small), "profile_id", "profile_id", salt_cols=["seq"])
+    acc = matching(acc, "account_id", r, "account_id", small)
     # found = active profile whose account and platform exist (inner joins in
     # the original); unmatched requests have no account_id and are spread
     r = left_join_spread_nulls(r, acc, "account_id", "account_id", salt_cols=["seq"])
@@ -500,6 +523,7 @@ def renew_profiles(
         t.with_(profiles=profiles, renewals=t.renewals.unionByName(log)),
         rows,
         bad.select(*keep),
+        {"renewals": log},
     )
 
 
@@ -531,6 +555,7 @@ def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime, checkpoint: bool
         F.col("new_expiry_date").cast("date"),
         _opt(req, "renewal_cost", MONEY.simpleString()).alias("__price"),
     )
+    live = matching(live, "account_id", r, "account_id", small_enough(r))
     r = left_join_spread_nulls(r, live, "account_id", "account_id", salt_cols=["seq"])
     ok, bad = _split(
         r,
@@ -563,6 +588,7 @@ def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime, checkpoint: bool
         t.with_(accounts=accounts, renewals=t.renewals.unionByName(log)),
         rows,
         bad.select(*keep),
+        {"renewals": log},
     )
 
 
@@ -579,9 +605,10 @@ def renewal_target_date(t: Tables, req: DataFrame, as_of: dt.date, kind: str = R
         base_tbl = t.accounts.select("id", "expiry_date")
     else:
         base_tbl = t.profiles.where(P.is_active()).select("id", "expiry_date")
+    req = req.select("seq", F.col("id").cast("bigint").alias("id"), "days")
     r = left_join_spread_nulls(
-        req.select("seq", F.col("id").cast("bigint").alias("id"), "days"),
-        base_tbl.withColumn("__found", F.lit(True)),
+        req,
+        matching(base_tbl, "id", req, "id", small_enough(req)).withColumn("__found", F.lit(True)),
         "id",
         "id",
         salt_cols=["seq"],

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
 from ..model import RENEWAL_ACCOUNT, RENEWAL_PROFILE, Tables
+from ..plans.joins import matching, small_enough
 from .reports import _accounts_with_platform, _profiles_with_labels, platform_report
 from .rollups import profiles_per_account
 
@@ -50,36 +51,74 @@ def expiry_outbox(t: Tables, as_of: dt.date) -> DataFrame:
     ).withColumn("link", X.chat_link("client_whatsapp", "message"))
 
 
-def renewal_outbox(t: Tables, log_rows: DataFrame) -> DataFrame:
+def _notices(rows: DataFrame, *keep: str) -> DataFrame:
+    """N3's text and link for rows with a phone, from labels at hand."""
+    msg = X.renewal_message("platform_name", "account_email", "profile_name", None, "new_expiry_date")
+    told = rows.where(P.non_blank("client_whatsapp")).select(*keep, "client_whatsapp", msg.alias("message"))
+    return told.withColumn("link", X.chat_link("client_whatsapp", "message"))
+
+
+def _notified(rows: DataFrame, requests: DataFrame | None) -> DataFrame:
+    """Without the rows whose request said not to notify (a ``notify`` column, true where missing or null)."""
+    if requests is None or "notify" not in requests.columns:
+        return rows
+    return rows.join(requests.where(~F.col("notify")).select("seq"), "seq", "left_anti")
+
+
+def renewal_outbox(t: Tables, log_rows: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """A confirmation for each new 'profile' log row whose profile has a phone.
 
-    ``t`` holds the tables after the change (the live profile and account give
-    phone, profile name and email); ``log_rows`` are the rows the renewal
-    wrote (``ChangeResult.applied``). The account password is not carried, a
-    placeholder stands in its place.
+    ``log_rows`` are the rows the renewal wrote (``ChangeResult.applied``); they
+    carry phone, profile, email and platform of the live rows already, so
+    nothing is looked up. ``requests`` may carry the notify flag. The account
+    password is not carried, a placeholder stands in its place.
     """
-    prof = t.profiles.where(P.non_blank("client_whatsapp")).select(
-        F.col("id").alias("profile_id"),
-        "account_id",
-        F.col("client_whatsapp").alias("__phone"),
-        F.col("profile_name").alias("__profile"),
+    rows = log_rows.where(F.col("renewal_type") == RENEWAL_PROFILE)
+    return _notices(_notified(rows, requests), "seq", "profile_id")
+
+
+def creation_outbox(t: Tables, new_profiles: DataFrame) -> DataFrame:
+    """N3 after creation: the same notice for each inserted profile with a phone.
+
+    ``t`` holds the tables after the change, ``new_profiles`` the rows it wrote;
+    only the accounts that they name meet their platforms.
+    """
+    rows = new_profiles.where(P.non_blank("client_whatsapp"))
+    acc = matching(t.accounts, "id", rows, "account_id", small_enough(rows))
+    acc = _accounts_with_platform(t.with_(accounts=acc)).select(
+        F.col("id").alias("account_id"), F.col("email").alias("account_email"), "platform_name"
+    )
+    rows = rows.withColumnsRenamed({"id": "profile_id", "expiry_date": "new_expiry_date"})
+    return _notices(rows.join(acc, "account_id"), "profile_id", "account_id")
+
+
+def profile_display(profiles: DataFrame) -> DataFrame:
+    """the texts of a profile card, with its words for what is missing."""
+    price = F.when(P.positive("sale_price"), X.money_text("sale_price")).otherwise(F.lit("No definido"))
+    return profiles.select(
+        "id",
+        _or("client_name", "Sin asignar").alias("client_text"),
+        _or("client_whatsapp", "No registrado").alias("phone_text"),
+        price.alias("price_text"),
+        X.long_date_text("expiry_date").alias("expiry_text"),
     )
-    acc = _accounts_with_platform(t).select(
-        F.col("id").alias("account_id"),
-        F.col("email").alias("__email"),
-        F.col("platform_name").alias("__platform"),
+
+
+def expiring_display(rows: DataFrame) -> DataFrame:
+    """the texts of the expiry report (``expiring_within``), a dash for what is missing."""
+    acct = F.col("type") == RENEWAL_ACCOUNT
+    return rows.select(
+        "type",
+        "id",
+        F.concat_ws(" ", "platform_icon", "platform_name").alias("platform_text"),
+        F.when(acct, _or("provider_name", "—")).otherwise(_or("client_name", "—")).alias("who_text"),
+        X.money_text(F.when(acct, F.col("cost")).otherwise(F.col("sale_price"))).alias("amount_text"),
+        X.long_date_text("expiry_date").alias("expiry_text"),
     )
-    rows = log_rows.where(F.col("renewal_type") == RENEWAL_PROFILE).select("seq", "profile_id", "new_expiry_date")
-    # the batch's rows meet the profiles first, then only those meet the
-    # accounts (inner joins, as the labels of the original)
-    j = rows.join(prof, "profile_id").join(acc, "account_id")
-    msg = X.renewal_message("__platform", "__email", "__profile", None, "new_expiry_date")
-    return j.select(
-        "seq",
-        "profile_id",
-        F.col("__phone").alias("client_whatsapp"),
-        msg.alias("message"),
-    ).withColumn("link", X.chat_link("client_whatsapp", "message"))
+
+
+def _or(c: str, text: str) -> Column:
+    return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(text)).otherwise(F.col(c))
 
 
 # ------------------------------------------------------- display columns

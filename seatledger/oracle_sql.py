@@ -751,14 +751,12 @@ FROM req r LEFT JOIN (SELECT * FROM profiles WHERE is_active = true) p ON p.id =
 """
 
 
-def seed_defaults_sql(as_of: str) -> str:
-    return f"""
-SELECT * FROM platforms
-UNION ALL
-SELECT CAST(id AS INTEGER), name, icon, color, CAST(max_profiles AS INTEGER), {as_of}
-FROM (VALUES {DEFAULT_PLATFORMS}) d(id, name, icon, color, max_profiles)
-WHERE NOT EXISTS (SELECT 1 FROM platforms)
-"""
+def seed_defaults_sql(as_of: str, empty: bool = False) -> str:
+    """The platforms, or the defaults where there are none (``empty``: as if there were none)."""
+    defaults = f"""
+SELECT CAST(id AS INTEGER) AS id, name, icon, color, CAST(max_profiles AS INTEGER) AS max_profiles, {as_of} AS created_on
+FROM (VALUES {DEFAULT_PLATFORMS}) AS d(id, name, icon, color, max_profiles)"""
+    return defaults if empty else f"SELECT * FROM platforms UNION ALL {defaults} WHERE NOT EXISTS (FROM platforms)"
 
 
 CONFORM_SCHEMA = """
@@ -768,3 +766,96 @@ SELECT profile_id, CAST(NULL AS BIGINT) AS account_id, CAST(NULL AS INTEGER) AS
        sale_price, 'profile' AS renewal_type, created_at
 FROM renewals
 """
+
+CONFORM_PROFILES = """
+SELECT id, account_id, profile_name, client_name, CAST(NULL AS VARCHAR) AS client_whatsapp, sale_price, expiry_date,
+       true AS is_active, created_at
+FROM profiles
+"""
+
+# ------------------------------------------ rejections and other tables of a change
+_NEEDED = {
+    ("insert", "accounts"): [_truthy_num("platform_id"), _truthy_text("email"), _truthy_text("password")],
+    ("insert", "profiles"): [_truthy_num("account_id"), _truthy_text("profile_name"), _truthy_text("client_name")],
+    ("update", "accounts"): [_truthy_text("email"), _truthy_text("password")],
+    ("update", "profiles"): [_truthy_text("profile_name"), _truthy_text("client_name")],
+}
+_PARENT = {"accounts": ("platform_id", "platforms"), "profiles": ("account_id", "accounts")}
+
+
+def _reasons(req: str, cases: str) -> str:
+    return f", req AS ({req}) SELECT * FROM (SELECT seq, CASE {cases} END AS reason FROM req) WHERE reason IS NOT NULL"
+
+
+def rejected_insert_sql(req: str, table: str) -> str:
+    key, parent = _PARENT[table]
+    valid = " AND ".join(_NEEDED["insert", table])
+    return _reasons(
+        req, f"WHEN NOT ({valid}) THEN 'missing_field' WHEN NOT EXISTS (FROM {parent} AS up WHERE up.id = req.{key}) THEN 'parent_not_found'"
+    )
+
+
+def rejected_update_sql(req: str, table: str) -> str:
+    valid, live = " AND ".join(_NEEDED["update", table]), "AND is_active" if table == "profiles" else ""
+    return _reasons(
+        req, f"WHEN NOT ({valid}) THEN 'missing_field' WHEN NOT EXISTS (FROM {table} AS x WHERE x.id = req.id {live}) THEN 'not_found'"
+    )
+
+
+def rejected_delete_sql(req: str, table: str) -> str:
+    """Only the first request on an existing id is carried out."""
+    again = "seq > (SELECT min(seq) FROM req AS first WHERE first.id = req.id)"
+    return _reasons(req, f"WHEN {again} OR NOT EXISTS (FROM {table} AS x WHERE x.id = req.id) THEN 'not_found'")
+
+
+def rejected_renewal_sql(req: str, key: str) -> str:
+    live = {
+        "profile_id": "FROM profiles AS x, accounts AS a, platforms AS p WHERE x.id = req.profile_id AND x.is_active AND a.id = x.account_id AND p.id = a.platform_id",
+        "account_id": "FROM accounts AS a, platforms AS p WHERE a.id = req.account_id AND p.id = a.platform_id",
+    }[key]
+    return _reasons(req, f"WHEN new_expiry_date IS NULL THEN 'missing_field' WHEN NOT EXISTS ({live}) THEN 'not_found'")
+
+
+def renewed_table_sql(req: str, table: str) -> str:
+    """The table with the last requested date of every row that can be renewed."""
+    key, live = {"profiles": ("profile_id", "is_active"), "accounts": ("account_id", "true")}[table]
+    last = f"SELECT arg_max(new_expiry_date, seq) FROM req WHERE req.{key} = x.id AND new_expiry_date IS NOT NULL"
+    return f", req AS ({req}) SELECT x.* REPLACE (ifnull(CASE WHEN {live} THEN ({last}) END, expiry_date) AS expiry_date) FROM {table} AS x"
+
+
+def delete_platforms_accounts_sql(req: str) -> str:
+    return f", req AS ({req}) SELECT * FROM accounts AS a WHERE NOT EXISTS (FROM req WHERE req.id = a.platform_id)"
+
+
+def _or_text(c: str, text: str) -> str:
+    return f"ifnull(nullif({c}, ''), '{text}')"
+
+
+PROFILE_DISPLAY = f"""
+SELECT id, {_or_text('client_name', 'Sin asignar')} AS client_text, {_or_text('client_whatsapp', 'No registrado')} AS phone_text,
+       CASE WHEN sale_price > 0 THEN {money_txt('sale_price')} ELSE 'No definido' END AS price_text,
+       {long_date('expiry_date')} AS expiry_text
+FROM ({profile_list_sql('')})
+"""
+
+
+def expiring_display_sql(days: int) -> str:
+    return f"""
+SELECT type, id, platform_icon || ' ' || platform_name AS platform_text,
+       CASE type WHEN 'account' THEN {_or_text('provider_name', '—')} ELSE {_or_text('client_name', '—')} END AS who_text,
+       {money_txt("ifnull(cost, sale_price)")} AS amount_text, {long_date('expiry_date')} AS expiry_text
+FROM ({expiring_within_sql(days)})
+"""
+
+
+def creation_outbox_sql(req: str, now: str) -> str:
+    """A notice for each inserted profile with a phone."""
+    msg = renewal_msg("brand.name", "holder.email", "fresh.profile_name", "fresh.expiry_date")
+    made = insert_profiles_sql(req, now)
+    cte = f", req AS ({req}), fresh AS ({made[made.index(req) + len(req) + 1:]})"
+    return f"""{cte}
+SELECT profile_id, account_id, client_whatsapp, message, {link('client_whatsapp', 'message')} AS link
+FROM (SELECT fresh.id AS profile_id, fresh.account_id, fresh.client_whatsapp, {msg} AS message
+      FROM fresh, accounts AS holder, platforms AS brand
+      WHERE holder.id = fresh.account_id AND brand.id = holder.platform_id AND fresh.client_whatsapp <> '')
+"""

@@ -15,12 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A dimension table broadcast to every task must stay small: rows are checked
 # against this bound before a broadcast hint is given.
 DIMENSION_MAX_ROWS = 100_000
-# Null keys are spread over this many salt values.
-NULL_SPREAD = 1024
 # A key set used to pre-filter a big table is broadcast only up to this size.
 KEY_FILTER_MAX_ROWS = 1_000_000
 
@@ -31,8 +30,7 @@ def dimension(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
     The count runs once over the (small by design) dimension table; a table
     that outgrows the bound silently falls back to a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def left_join_spread_nulls(
@@ -41,14 +39,14 @@ def left_join_spread_nulls(
     left_key: str,
     right_key: str,
     salt_cols: list[str],
-    buckets: int = NULL_SPREAD,
 ) -> DataFrame:
     """``left LEFT JOIN right ON left.left_key = right.right_key``.
 
     Rows with a null ``left_key`` can never match, but hash partitioning would
     send all of them to one task. They are joined on a surrogate key instead:
-    one of ``buckets`` values derived from their own columns (deterministic,
-    so a recomputed task routes rows the same way). The extra condition
+    a negative number derived from their own columns (deterministic, so a
+    recomputed task routes rows the same way), of the key type's whole range, so
+    however many there are, few share one. The extra condition
     ``left_key IS NOT NULL`` keeps the result exact whatever ids the right
     side holds. The surrogate is an expression of the left rows, not a
     constant, so the optimizer keeps it in the join keys (a constant salt on
@@ -56,7 +54,8 @@ def left_join_spread_nulls(
     """
     jk, rk = "__join_key", "__right_key"
     kt = left.schema[left_key].dataType
-    spread = (F.lit(-1) - F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets))).cast(kt)
+    bits = 31 if isinstance(kt, T.IntegerType) else 63
+    spread = (F.lit(-1) - F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in salt_cols]), 64 - bits)).cast(kt)
     lhs = left.withColumn(jk, F.coalesce(F.col(left_key), spread))
     same = left_key == right_key
     rhs = right.withColumnRenamed(right_key, rk) if same else right
@@ -70,7 +69,7 @@ def left_join_dimension(
 ) -> DataFrame:
     """Left join to a dimension: broadcast when its size is within the bound
     (null keys cost nothing there), else the null-spreading shuffle join."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
+    if dim.count() <= max_rows:
         return left.join(F.broadcast(dim), left[left_key] == dim[right_key], "left")
     return left_join_spread_nulls(left, dim, left_key, right_key, salt_cols)
 
@@ -104,12 +103,27 @@ def restrict_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, ma
     return restrict_all_to_keys([df], key, keys, keys_col, max_rows)[0]
 
 
+def small_enough(batch: DataFrame, max_rows: int = KEY_FILTER_MAX_ROWS) -> bool:
+    """Whether a batch is counted to be small enough to send to every task."""
+    return batch.count() <= max_rows
+
+
+def matching(table: DataFrame, key: str, batch: DataFrame, batch_key: str, small: bool) -> DataFrame:
+    """The rows of a table that a batch names. For a small batch its keys go to
+    the table's tasks, and no row of the table is shuffled; a left join of
+    the batch with what is left then costs what the batch costs."""
+    if not small:
+        return table
+    keys = batch.select(F.col(batch_key).cast(table.schema[key].dataType).alias(key)).where(F.col(key).isNotNull())
+    return table.join(F.broadcast(keys), key, "left_semi")
+
+
 def restrict_all_to_keys(
     frames: list[DataFrame], key: str, keys: DataFrame, keys_col: str, max_rows: int = KEY_FILTER_MAX_ROWS
 ) -> list[DataFrame]:
     """``restrict_to_keys`` for several frames sharing one key set (counted once)."""
     k = keys.select(F.col(keys_col).alias(key)).where(F.col(key).isNotNull())
-    if k.limit(max_rows + 1).count() > max_rows:
+    if k.count() > max_rows:
         return list(frames)
     # duplicate keys are harmless in a semi join
     return [df.join(F.broadcast(k), key, "left_semi") for df in frames]

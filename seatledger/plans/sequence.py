@@ -4,19 +4,28 @@ A change batch stands for a sequence of single requests; several requests on
 the same key must see each other in ``seq`` order (the previous request's
 new date, the n-th insert into an account). A window partitioned by the key
 alone would send every request of a hot key to one task. Here the window is
-partitioned by (key, seq bucket), so no window group exceeds ``bucket``
-requests, and a second, much smaller window over one row per (key, bucket)
+partitioned by (key, seq bucket), buckets holding about ``bucket`` requests of
+the batch, and a second, much smaller window over one row per (key, bucket)
 carries values across bucket borders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEQ_BUCKET = 4096
 
 
+def _bucket(df: DataFrame, order: str, bucket: int) -> Column:
+    """Buckets of about ``bucket`` rows: the batch's range of ``order`` is divided
+    by how many rows it holds (one small aggregate), so numbers far apart do
+    not give each row a bucket of its own."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    width = 1 if low is None else max(1, -(-(high - low + 1) * bucket // n))
+    return F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width))
+
+
 def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str, bucket: int = SEQ_BUCKET) -> DataFrame:
     """Add ``out`` = ``value`` of the previous row (by ``order``) with the same key.
 
@@ -24,7 +33,7 @@ def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str, b
     for unique ``order`` values.
     """
     b, first, carry = "__bucket", "__first", "__carry"
-    d = df.withColumn(b, F.floor(F.col(order) / F.lit(bucket)))
+    d = df.withColumn(b, _bucket(df, order, bucket))
     w = Window.partitionBy(key, b).orderBy(order)
     d = d.withColumn(out, F.lag(value).over(w)).withColumn(first, F.row_number().over(w) == 1)
     last = d.groupBy(key, b).agg(F.max_by(value, order).alias("__last"))
@@ -42,7 +51,7 @@ def rank_in_key(df: DataFrame, key: str, order: str, out: str, bucket: int = SEQ
     for unique ``order`` values.
     """
     b, off = "__bucket", "__offset"
-    d = df.withColumn(b, F.floor(F.col(order) / F.lit(bucket)))
+    d = df.withColumn(b, _bucket(df, order, bucket))
     d = d.withColumn(out, F.row_number().over(Window.partitionBy(key, b).orderBy(order)))
     sizes = d.groupBy(key, b).agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import PLATFORMS, RENEWALS
+from ..model import PLATFORMS, PROFILES, RENEWALS, Tables
 
 # The five default platforms (name, icon, color, max_profiles).
 DEFAULT_PLATFORMS = [
@@ -44,6 +44,10 @@ RENEWAL_DEFAULTS = {
 }
 
 
+# Fixed value: profiles stored before soft deletion are all visible.
+PROFILE_DEFAULTS = {"is_active": True}
+
+
 def conform_schema(df: DataFrame, target: T.StructType, defaults: dict | None = None) -> DataFrame:
     """SRC3: add every missing column of ``target`` with its default (or null),
     cast to the declared type; existing columns are cast and kept in order."""
@@ -62,3 +66,24 @@ def conform_schema(df: DataFrame, target: T.StructType, defaults: dict | None =
 def conform_renewals(df: DataFrame) -> DataFrame:
     """An old renewal log (before the snapshot columns) in today's shape."""
     return conform_schema(df, RENEWALS, RENEWAL_DEFAULTS)
+
+
+def conform_profiles(df: DataFrame) -> DataFrame:
+    """Old profiles (before soft deletion) in today's shape: all active."""
+    return conform_schema(df, PROFILES, PROFILE_DEFAULTS)
+
+
+def adopt(t: Tables) -> Tables:
+    """Tables of the original database as the operators want them.
+
+    Platforms and accounts there carry a timestamp ``created_at``; here a date
+    ``created_on`` stands for it. Other columns (``provider_phone``, the log's
+    ``id``) are kept, and changes fill them.
+    """
+
+    def dated(df: DataFrame) -> DataFrame:
+        if "created_at" not in df.columns or "created_on" in df.columns:
+            return df
+        return df.select(*[F.to_date(c).alias("created_on") if c == "created_at" else F.col(c) for c in df.columns])
+
+    return t.with_(platforms=dated(t.platforms), accounts=dated(t.accounts))

@@ -1,18 +1,22 @@
 """Reading and writing the four tables.
 
-Parquet is the storage format. ``write_tables`` lays the renewal log out by
-month (``created_month``), so range filters on the log prune files; the
-other tables are written as they are. ``read_tables_jdbc`` reads a live
+Parquet is the storage format. A path holds versions: every write goes to new
+folders, and a version is published by one small file written last, so readers
+see the old one or the new one. The renewal log is laid out by month
+(``created_month``), so range filters on it prune files. ``read_tables_jdbc`` reads a live
 relational database in parallel partitions (not exercised here: no database
 is available in this environment).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import LOG_PARTITION, Tables
 from ..session import ensure_checkpoint_dir
@@ -23,30 +27,101 @@ NAMES = ("platforms", "accounts", "profiles", "renewals")
 SECRET_COLUMNS = {"accounts": ("password",), "profiles": ("pin",)}
 
 
-def write_tables(t: Tables, path: str, mode: str = "overwrite") -> None:
-    """Persist the tables as Parquet under ``path`` (one folder per table)."""
+VERSIONS = "versions"
+_VERSION_SCHEMA = "version long, table string, commit string, schema string"
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """Rows of the newest published version: one for each table and folder (none: nothing published)."""
+    try:
+        rows = spark.read.schema(_VERSION_SCHEMA).parquet(f"{path}/{VERSIONS}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    newest = rows.agg(F.max("version")).first()[0]
+    return [] if newest is None else rows.where(F.col("version") == newest).collect()
+
+
+def _write_part(name: str, df: DataFrame, path: str, commit: str) -> str:
+    """Write rows of a table to a folder of their own; returns their schema."""
+    to = f"{path}/{name}/commit={commit}"
+    if name == "renewals":
+        df = df.withColumn(LOG_PARTITION, F.date_format("created_at", "yyyy-MM"))
+        # Rebalance on the month: each month lands in few files (instead of
+        # one file per month per input task), small months are coalesced,
+        # and AQE splits a month that holds most of the log into
+        # advisory-sized pieces. One pass: unlike range partitioning, no
+        # sampling job recomputes the input first.
+        df.hint("rebalance", LOG_PARTITION).write.partitionBy(LOG_PARTITION).parquet(to)
+    else:
+        df.write.parquet(to)
+    return df.schema.json()
+
+
+def _publish(spark: SparkSession, path: str, version: int, parts: dict[str, tuple[list[str], str]]) -> None:
+    """Make a version readable: one file, written last, by one task."""
+    rows = [(version, name, commit, schema) for name, (commits, schema) in parts.items() for commit in commits]
+    spark.createDataFrame(rows, _VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/{VERSIONS}")
+
+
+def _new_commit() -> str:
+    return f"c{uuid.uuid4().hex[:16]}"
+
+
+def write_tables(t: Tables, path: str) -> None:
+    """Publish the tables as a new version under ``path``.
+
+    No file of an earlier version is touched, so the tables may come from the
+    same path, and a failure leaves the last version as it was. One writer at
+    a time.
+    """
+    spark, commit = t.platforms.sparkSession, _new_commit()
+    seen = _versions(spark, path)
+    parts = {name: ([commit], _write_part(name, getattr(t, name), path, commit)) for name in NAMES}
+    _publish(spark, path, 1 + max((r["version"] for r in seen), default=0), parts)
+
+
+def commit_changes(before: Tables, result, path: str) -> None:
+    """Publish a change (a ``ChangeResult`` on ``before``, read from ``path``) as a new version.
+
+    New log rows and inserted rows are written to folders of their own beside
+    the old ones; a table whose rows changed is written anew; the others keep
+    their folders. The version is switched last.
+    """
+    spark, commit = before.platforms.sparkSession, _new_commit()
+    seen = _versions(spark, path)
+    if not seen:
+        raise ValueError(f"no tables at {path}")
+    parts = {n: ([r["commit"] for r in seen if r["table"] == n], next(r["schema"] for r in seen if r["table"] == n)) for n in NAMES}
     for name in NAMES:
-        df = getattr(t, name)
-        w = df.write.mode(mode)
-        if name == "renewals":
-            df = df.withColumn(LOG_PARTITION, F.date_format("created_at", "yyyy-MM"))
-            # Rebalance on the month: each month lands in few files (instead of
-            # one file per month per input task), small months are coalesced,
-            # and AQE splits a month that holds most of the log into
-            # advisory-sized pieces. One pass: unlike range partitioning, no
-            # sampling job recomputes the input first.
-            df = df.hint("rebalance", LOG_PARTITION)
-            w = df.write.mode(mode).partitionBy(LOG_PARTITION)
-        w.parquet(f"{path}/{name}")
+        if name in result.appended:
+            old, schema = parts[name]
+            # written in the stored columns and types, whatever the change's own order
+            shape = T.StructType.fromJson(json.loads(schema))
+            rows = result.appended[name].select(*[F.col(f.name).cast(f.dataType) for f in shape if f.name != LOG_PARTITION])
+            _write_part(name, rows, path, commit)
+            parts[name] = ([*old, commit], schema)
+        elif getattr(result.tables, name) is not getattr(before, name):
+            parts[name] = ([commit], _write_part(name, getattr(result.tables, name), path, commit))
+    _publish(spark, path, 1 + seen[0]["version"], parts)
 
 
 def read_tables(spark: SparkSession, path: str) -> Tables:
-    """Read tables written by ``write_tables``.
+    """The newest published version.
 
     The log keeps its month partition column, so that time-bounded reports
     prune whole months before reading a file.
     """
-    return Tables(**{name: spark.read.parquet(f"{path}/{name}") for name in NAMES})
+    rows, out = _versions(spark, path), {}
+    if not rows:
+        raise ValueError(f"no tables at {path}")
+    for name in NAMES:
+        mine = [r for r in rows if r["table"] == name]
+        schema = T.StructType.fromJson(json.loads(mine[0]["schema"])).add("commit", "string")
+        df = spark.read.schema(schema).parquet(f"{path}/{name}")
+        out[name] = df.where(F.col("commit").isin([r["commit"] for r in mine])).select(*schema.names[:-1])
+    return Tables(**out)
 
 
 def materialize(spark: SparkSession, t: Tables, label: str) -> Tables:

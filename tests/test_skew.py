@@ -28,7 +28,7 @@ def _rows(df):
 def test_spread_nulls_equals_plain_left_join(spark):
     left, right = _data(spark)
     want = left.join(right, left["k"] == right["id"], "left")
-    got = left_join_spread_nulls(left, right, "k", "id", salt_cols=["rid", "v"], buckets=16)
+    got = left_join_spread_nulls(left, right, "k", "id", salt_cols=["rid", "v"])
     assert got.count() == left.count()
     assert _rows(got) == _rows(want)
     assert "__join_key" not in got.columns
@@ -39,7 +39,7 @@ def test_null_keys_are_join_keys_not_a_filter(spark):
     left, right = _data(spark)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = left_join_spread_nulls(left, right, "k", "id", salt_cols=["rid", "v"], buckets=16)
+        got = left_join_spread_nulls(left, right, "k", "id", salt_cols=["rid", "v"])
         text = got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
