@@ -1,13 +1,14 @@
 """Toxicity: a linear-chain conditional random field tags offending tokens.
 
 Tokens are runs of letters and digits, A-Z lower-cased. Labels are known for
-documents only, so token labels come from them: the smoothed log odds of a
-token's word and of its beginnings (3 to 8 bytes) between toxic and clean
-documents are its evidence, and a token of a toxic document with strong
-evidence is labelled toxic; every token of a clean document is labelled clean,
-whatever its evidence. The field has a weight for each bin of evidence and one
-for two toxic tokens in a row, fitted by gradient on the conditional
-likelihood.
+documents only, so token labels come from them: the smoothed log odds (less a
+standard error) of a token's word and of its beginnings (3 to 8 bytes) between
+the toxic and clean documents of one half of the sample are its evidence. In
+the other half, a token of a toxic document with strong evidence is labelled
+toxic, and every token of a clean document is labelled clean, whatever its
+evidence; so chance finds of the first half count against their bin. The field
+has a weight for each bin of evidence and one for two toxic tokens in a row,
+fitted by gradient on the conditional likelihood.
 
 Scoring runs forward and backward over each document. Tokens without any
 evidence all share one transfer matrix, so a stretch of them is a power of
@@ -24,7 +25,8 @@ is learned is bounded by it. Every document is scored, whole.
 Defined cases: a null or empty text has no tokens and the score of a document
 without evidence; documents without label or id do not train; several
 labels of one document count as their majority, ties as 1; without labels of
-both kinds the score is the share of label 1 (0 without any). Repeated rows
+both kinds the score is the share of label 1 (0 without any); with one kind only in
+either half, both halves are used twice. Repeated rows
 are scored each; an empty table gives an empty table. Result columns replace
 input columns of the same name.
 """
@@ -44,7 +46,7 @@ from ._text import BYTE_CODE, LOWER, MARK, MULTIPLIER, mix, powers, slices, utf8
 from .quality import one_label
 
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-BINS = 14  # 0: no evidence; then half a unit of log odds each, from LEAST
+BINS = 18  # 0: no evidence; then half a unit of log odds each, from LEAST
 LEAST = 0.5
 STRONG = 1.5  # log odds from which a token of a toxic document is labelled toxic
 NEUTRAL = -6.0  # weight of a token without evidence
@@ -271,7 +273,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 10_000, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 20_000, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``docs`` without the text plus ``score`` and ``spans`` (start, end, marginal
     of each offending token); ``train`` says which labelled rows may be learned from."""
@@ -282,13 +284,18 @@ def score_toxicity(
     chosen = usable.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share * (1 << 20))
     learned = docs.select(F.col(doc_id), F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "__label")
     learned = stage(learned.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"), F.max("__label").alias("__label")), "labelled")
-    learned = learned.select("text", "__label")
-    totals = {r["__label"]: r["n"] for r in learned.groupBy("__label").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
+    learned = learned.select("text", "__label", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).cast("int").alias("half"))
+    totals = {(r["half"], r["__label"]): r["n"] for r in learned.groupBy("half", "__label").agg(F.count("*").alias("n")).collect()}
+    toxic_all, all_ = sum(n for (_, y), n in totals.items() if y), sum(totals.values())
+    first, second = learned.where("half = 0"), learned.where("half = 1")
+    toxic, clean = totals.get((0, 1), 0), totals.get((0, 0), 0)
+    if len(totals) < 4:
+        first = second = learned
+        toxic, clean = toxic_all, all_ - toxic_all
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    strong = feature_counts(learned).where("toxic > 2").select("code", odds.alias("odds"), spread.alias("se")).where(F.col("odds") - F.col("se") >= LEAST)
-    rows = strong.select("code", "odds").toPandas()  # of the sample's words
+    strong = feature_counts(first).where("toxic > 1").select("code", (odds - spread).alias("odds")).where(F.col("odds") >= LEAST)
+    rows = strong.toPandas()  # of the sample's words
     evidence = Evidence.of(rows["code"].to_numpy(np.int64).view(np.uint64), rows["odds"].to_numpy(float))
 
     def list_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,10 +305,10 @@ def score_toxicity(
             cuts = np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("__label"), pa.array(sizes), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (at, bins))], ["y", "size", "at", "bins"])
 
-    share1 = toxic / max(toxic + clean, 1)
+    share1 = toxic_all / max(all_, 1)
     weights = pair = curve = None
-    if toxic and clean:
-        got = learned.mapInArrow(list_events, "y int, size long, at array<long>, bins array<long>").toPandas()  # the sample's
+    if 0 < toxic_all < all_:
+        got = second.select("text", "__label").mapInArrow(list_events, "y int, size long, at array<long>, bins array<long>").toPandas()  # the sample's
         y, count = got["y"].to_numpy(int), got["at"].str.len().to_numpy(int)
         flat = [np.concatenate([np.zeros(0, np.int64), *got[k]]) for k in ("at", "bins")]
         size, first, parts = got["size"].to_numpy(int), np.cumsum(count) - count, []
