@@ -16,7 +16,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..model import RENEWAL_ACCOUNT, RENEWAL_PROFILE, Tables
 from ..plans.joins import matching, small_enough
-from .reports import _accounts_with_platform, _profiles_with_labels, platform_report
+from .reports import _accounts_with_platform, _profiles_with_labels, platform_figures
 from .rollups import profiles_per_account
 
 
@@ -151,7 +151,7 @@ def account_occupancy(t: Tables) -> DataFrame:
 
 def money_texts(t: Tables) -> DataFrame:
     """F13 over the per-platform report: cost, revenue and profit as text."""
-    rep = platform_report(t)
+    rep = platform_figures(t)
     return rep.select(
         "id",
         X.money_text("total_cost").alias("total_cost_text"),

@@ -83,7 +83,12 @@ def summary(t: Tables, as_of: dt.date) -> DataFrame:
 
 # --------------------------------------------------------------------- R9
 def platform_report(t: Tables) -> DataFrame:
-    """Accounts, active profiles, cost, revenue and profit per platform.
+    """``platform_figures``, the most profitable first."""
+    return platform_figures(t).orderBy(F.col("profit").desc(), F.col("id"))
+
+
+def platform_figures(t: Tables) -> DataFrame:
+    """Accounts, active profiles, cost, revenue and profit per platform, in no order.
 
     Renewals are matched by the log's own platform_id, so those of deleted
     accounts still count; revenue includes soft-deleted profiles.
@@ -100,7 +105,7 @@ def platform_report(t: Tables) -> DataFrame:
         cost.alias("total_cost"),
         revenue.alias("total_revenue"),
         money(revenue - cost).alias("profit"),
-    ).orderBy(F.col("profit").desc(), F.col("id"))
+    )
 
 
 def platform_report_total(t: Tables) -> DataFrame:
@@ -109,7 +114,7 @@ def platform_report_total(t: Tables) -> DataFrame:
     ``rollup`` over the platform id gives the detail rows and the grand total
     in one aggregation; ``is_total`` marks the total row.
     """
-    rep = platform_report(t)
+    rep = platform_figures(t)
     g = rep.rollup("id").agg(
         F.first("name").alias("name"),
         F.sum("account_count").cast("bigint").alias("account_count"),

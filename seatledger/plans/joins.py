@@ -13,6 +13,8 @@ Hot non-null keys in shuffle joins are split at run time by AQE's skew join
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,17 @@ def dimension(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
     The count runs once over the (small by design) dimension table; a table
     that outgrows the bound silently falls back to a shuffle join.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if counted(df) <= max_rows else df
+
+
+_counts: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def counted(df: DataFrame) -> int:
+    """The rows of a frame, counted once as long as the frame lives."""
+    if df not in _counts:
+        _counts[df] = df.count()
+    return _counts[df]
 
 
 def left_join_spread_nulls(
@@ -69,7 +81,7 @@ def left_join_dimension(
 ) -> DataFrame:
     """Left join to a dimension: broadcast when its size is within the bound
     (null keys cost nothing there), else the null-spreading shuffle join."""
-    if dim.count() <= max_rows:
+    if counted(dim) <= max_rows:
         return left.join(F.broadcast(dim), left[left_key] == dim[right_key], "left")
     return left_join_spread_nulls(left, dim, left_key, right_key, salt_cols)
 
@@ -105,7 +117,7 @@ def restrict_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, ma
 
 def small_enough(batch: DataFrame, max_rows: int = KEY_FILTER_MAX_ROWS) -> bool:
     """Whether a batch is counted to be small enough to send to every task."""
-    return batch.count() <= max_rows
+    return counted(batch) <= max_rows
 
 
 def matching(table: DataFrame, key: str, batch: DataFrame, batch_key: str, small: bool) -> DataFrame:
