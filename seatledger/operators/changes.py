@@ -248,11 +248,11 @@ def _last_valid(ok: DataFrame, fields: list[str], keep_on_null: list[str] = ())
     return g.select(*cols)
 
 
-def _overwrite(table: DataFrame, winners: DataFrame, fields: list[str], keep_on_null: list[str] = ()) -> DataFrame:
+def _overwrite(table: DataFrame, winners: DataFrame, req: DataFrame, fields: list[str], keep_on_null: list[str] = ()) -> DataFrame:
     """Replace ``fields`` of matched rows; ``keep_on_null`` fall back to the old value."""
     w = winners.select(F.col("id"), F.lit(True).alias("__hit"), *[F.col(f).alias("__new_" + f) for f in fields])
-    # few new rows go to the table's tasks; the table itself is not shuffled
-    j = table.join(F.broadcast(w) if small_enough(w, DIMENSION_MAX_ROWS) else w, "id", "left")
+    # few new rows (no more than requests) go to the table's tasks; the table itself is not shuffled
+    j = table.join(F.broadcast(w) if small_enough(req, DIMENSION_MAX_ROWS) else w, "id", "left")
     out = []
     for c in table.columns:
         if c in fields:
@@ -282,7 +282,7 @@ def update_platforms(t: Tables, req: DataFrame) -> ChangeResult:
     )
     fields = ["name", "icon", "color", "max_profiles"]
     win = _last_valid(ok, fields)
-    return ChangeResult(t.with_(platforms=_overwrite(t.platforms, win, fields)), win, bad.drop("__found"))
+    return ChangeResult(t.with_(platforms=_overwrite(t.platforms, win, req, fields)), win, bad.drop("__found"))
 
 
 def update_accounts(t: Tables, req: DataFrame, keep_expiry_on_blank: bool = False) -> ChangeResult:
@@ -307,7 +307,7 @@ def update_accounts(t: Tables, req: DataFrame, keep_expiry_on_blank: bool = Fals
     fields = ["email", "provider_name", "cost", "expiry_date", *([PHONE] if PHONE in t.accounts.columns else [])]
     keep = ["expiry_date"] if keep_expiry_on_blank else []
     win = _last_valid(ok, fields, keep)
-    return ChangeResult(t.with_(accounts=_overwrite(t.accounts, win, fields, keep)), win, bad.drop("__found"))
+    return ChangeResult(t.with_(accounts=_overwrite(t.accounts, win, req, fields, keep)), win, bad.drop("__found"))
 
 
 def update_profiles(t: Tables, req: DataFrame, keep_expiry_on_blank: bool = False) -> ChangeResult:
@@ -331,7 +331,7 @@ def update_profiles(t: Tables, req: DataFrame, keep_expiry_on_blank: bool = Fals
     fields = ["profile_name", "client_name", "client_whatsapp", "sale_price", "expiry_date"]
     keep = ["expiry_date"] if keep_expiry_on_blank else []
     win = _last_valid(ok, fields, keep)
-    return ChangeResult(t.with_(profiles=_overwrite(t.profiles, win, fields, keep)), win, bad.drop("__found"))
+    return ChangeResult(t.with_(profiles=_overwrite(t.profiles, win, req, fields, keep)), win, bad.drop("__found"))
 
 
 def merge_profiles(t: Tables, req: DataFrame) -> ChangeResult:
@@ -341,7 +341,7 @@ def merge_profiles(t: Tables, req: DataFrame) -> ChangeResult:
     fields = [f for f in ["profile_name", "client_name", "client_whatsapp", "sale_price", "expiry_date"] if f in req.columns]
     ok = ok.select("seq", F.col("id").cast("bigint").alias("id"), *fields)
     win = _last_valid(ok, fields, fields)
-    return ChangeResult(t.with_(profiles=_overwrite(t.profiles, win, fields, fields)), win, bad.drop("__found"))
+    return ChangeResult(t.with_(profiles=_overwrite(t.profiles, win, req, fields, fields)), win, bad.drop("__found"))
 
 
 # ----------------------------------------------------------------- deletes
@@ -437,11 +437,11 @@ def _log_rows(rows: DataFrame, renewals: DataFrame) -> DataFrame:
     return rows.select(*cols)
 
 
-def _set_expiry(table: DataFrame, valid: DataFrame, key: str) -> DataFrame:
+def _set_expiry(table: DataFrame, valid: DataFrame, key: str, small: bool) -> DataFrame:
     """The table with each renewed row's expiry set to its last requested date."""
     last = valid.groupBy(key).agg(F.max_by("new_expiry_date", "seq").alias("__new"))
     last = last.withColumnRenamed(key, "id")
-    j = table.join(F.broadcast(last) if small_enough(last) else last, "id", "left")
+    j = table.join(F.broadcast(last) if small else last, "id", "left")
     cols = [F.coalesce(F.col("__new"), F.col(c)).alias(c) if c == "expiry_date" else F.col(c) for c in table.columns]
     return j.select(*cols)
 
@@ -517,7 +517,7 @@ def renew_profiles(
         ntz(now).alias("created_at"),
     )
     log = _log_rows(rows, t.renewals)
-    profiles = _set_expiry(t.profiles, ok, "profile_id")
+    profiles = _set_expiry(t.profiles, ok, "profile_id", small)
     keep = ["seq", "profile_id", "new_expiry_date", "reason"]
     return ChangeResult(
         t.with_(profiles=profiles, renewals=t.renewals.unionByName(log)),
@@ -555,7 +555,8 @@ def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime, checkpoint: bool
         F.col("new_expiry_date").cast("date"),
         _opt(req, "renewal_cost", MONEY.simpleString()).alias("__price"),
     )
-    live = matching(live, "account_id", r, "account_id", small_enough(r))
+    small = small_enough(r)
+    live = matching(live, "account_id", r, "account_id", small)
     r = left_join_spread_nulls(r, live, "account_id", "account_id", salt_cols=["seq"])
     ok, bad = _split(
         r,
@@ -582,7 +583,7 @@ def renew_accounts(t: Tables, req: DataFrame, now: dt.datetime, checkpoint: bool
         ntz(now).alias("created_at"),
     )
     log = _log_rows(rows, t.renewals)
-    accounts = _set_expiry(t.accounts, ok, "account_id")
+    accounts = _set_expiry(t.accounts, ok, "account_id", small)
     keep = ["seq", "account_id", "new_expiry_date", "reason"]
     return ChangeResult(
         t.with_(accounts=accounts, renewals=t.renewals.unionByName(log)),
