@@ -12,7 +12,8 @@ segment's windows can be repeated only if another segment has its gram:
 2. equal segments are one, with its number; two or more repeat all windows;
 3. different segments with one gram are compared in a shard, by the
    operator's own structure (``Kind.verify``); a gram with more than
-   ``MANY`` of them is not gathered: its windows are counted one by one.
+   ``MANY`` of them is not gathered: its segments are cut again, by a longer
+   gram, and what even that leaves with too many is counted window by window.
 
 What is found returns to each document as spans of symbols.
 """
@@ -35,6 +36,7 @@ INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 PLACE = np.uint64((1 << 24) - 1)  # low bits of a filing key: the place in a slice
 SLICE = 1 << 20
 MANY = 500
+FINER = 8  # times fewer windows to a place, for grams with many segments
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -48,6 +50,7 @@ class Kind:
     length: int
     gram: int
     dtype: str
+    shard: int  # symbols compared at once, or one gram's
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
     verify: Callable[[list[np.ndarray], np.ndarray, int], np.ndarray]
 
@@ -149,9 +152,9 @@ def contents(docs: DataFrame, kind: Kind, wanted) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long, symbols binary")
 
 
-def compare(shards: DataFrame, kind: Kind, size: int = 1 << 20) -> DataFrame:
+def compare(shards: DataFrame, kind: Kind) -> DataFrame:
     """(h, c, low, high): runs of repeated windows in segments sorted by gram.
-    Whole grams are gathered up to ``size`` symbols, then compared."""
+    Whole grams are gathered up to ``kind.shard`` symbols, then compared."""
     unit = np.dtype(kind.dtype).itemsize
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
@@ -172,7 +175,7 @@ def compare(shards: DataFrame, kind: Kind, size: int = 1 << 20) -> DataFrame:
         rows, held = [], 0
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in ("h", "c", "m", "symbols"))):
-                if held >= size and row[0] != rows[-1][0]:
+                if held >= kind.shard and row[0] != rows[-1][0]:
                     yield judge(rows)
                     rows, held = [], 0
                 rows.append(row)
@@ -209,6 +212,39 @@ def window_by_window(rows: DataFrame, kind: Kind) -> DataFrame:
     return single.join(often, ["wx", "wy"]).select("h", "c", "low", F.col("low").alias("high"))
 
 
+def refine(texts: DataFrame, kind: Kind) -> DataFrame:
+    """As ``compare``, for grams with too many segments to gather: they are cut
+    into segments of a longer gram, of which the same is asked."""
+    gram, length, unit = kind.length - (kind.length - kind.gram) // FINER, kind.length, np.dtype(kind.dtype)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, inside = [], []
+            for i, t in enumerate(b.column("symbols").to_pylist()):
+                symbols = np.frombuffer(t, unit)
+                codes = mix(symbols.astype(np.uint64) + np.uint64(1 << 40))
+                _, a, n, h, c = segments(codes, np.array([0, len(codes)]), length, gram)
+                out.append((np.full(len(a), i), a, n, h, c))
+                inside += [symbols[x : x + k - 1 + length].tobytes() for x, k in zip(a.tolist(), n.tolist())]
+            if out:
+                of, a, n, h, c = (np.concatenate(v) for v in zip(*out))
+                at = pa.array(of)
+                columns = [*(b.column(v).take(at) for v in ("h", "c", "m")), longs(a), longs(n), longs(h), longs(c), pa.array(inside, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["oh", "oc", "m", "a", "n", "h", "c", "symbols"])
+
+    parts = stage(texts.mapInArrow(cut, "oh long, oc long, m long, a long, n long, h long, c long, symbols binary"), "finer")
+    each = stage(parts.groupBy("h", "c").agg(F.sum("m").alias("m"), F.first("symbols").alias("symbols")), "finer-kinds")
+    sizes = stage(each.groupBy("h").agg(F.sum("m").alias("rows"), F.count("*").alias("d")).where("rows > 1").select("h", "d"), "finer-grams")
+    each = stage(each.join(sizes, "h"), "finer-kinds")
+    few = each.where((F.col("d") > 1) & (F.col("d") <= MANY)).repartition(spread(each, 16), "h").sortWithinPartitions("h", "c")
+    whole = each.where("m > 1").select("h", "c", F.lit(0).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"))
+    ranges = compare(few, kind).union(window_by_window(each.where(F.col("d") > MANY), kind)).union(whole)
+    ranges = stage(ranges.groupBy("h", "c").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "finer-runs")
+    found = parts.select("oh", "oc", "a", "n", "h", "c").join(ranges, ["h", "c"]).select("oh", "oc", "a", "n", F.explode("runs").alias("r"))
+    high = F.col("a") + F.when(F.col("r.high") < 0, F.col("n") - 1).otherwise(F.col("r.high"))
+    return found.select(F.col("oh").alias("h"), F.col("oc").alias("c"), (F.col("a") + F.col("r.low")).alias("low"), high.alias("high"))
+
+
 def repeated_spans(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(x, y, spans): for each row with a repeated window (by ``row_key``), spans
     [start, end) of symbols that such windows cover; they may overlap."""
@@ -240,7 +276,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: st
     texts = texts.join(unlike, ["h", "c"]).groupBy("h", "c").agg(F.first("m").alias("m"), F.first("d").alias("d"), F.first("symbols").alias("symbols"))
     texts = stage(texts, "texts")
     few = texts.where(F.col("d") <= MANY).repartition(spread(texts, 16), "h").sortWithinPartitions("h", "c")
-    ranges = compare(few, kind).union(window_by_window(texts.where(F.col("d") > MANY), kind))
+    ranges = compare(few, kind).union(refine(texts.where(F.col("d") > MANY), kind))
     # equal segments: all windows (-1: to the end)
     whole = kinds.where("m > 1").select("h", "c", F.lit(0).cast("long").alias("low"), F.lit(-1).cast("long").alias("high"))
     ranges = stage(ranges.union(whole).groupBy("h", "c").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._repeats import Kind, cover, repeated_spans
-from ._store import plus, row_key
+from ._store import plain, plus, row_key
 from ._text import word_bounds, word_codes
 
 
@@ -118,21 +118,22 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def word_kind(length: int) -> Kind:
-    return Kind(length, max(length * 2 // 7, 1), "u8", word_symbols, repeated_windows)
+    return Kind(length, max(length * 2 // 7, 1), "u8", 1 << 17, word_symbols, repeated_windows)
 
 
 def drop_repeated_passages(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the kept words as text, plus ``n_words`` and ``n_removed``."""
     names = ("n_words", "n_removed")
-    spans = repeated_spans(docs, word_kind(length), doc_id, text).withColumnsRenamed({"x": "_x", "y": "_y", "spans": "_spans"})
+    docs = plain(docs)
+    spans = repeated_spans(docs, word_kind(length), doc_id, text).withColumnsRenamed({"x": "__x", "y": "__y", "spans": "__spans"})
     key = row_key(doc_id, text)
-    joined = docs.drop(*names).withColumns({"_x": key["x"], "_y": key["y"]}).join(spans, ["_x", "_y"], "left").drop("_x", "_y")
-    columns = [c for c in joined.columns if c != "_spans"]
+    joined = docs.drop(*names).withColumns({"__x": key["x"], "__y": key["y"]}).join(spans, ["__x", "__y"], "left").drop("__x", "__y")
+    columns = [c for c in joined.columns if c != "__spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, s in zip(b.column(text).to_pylist(), b.column("_spans")):
+            for t, s in zip(b.column(text).to_pylist(), b.column("__spans")):
                 words = (t or "").encode().split()  # bytes: ASCII white space
                 n, gone = len(words), 0
                 if s.is_valid:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._repeats import Kind, cover, repeated_spans
-from ._store import plus, row_key
+from ._store import plain, plus, row_key
 from ._text import BYTE_CODE, utf8
 
 
@@ -111,22 +111,23 @@ def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def byte_kind(length: int) -> Kind:
-    return Kind(length, max(length * 8 // 25, 1), "u1", byte_symbols, repeated_windows)
+    return Kind(length, max(length * 8 // 25, 1), "u1", 1 << 19, byte_symbols, repeated_windows)
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, plus ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``."""
     names = ("kept", "n_bytes", "n_removed", "n_spans")
-    spans = repeated_spans(docs, byte_kind(length), doc_id, text).withColumnsRenamed({"x": "_x", "y": "_y", "spans": "_spans"})
+    docs = plain(docs)
+    spans = repeated_spans(docs, byte_kind(length), doc_id, text).withColumnsRenamed({"x": "__x", "y": "__y", "spans": "__spans"})
     key = row_key(doc_id, text)
-    joined = docs.drop(*names).withColumns({"_x": key["x"], "_y": key["y"]}).join(spans, ["_x", "_y"], "left").drop("_x", "_y")
-    rest = [c for c in joined.columns if c not in (text, "_spans")]
+    joined = docs.drop(*names).withColumns({"__x": key["x"], "__y": key["y"]}).join(spans, ["__x", "__y"], "left").drop("__x", "__y")
+    rest = [c for c in joined.columns if c not in (text, "__spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(text))
             out = []
-            for i, s in enumerate(b.column("_spans")):
+            for i, s in enumerate(b.column("__spans")):
                 own = data[offsets[i] : offsets[i + 1]]
                 if not s.is_valid:
                     out.append((own.tobytes(), len(own), 0, 0))
