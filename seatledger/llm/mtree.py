@@ -11,7 +11,8 @@ can hold, and stored distances rule out entries before theirs is computed:
 |d(q, parent) - d(entry, parent)| less the radius is a lower bound already.
 Every query, in blocks too, is searched in every tree, and the trees' best
 are merged; products are whole numbers and decide, while the distances only
-prune, with a margin for rounding, so the result is exact, ties included.
+prune, with a margin for rounding, so the result is exact, ties included (for
+components below 2^24 in size, whose products doubles hold exactly).
 
 Defined cases: rows with a null id, a null vector or a null component take no
 part, nor do empty vectors; vectors of another length than the query's are no
