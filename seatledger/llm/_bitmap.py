@@ -20,7 +20,7 @@ def bitmap(codes: DataFrame, sc: SparkContext) -> Broadcast:
     place = codes.select(F.explode(pair).alias("p"))
     blocks = place.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in blocks.toLocalIterator():  # at most 2^26 / 2^15 blocks of 4 KB
+    for r in blocks.collect():  # at most 2^26 / 2^15 blocks of 4 KB
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[(r["k"] - 1) * BLOCK // 8 :][: len(part)] = part
     return sc.broadcast(out)

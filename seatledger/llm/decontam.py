@@ -34,7 +34,7 @@ from ._text import LOWER, MARK, MULTIPLIER, gram_codes, powers, slices, utf8, wo
 
 MIN_WORDS = 5
 COVERAGE = 0.8
-SLICE = 1 << 20
+SLICE = 1 << 18
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
