@@ -116,8 +116,9 @@ def word_lists(rows: DataFrame, text: str, keep=None) -> DataFrame:
                 codes, cuts = word_codes(part, starts, ends), np.searchsorted(doc, np.arange(j - i + 1))
                 stays = np.arange(j - i)
                 if keep is not None:
-                    inside = doc[: len(doc) - MIN_WORDS + 1] == doc[MIN_WORDS - 1 :]
-                    stays = np.unique(doc[: len(inside)][inside & keep(gram_codes(codes, MIN_WORDS))])
+                    n = max(len(doc) - MIN_WORDS + 1, 0)  # runs of MIN_WORDS words; a slice may have fewer words
+                    inside = doc[:n] == doc[MIN_WORDS - 1 :]
+                    stays = np.unique(doc[:n][inside & keep(gram_codes(codes, MIN_WORDS))])
                 chosen = np.zeros(j - i, bool)
                 chosen[stays] = True
                 lens = np.diff(cuts)[stays]
