@@ -4,8 +4,8 @@ A change batch stands for a sequence of single requests; several requests on
 the same key must see each other in ``seq`` order (the previous request's
 new date, the n-th insert into an account). A window partitioned by the key
 alone would send every request of a hot key to one task. Here the window is
-partitioned by (key, seq bucket), buckets holding about ``bucket`` requests of
-the batch, and a second, much smaller window over one row per (key, bucket)
+partitioned by (key, seq bucket), buckets holding at most 2 * ``bucket`` requests
+of the batch, and a second, much smaller window over one row per (key, bucket)
 carries values across bucket borders.
 """
 
@@ -26,6 +26,23 @@ def _bucket(df: DataFrame, order: str, bucket: int) -> Column:
     return F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width))
 
 
+def bucketed(df: DataFrame, order: str, bucket: int, out: str) -> DataFrame:
+    """Add ``out``, buckets in the order of ``order`` with at most 2 * ``bucket`` rows:
+    ranges that hold more are counted and divided again by their own range
+    and rows, until none does. Ranges over the bound are at most one in 2 *
+    ``bucket`` rows, so they are broadcast; numbers without gaps need no division."""
+    d = df.withColumn(out, _bucket(df, order, bucket))
+    while True:
+        ranges = d.groupBy(out).agg(F.min(order).alias("__low"), F.max(order).alias("__high"), F.count(F.lit(1)).alias("__rows"))
+        full = ranges.where((F.col("__rows") > 2 * bucket) & (F.col("__high") > F.col("__low")))
+        if full.isEmpty():
+            return d
+        width = (F.col("__high") - F.col("__low") + 1.0) * bucket / F.col("__rows")
+        part = F.coalesce(F.floor((F.col(order) - F.col("__low")) / width), F.lit(0))
+        full = F.broadcast(full)
+        d = d.join(full, out, "left").withColumn(out, F.struct(F.col(out).alias("range"), part.alias("part"))).drop("__low", "__high", "__rows")
+
+
 def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str, bucket: int = SEQ_BUCKET) -> DataFrame:
     """Add ``out`` = ``value`` of the previous row (by ``order``) with the same key.
 
@@ -33,7 +50,7 @@ def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str, b
     for unique ``order`` values.
     """
     b, first, carry = "__bucket", "__first", "__carry"
-    d = df.withColumn(b, _bucket(df, order, bucket))
+    d = bucketed(df, order, bucket, b)
     w = Window.partitionBy(key, b).orderBy(order)
     d = d.withColumn(out, F.lag(value).over(w)).withColumn(first, F.row_number().over(w) == 1)
     last = d.groupBy(key, b).agg(F.max_by(value, order).alias("__last"))
@@ -51,7 +68,7 @@ def rank_in_key(df: DataFrame, key: str, order: str, out: str, bucket: int = SEQ
     for unique ``order`` values.
     """
     b, off = "__bucket", "__offset"
-    d = df.withColumn(b, _bucket(df, order, bucket))
+    d = bucketed(df, order, bucket, b)
     d = d.withColumn(out, F.row_number().over(Window.partitionBy(key, b).orderBy(order)))
     sizes = d.groupBy(key, b).agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
