@@ -173,9 +173,6 @@ register("seed_defaults", O.seed_defaults_sql(Q.AS_OF_SQL))(
 register("conform_schema", O.CONFORM_SCHEMA)(
     lambda t: S.conform_renewals(t.renewals.select("profile_id", "new_expiry_date", "sale_price", "created_at"))
 )
-register("seed_defaults_empty", O.seed_defaults_sql(Q.AS_OF_SQL, empty=True))(
-    lambda t: S.seed_defaults(t.platforms.sparkSession, t.platforms.where("id < 0"), AS_OF)
-)
 register("conform_profiles", O.CONFORM_PROFILES)(
     lambda t: S.conform_profiles(t.profiles.drop("is_active", "client_whatsapp"))
 )
