@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import ship
+from .collocation import collocations
 from .decontam import mark_contaminated
 from .line_dedup import drop_common_lines
 from .mtree import top_k
@@ -101,8 +102,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase collocation mining: each language's first 2000 phrases of two and three words."""
+    return collocations(table(spark, sf_dir, "documents"), min_count=10, share=50, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op9_language_model, op10_decontamination)
+    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op9_language_model, op10_decontamination, op11_collocations)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -128,4 +134,36 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op11_collocations": """
+        WITH piece AS (
+          SELECT coalesce(lang, 'und') AS lang,
+                 unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[.,;:!?\\x0A-\\x0D]')) AS piece
+          FROM documents),
+        split AS (
+          SELECT lang, row_number() OVER () AS p, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM piece),
+        word AS (SELECT lang, p, unnest(w) AS w1, unnest(range(len(w))) AS i FROM split),
+        run AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM word WINDOW o AS (PARTITION BY p ORDER BY i)),
+        f1 AS (SELECT lang, w1, count(*)::BIGINT AS f FROM run GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, count(*)::BIGINT AS f FROM run WHERE w2 IS NOT NULL GROUP BY ALL),
+        f3 AS (SELECT lang, w1, w2, w3, count(*)::BIGINT AS f FROM run WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        most AS (
+          SELECT lang, w1, w2, max(f) AS longer
+          FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        cut AS (
+          SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, x.f AS l, y.f AS r
+          FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+          LEFT JOIN most m ON m.lang = c.lang AND m.w1 = c.w1 AND m.w2 = c.w2
+          WHERE c.f >= 10 AND (m.longer IS NULL OR 100 * m.longer < 50 * c.f)
+          UNION ALL
+          SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, x.f, y.f
+          FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+          UNION ALL
+          SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, x.f, y.f
+          FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+        scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
