@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _files
 from ._store import ship
+from .alignment import align
 from .collocation import collocations
 from .decontam import mark_contaminated
 from .line_dedup import drop_common_lines
@@ -19,9 +21,11 @@ from .quality import score_quality
 from .simhash import document_groups, hexadecimal
 from .substring_dedup import drop_repeated_passages
 from .suffix_dedup import drop_repeated_bytes
+from .token_files import read_tokens, write_tokens
 from .toxicity import score_toxicity
 
 CAPACITY, END = 1024, 2
+VOCABULARY = 50_257  # ids of byte_bpe_50k.json
 QUALITY_FROM = 0.7
 TOXIC_FROM = 0.3
 
@@ -107,8 +111,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), min_count=10, share=50, first=2000)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files: all documents' ids written by frequency rank, and read again."""
+    docs, path = table(spark, sf_dir, "documents"), _files.folder(spark, "token-files")
+    write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), VOCABULARY, end=0)
+    return read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString(), ids=False)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-tokenizer alignment of a byte-level and a piece vocabulary."""
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op9_language_model, op10_decontamination, op11_collocations)
+    f.__name__: f for f in (op1_top_k, op2_suffix_dedup, op3_simhash, op4_packing, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_quality, op9_language_model, op10_decontamination, op11_collocations, op12_token_files, op13_alignment)
 }
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
