@@ -2,76 +2,83 @@
 
 A change batch stands for a sequence of single requests; several requests on
 the same key must see each other in ``seq`` order (the previous request's
-new date, the n-th insert into an account). A window partitioned by the key
-alone would send every request of a hot key to one task. Here the window is
-partitioned by (key, seq bucket), buckets holding at most 2 * ``bucket`` requests
-of the batch, and a second, much smaller window over one row per (key, bucket)
-carries values across bucket borders.
+new date, the n-th insert into an account, the last name before a renewal). A
+window partitioned by the key alone would send every request of a hot key to
+one task. Here rows meet in levels: fixed ranges of ``bucket`` numbers hold at
+most that many distinct ones whatever their gaps, each range sums up to one row, and
+ranges of ranges carry between them. Nothing is counted first and nothing comes
+to the driver. With three levels the last window of a key has one row for each 4096 * 4096
+numbers of its span.
+
+``order`` is distinct among the rows of a key, and keys are not null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEQ_BUCKET = 4096
+LEVELS = 3
+
+
+@dataclass(frozen=True)
+class Scan:
+    """An associative step: ``window`` of a column over rows, ``total`` of a group in
+    an order, and ``both`` of what came before and what came then."""
+
+    window: Callable[[Column], Column]
+    total: Callable[[Column, Column], Column]
+    both: Callable[[Column, Column], Column]
 
 
-def _bucket(df: DataFrame, order: str, bucket: int) -> Column:
-    """Buckets of about ``bucket`` rows: the batch's range of ``order`` is divided
-    by how many rows it holds (one small aggregate), so numbers far apart do
-    not give each row a bucket of its own."""
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) * bucket // n))
-    return F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width))
+LAST = Scan(lambda c: F.last(c, ignorenulls=True), lambda c, o: F.max_by(c, F.when(c.isNotNull(), o)), lambda a, b: F.coalesce(b, a))
+SUM = Scan(F.sum, lambda c, _: F.sum(c), lambda a, b: F.when(a.isNull(), b).otherwise(F.coalesce(a + b, a)))
+MAX = Scan(F.max, lambda c, _: F.max(c), F.greatest)
 
 
 def bucketed(df: DataFrame, order: str, bucket: int, out: str) -> DataFrame:
-    """Add ``out``, buckets in the order of ``order`` with at most 2 * ``bucket`` rows:
-    ranges that hold more are counted and divided again by their own range
-    and rows, until none does. Ranges over the bound are at most one in 2 *
-    ``bucket`` rows, so they are broadcast; numbers without gaps need no division."""
-    d = df.withColumn(out, _bucket(df, order, bucket))
-    while True:
-        ranges = d.groupBy(out).agg(F.min(order).alias("__low"), F.max(order).alias("__high"), F.count(F.lit(1)).alias("__rows"))
-        full = ranges.where((F.col("__rows") > 2 * bucket) & (F.col("__high") > F.col("__low")))
-        if full.isEmpty():
-            return d
-        width = (F.col("__high") - F.col("__low") + 1.0) * bucket / F.col("__rows")
-        part = F.coalesce(F.floor((F.col(order) - F.col("__low")) / width), F.lit(0))
-        full = F.broadcast(full)
-        d = d.join(full, out, "left").withColumn(out, F.struct(F.col(out).alias("range"), part.alias("part"))).drop("__low", "__high", "__rows")
+    """Add ``out``: which range of ``bucket`` numbers ``order`` lies in (whole-number arithmetic, also below zero)."""
+    return df.withColumn(out, F.expr(f"(`{order}` - pmod(`{order}`, {bucket}L)) div {bucket}L"))
+
+
+def scan(df: DataFrame, keys: list[str], order: str, steps: dict[str, tuple[Scan, Column]], bucket: int = SEQ_BUCKET, levels: int = LEVELS) -> DataFrame:
+    """Add each column of ``steps``: its step over all earlier rows (by ``order``) with the same keys; null if none.
+
+    Exact equivalent of the step over (partition by keys order by order rows
+    between unbounded preceding and 1 preceding).
+    """
+    before = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    value = {out: f"__value_{out}" for out in steps}
+    d = df.withColumns({value[out]: c for out, (_, c) in steps.items()})
+    if levels == 1:
+        return d.withColumns({out: s.window(F.col(value[out])).over(before(*keys)) for out, (s, _) in steps.items()}).drop(*value.values())
+    b = f"__range{levels}"
+    d = bucketed(d, order, bucket, b)
+    totals = d.groupBy(*keys, b).agg(*[s.total(F.col(value[out]), F.col(order)).alias(value[out]) for out, (s, _) in steps.items()])
+    carried = scan(totals, keys, b, {f"__before_{out}": (s, F.col(value[out])) for out, (s, _) in steps.items()}, bucket, levels - 1)
+    d = d.withColumns({out: s.window(F.col(value[out])).over(before(*keys, b)) for out, (s, _) in steps.items()}).drop(*value.values())
+    d = d.join(carried.select(*keys, b, *[f"__before_{out}" for out in steps]), [*keys, b], "left")
+    d = d.withColumns({out: s.both(F.col(f"__before_{out}"), F.col(out)) for out, (s, _) in steps.items()})
+    return d.select(*df.columns, *steps)
 
 
 def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str, bucket: int = SEQ_BUCKET) -> DataFrame:
     """Add ``out`` = ``value`` of the previous row (by ``order``) with the same key.
 
-    Exact equivalent of ``lag(value) over (partition by key order by order)``
-    for unique ``order`` values.
+    Exact equivalent of ``lag(value) over (partition by key order by order)``.
     """
-    b, first, carry = "__bucket", "__first", "__carry"
-    d = bucketed(df, order, bucket, b)
-    w = Window.partitionBy(key, b).orderBy(order)
-    d = d.withColumn(out, F.lag(value).over(w)).withColumn(first, F.row_number().over(w) == 1)
-    last = d.groupBy(key, b).agg(F.max_by(value, order).alias("__last"))
-    wb = Window.partitionBy(key).orderBy(b)
-    last = last.withColumn(carry, F.lag("__last").over(wb)).select(key, b, carry)
-    d = d.join(last, [key, b], "left")
-    d = d.withColumn(out, F.when(F.col(first), F.col(carry)).otherwise(F.col(out)))
-    return d.drop(b, first, carry)
+    d = scan(df, [key], order, {out: (LAST, F.struct(F.col(value).alias("value")))}, bucket)
+    return d.withColumn(out, F.col(out)["value"])
 
 
 def rank_in_key(df: DataFrame, key: str, order: str, out: str, bucket: int = SEQ_BUCKET) -> DataFrame:
     """Add ``out`` = 1-based position of the row within its key by ``order``.
 
-    Exact equivalent of ``row_number() over (partition by key order by order)``
-    for unique ``order`` values.
+    Exact equivalent of ``row_number() over (partition by key order by order)``.
     """
-    b, off = "__bucket", "__offset"
-    d = bucketed(df, order, bucket, b)
-    d = d.withColumn(out, F.row_number().over(Window.partitionBy(key, b).orderBy(order)))
-    sizes = d.groupBy(key, b).agg(F.count(F.lit(1)).alias("__n"))
-    wb = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn(off, F.coalesce(F.sum("__n").over(wb), F.lit(0))).select(key, b, off)
-    d = d.join(sizes, [key, b], "left")
-    return d.withColumn(out, (F.col(out) + F.col(off)).cast("bigint")).drop(b, off)
+    d = scan(df, [key], order, {out: (SUM, F.lit(1).cast("bigint"))}, bucket)
+    return d.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("bigint")) + 1)
