@@ -92,12 +92,14 @@ RENEWAL_ACCOUNT = "account"
 
 @dataclass(frozen=True)
 class Tables:
-    """The four tables as DataFrames. Operators return new ``Tables``."""
+    """The four tables as DataFrames. Operators return new ``Tables``. ``version``:
+    the stored version they were read from, if any."""
 
     platforms: DataFrame
     accounts: DataFrame
     profiles: DataFrame
     renewals: DataFrame
+    version: int | None = None
 
     def with_(self, **kw) -> "Tables":
         return replace(self, **kw)

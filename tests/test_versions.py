@@ -153,7 +153,53 @@ def test_a_small_batch_does_not_shuffle_the_table(spark, tmp_path):
 
 
 def test_carry_rows_of_sparse_requests(spark):
-    from seatledger.plans.sequence import _bucket
+    """Numbers far apart: ranges of ranges leave few rows for the last window."""
+    from seatledger.plans.sequence import bucketed
 
     df = spark.range(20_000).selectExpr("id * 5000 AS seq")
-    assert df.select(_bucket(df, "seq", 4096).alias("b")).distinct().count() <= 6
+    twice = bucketed(bucketed(df, "seq", 4096, "near"), "near", 4096, "far")
+    assert twice.select("far").distinct().count() <= 6
+    assert twice.select("near", "far").distinct().groupBy("far").count().agg({"count": "max"}).first()[0] <= 4096
+
+
+def renamed(spark, t, word):
+    req = t.platforms.selectExpr("cast(id as bigint) as seq", "id", f"concat(name, ' {word}') as name")
+    return C.update_platforms(t, req)
+
+
+def test_an_old_base_is_refused(spark, stored):
+    """Two changes made from one version: the second would undo the first."""
+    path, t = stored
+    S.commit_changes(t, renamed(spark, t, "first"), path)
+    with pytest.raises(S.StaleVersion):
+        S.commit_changes(t, renamed(spark, t, "second"), path)
+    now = S.read_tables(spark, path)
+    assert {r["name"].split()[-1] for r in now.platforms.collect()} == {"first"} and now.version == 2
+    S.commit_changes(now, renamed(spark, now, "second"), path)
+    assert {tuple(r["name"].split()[-2:]) for r in S.read_tables(spark, path).platforms.collect()} == {("first", "second")}
+    with pytest.raises(S.StaleVersion):
+        S.commit_changes(bind_tables(spark, SF), renamed(spark, now, "unread"), path)  # tables that were never read from the path
+
+
+def test_two_writers_cannot_publish_one_version(spark, stored, monkeypatch):
+    """Both look before either publishes."""
+    path, t = stored
+    seen = S._newest(spark, path)
+    monkeypatch.setattr(S, "_newest", lambda *_: seen)
+    S.commit_changes(t, renamed(spark, t, "one"), path)
+    with pytest.raises(S.StaleVersion):
+        S.commit_changes(t, renamed(spark, t, "two"), path)
+    monkeypatch.undo()
+    names = [r["name"] for r in S.read_tables(spark, path).platforms.collect()]
+    assert len(names) == 25 and all(n.endswith(" one") for n in names)
+    assert not [f for f in os.listdir(f"{path}/versions") if f.endswith(".json") and f > "000000000002.json"]
+
+
+def test_a_reader_reads_one_version_file(spark, stored):
+    """However many versions there are, and whatever a lost writer left behind."""
+    path, t = stored
+    for k in range(3):
+        S.write_tables(S.read_tables(spark, path), path)
+    (open(f"{path}/versions/.left", "w")).close()
+    assert S.read_tables(spark, path).version == 4
+    assert sorted(f for f in os.listdir(f"{path}/versions") if f.endswith(".json")) == [f"{k:012d}.json" for k in range(1, 5)]
