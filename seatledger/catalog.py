@@ -12,8 +12,10 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle_sql as O
+from .model import RENEWALS
 from .operators import history as H
 from .operators import lists as L
 from .operators import reports as R
@@ -213,3 +215,46 @@ def _creation_outbox(t):
 
 
 register("creation_outbox", O.creation_outbox_sql(Q.INSERT_PROFILES_REQ, Q.NOW_SQL))(_creation_outbox)
+
+# ------------------------------------------------- requests of every kind in one batch
+from .operators import admission as D  # noqa: E402
+from .operators import replay as Y  # noqa: E402
+
+LOG_COLUMNS = [f.name for f in RENEWALS]
+
+
+def _replayed(t):
+    return Y.replay(t, Q.replay_req(t), AS_OF, Q.NOW)
+
+
+register("replay_outcomes", O.replay_outcomes_sql(Q.REPLAY_REQ, Q.AS_OF_SQL))(
+    lambda t: Y.outcomes(t, Q.replay_req(t)).select("seq", "kind", "id", "reason")
+)
+register("replay_log", O.replay_log_sql(Q.REPLAY_REQ, Q.AS_OF_SQL, Q.NOW_SQL))(lambda t: _replayed(t).appended["renewals"].select(*LOG_COLUMNS))
+register("replay_platforms", O.replay_table_sql(Q.REPLAY_REQ, Q.AS_OF_SQL, Q.NOW_SQL, "platforms"))(lambda t: _replayed(t).tables.platforms)
+register("replay_accounts", O.replay_table_sql(Q.REPLAY_REQ, Q.AS_OF_SQL, Q.NOW_SQL, "accounts"))(lambda t: _replayed(t).tables.accounts)
+register("replay_profiles", O.replay_table_sql(Q.REPLAY_REQ, Q.AS_OF_SQL, Q.NOW_SQL, "profiles"))(lambda t: _replayed(t).tables.profiles)
+
+
+def _admitted(t):
+    res = D.admit(t, Q.admission_req(t), Q.NOW)
+    return res.applied.withColumn("reason", F.lit(None).cast("string")).unionByName(res.rejected)
+
+
+register("admit_with_releases", O.admission_sql(Q.ADMISSION_REQ))(_admitted)
+
+# ------------------------------------------------- a range of reporting dates, written results
+from .operators import series as E  # noqa: E402
+from .sources.tables import folder  # noqa: E402
+
+FIRST_DAY, LAST_DAY = dt.date(1999, 12, 15), dt.date(2000, 2, 15)
+register("platform_expiry_series", O.platform_expiry_series_sql(str(FIRST_DAY), str(LAST_DAY)))(lambda t: E.platform_expiry_series(t, FIRST_DAY, LAST_DAY))
+register("expiry_totals_series", O.expiry_totals_series_sql(str(FIRST_DAY), str(LAST_DAY), WITHIN_DAYS))(
+    lambda t: E.expiry_totals_series(t, FIRST_DAY, LAST_DAY, WITHIN_DAYS)
+)
+register("renewal_history_newest", O.renewal_history_sql(None, None, HIST_LIMIT))(
+    lambda t: H.renewal_history(materialize(t.platforms.sparkSession, t, "newest"), limit=HIST_LIMIT)
+)
+register("renewal_history_envelope", O.renewal_history_total_sql(HIST_FROM, HIST_TO, HIST_LIMIT))(
+    lambda t: H.write_history(t, folder(t.platforms.sparkSession, "history"), HIST_FROM, HIST_TO, HIST_LIMIT)
+)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..model import LOG_PARTITION, RENEWAL_ACCOUNT, Tables, money_sum
+from ..model import LOG_PARTITION, MONEY_OUT, RENEWAL_ACCOUNT, Tables, money_sum
 from ..plans.joins import left_join_dimension, left_join_spread_nulls, pick_keys
 from ..sources.tables import stage
 
@@ -111,17 +112,36 @@ def history_order(columns: list[str]) -> list[F.Column]:
     return [F.col("created_at").desc_nulls_first(), *rest]
 
 
+def _newest_rows(log: DataFrame, n: int) -> DataFrame:
+    """The part of a stored log that holds its newest ``n`` rows: whole months from the newest
+    down until they have so many, as a partition filter. Rows are counted by month (for a log
+    without other filters from the files' footers alone; one row a month leaves Spark); the null
+    month sorts first."""
+    month = F.col(LOG_PARTITION)
+    counts = {r["m"]: r["n"] for r in log.groupBy(month.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, months = n - counts.pop(None, 0), []
+    for m in sorted(counts, reverse=True):
+        if left <= 0:
+            break
+        months.append(m)
+        left -= counts[m]
+    return log.where(month.isNull() | (month >= F.lit(months[-1]))) if months else log.where(month.isNull())
+
+
 def _selected_log(t: Tables, date_from, date_to, limit) -> tuple[DataFrame, int | None]:
-    """The log rows the history shows: in the range, newest first, at most ``limit``."""
+    """The log rows the history shows: in the range, newest first, at most ``limit``
+    (of a stored log, only the months that can hold those are sorted)."""
     cols = [c for c in t.renewals.columns if c != LOG_PARTITION]
     r = t.renewals.where(P.created_between("created_at", date_from, date_to))
     if LOG_PARTITION in t.renewals.columns:
         # month partitions outside the range are skipped without being read
-        r = r.where(month_range(date_from, date_to)).drop(LOG_PARTITION)
+        r = r.where(month_range(date_from, date_to))
     n = None if limit in (None, "") else int(limit)
     if n is not None:
+        if LOG_PARTITION in r.columns:
+            r = _newest_rows(r, n)
         r = r.orderBy(*history_order(cols)).limit(n)
-    return r, n
+    return r.select(*cols), n
 
 
 def renewal_history(t: Tables, date_from: str | None = None, date_to: str | None = None, limit=None) -> DataFrame:
@@ -193,6 +213,22 @@ def renewal_history_total(t: Tables, date_from: str | None = None, date_to: str
     return r.agg(F.count(F.lit(1)).alias("count"), money_sum("sale_price").alias("total_revenue"))
 
 
+def write_history(t: Tables, path: str, date_from: str | None = None, date_to: str | None = None, limit=None) -> DataFrame:
+    """SNK1: the history's rows, written to ``path/rows``, and its envelope (count and
+    price total of those rows) as one row, written to ``path/envelope`` and returned.
+
+    The envelope is observed by the job that writes the rows, so nothing is
+    read or sorted a second time.
+    """
+    seen = Observation("envelope")
+    rows = renewal_history(t, date_from, date_to, limit)
+    rows.observe(seen, F.count(F.lit(1)).alias("count"), money_sum("sale_price").alias("total_revenue")).write.parquet(f"{path}/rows")
+    spark = t.renewals.sparkSession
+    envelope = spark.createDataFrame([(seen.get["count"], seen.get["total_revenue"])], T.StructType().add("count", "long").add("total_revenue", MONEY_OUT))
+    envelope.coalesce(1).write.parquet(f"{path}/envelope")
+    return spark.read.schema(envelope.schema).parquet(f"{path}/envelope")
+
+
 def renewal_display(history: DataFrame) -> DataFrame:
     """the history table as shown: item, who, date texts, price text."""
     acct = F.col("renewal_type") == RENEWAL_ACCOUNT

@@ -859,3 +859,208 @@ FROM (SELECT fresh.id AS profile_id, fresh.account_id, fresh.client_whatsapp, {m
       FROM fresh, accounts AS holder, platforms AS brand
       WHERE holder.id = fresh.account_id AND brand.id = holder.platform_id AND fresh.client_whatsapp <> '')
 """
+
+
+# ------------------------------------------------- requests of every kind in one batch
+def _replay_ctes(req: str, as_of: str) -> str:
+    """``told``: every request with its id, its account and platform, and its reason."""
+
+    def life(table: str, one: str, parent: str = "", key: str = "") -> str:
+        own = f", {key}" if key else ""
+        new = f", CAST(parent_id AS BIGINT) AS {key}" if key else ""
+        old = f", CAST({key} AS BIGINT) AS {key}" if key else ""
+        here = "" if not parent else f" AND EXISTS (SELECT 1 FROM {parent}_life u WHERE u.id = parent_id AND u.born < seq AND seq < u.died)"
+        end = "99999999999999999" if not parent else f"COALESCE((SELECT max(u.died) FROM {parent}_life u WHERE u.id = l.{key}), 99999999999999999)"
+        deletes = f"(SELECT min(d.seq) FROM asked d WHERE d.kind = 'delete_{one}' AND d.wrong IS NULL AND d.id = l.id AND d.seq > l.born)"
+        first = f"CAST(COALESCE({deletes}, 99999999999999999) AS BIGINT)"
+        active = " WHERE is_active" if one == "profile" else ""
+        return f"""
+{one}_born AS (
+  SELECT CAST(id AS BIGINT) AS id{old}, CAST(-1 AS BIGINT) AS born FROM {table}{active}
+  UNION ALL SELECT id{new}, seq FROM asked WHERE kind = 'insert_{one}' AND wrong IS NULL{here}),
+{one}_life AS (SELECT id{own}, born, {first} AS off, least({first}, CAST({end} AS BIGINT)) AS died FROM {one}_born l)"""
+
+    return f""", req AS ({req}),
+asked AS (
+  SELECT * REPLACE (CAST(CASE kind
+           WHEN 'insert_platform' THEN (SELECT max(id) FROM platforms) + seq - (SELECT min(seq) FROM req) + 1
+           WHEN 'insert_account' THEN (SELECT max(id) FROM accounts) + seq - (SELECT min(seq) FROM req) + 1
+           WHEN 'insert_profile' THEN (SELECT max(id) FROM profiles) + seq - (SELECT min(seq) FROM req) + 1
+           ELSE id END AS BIGINT) AS id),
+         CASE WHEN kind IN ('insert_platform', 'update_platform') AND NOT {_truthy_text('name')} THEN 'missing_field'
+              WHEN kind IN ('insert_account', 'update_account') AND NOT ({_truthy_text('email')} AND {_truthy_text('password')}) THEN 'missing_field'
+              WHEN kind IN ('insert_profile', 'update_profile') AND NOT ({_truthy_text('name')} AND {_truthy_text('client_name')}) THEN 'missing_field'
+              WHEN kind IN ('insert_account', 'insert_profile') AND NOT {_truthy_num('parent_id')} THEN 'missing_field'
+              WHEN kind LIKE 'renew%' AND expiry_date IS NULL AND days IS NULL THEN 'missing_field'
+              WHEN kind LIKE 'renew%' AND expiry_date IS NULL AND days <= 0 THEN 'invalid_days' END AS wrong
+  FROM req),{life('platforms', 'platform')},{life('accounts', 'account', 'platform', 'platform_id')},{life('profiles', 'profile', 'account', 'account_id')},
+met AS (
+  SELECT q.*, split_part(q.kind, '_', 1) AS verb, split_part(q.kind, '_', 2) AS what,
+         COALESCE(x.born, y.born, z.born) AS born, COALESCE(x.died, y.died, z.died) AS died, COALESCE(x.off, y.off, z.off) AS off,
+         CASE split_part(q.kind, '_', 2) WHEN 'account' THEN y.id WHEN 'profile' THEN z.account_id END AS account_id,
+         CASE split_part(q.kind, '_', 2) WHEN 'account' THEN y.platform_id WHEN 'profile' THEN w.platform_id END AS platform_id
+  FROM asked q
+  LEFT JOIN platform_life x ON q.kind LIKE '%platform' AND x.id = q.id
+  LEFT JOIN account_life y ON q.kind LIKE '%account' AND y.id = q.id
+  LEFT JOIN profile_life z ON q.kind LIKE '%profile' AND z.id = q.id
+  LEFT JOIN account_life w ON w.id = z.account_id),
+told AS (
+  SELECT *, CASE WHEN wrong IS NOT NULL THEN wrong
+      WHEN verb = 'insert' THEN CASE WHEN born IS NULL THEN 'parent_not_found' END
+      WHEN born IS NULL OR seq <= born THEN 'not_found'
+      WHEN verb = 'delete' THEN CASE WHEN seq <> off OR seq > died THEN 'not_found' END
+      WHEN seq >= died THEN 'not_found'
+      WHEN verb = 'renew' AND platform_id NOT IN (SELECT id FROM platform_born) THEN 'not_found' END AS reason
+  FROM met),
+event AS (
+  SELECT seq, kind, what, id, NOT (kind = 'renew_profile' AND expiry_date IS NULL) AS sets, days,
+         CASE WHEN kind = 'renew_account' THEN COALESCE(expiry_date, {as_of} + days) ELSE expiry_date END AS d,
+         row_number() OVER (PARTITION BY what, id ORDER BY seq) AS pos
+  FROM told WHERE reason IS NULL AND what <> 'platform' AND verb <> 'delete'),
+base AS (SELECT 'account' AS what, id, expiry_date FROM accounts UNION ALL SELECT 'profile', id, expiry_date FROM profiles),
+dated AS (
+  SELECT * FROM (
+    WITH RECURSIVE chain AS (
+      SELECT e.*, b.expiry_date AS old_date,
+             CASE WHEN e.sets THEN e.d ELSE greatest(COALESCE(b.expiry_date, {as_of}), {as_of}) + e.days END AS new_date
+      FROM event e LEFT JOIN base b ON b.what = e.what AND b.id = e.id WHERE e.pos = 1
+      UNION ALL
+      SELECT e.*, c.new_date, CASE WHEN e.sets THEN e.d ELSE greatest(COALESCE(c.new_date, {as_of}), {as_of}) + e.days END
+      FROM chain c JOIN event e ON e.what = c.what AND e.id = c.id AND e.pos = c.pos + 1)
+    SELECT * FROM chain))
+"""
+
+
+def replay_outcomes_sql(req: str, as_of: str) -> str:
+    return _replay_ctes(req, as_of) + "SELECT seq, kind, id, reason FROM told"
+
+
+def replay_log_sql(req: str, as_of: str, now: str) -> str:
+    """Labels by ASOF joins with the edits of each profile, account and platform."""
+    edits = lambda name, what, values, first, table: f"""
+{name} AS (
+  SELECT id, seq, {values} FROM told WHERE reason IS NULL AND what = '{what}' AND verb IN ('insert', 'update')
+  UNION ALL SELECT CAST(id AS BIGINT), CAST(-1 AS BIGINT), {first} FROM {table})"""
+    return (
+        _replay_ctes(req, as_of)
+        + f""",{edits('names', 'profile', "name AS profile_name, client_name, COALESCE(client_whatsapp, '') AS client_whatsapp", 'profile_name, client_name, client_whatsapp', 'profiles')},
+{edits('emails', 'account', 'email', 'email', 'accounts')},
+{edits('brands', 'platform', f"name, {_text_or('icon', '📺')} AS icon, {_text_or('color', '#6c5ce7')} AS color", 'name, icon, color', 'platforms')},
+renewed AS (SELECT * FROM told WHERE reason IS NULL AND verb = 'renew')
+SELECT CASE WHEN r.what = 'profile' THEN r.id END AS profile_id, r.account_id, CAST(r.platform_id AS INTEGER) AS platform_id, e.email AS account_email,
+       b.name AS platform_name, CASE WHEN r.what = 'profile' THEN n.profile_name ELSE '' END AS profile_name,
+       CASE WHEN r.what = 'profile' THEN n.client_name ELSE '' END AS client_name,
+       CASE WHEN r.what = 'profile' THEN n.client_whatsapp ELSE '' END AS client_whatsapp, b.icon AS platform_icon, b.color AS platform_color,
+       d.old_date AS old_expiry_date, d.new_date AS new_expiry_date, CAST(COALESCE(r.price, 0) AS DECIMAL(10,2)) AS sale_price,
+       r.what AS renewal_type, {now} AS created_at
+FROM renewed r ASOF LEFT JOIN names n ON r.id = n.id AND r.seq > n.seq
+ASOF LEFT JOIN emails e ON r.account_id = e.id AND r.seq > e.seq
+ASOF LEFT JOIN brands b ON r.platform_id = b.id AND r.seq > b.seq
+JOIN dated d ON d.seq = r.seq
+"""
+    )
+
+
+def replay_table_sql(req: str, as_of: str, now: str, table: str) -> str:
+    """A table after the batch: the last counted edit of each row that is still there."""
+    one = table[:-1]
+    number = lambda c, default, kind: _num_or(c, default, kind)
+    fields = {
+        "platforms": (f"name, {_text_or('icon', '📺')} AS icon, {_text_or('color', '#6c5ce7')} AS color, {number('max_profiles', 5, 'INTEGER')} AS max_profiles", "name, icon, color, max_profiles"),
+        "accounts": (f"email, COALESCE(provider_name, '') AS provider_name, {number('cost', 0, 'DECIMAL(10,2)')} AS cost", "email, provider_name, cost"),
+        "profiles": (f"name AS profile_name, client_name, COALESCE(client_whatsapp, '') AS client_whatsapp, {number('price', 0, 'DECIMAL(10,2)')} AS sale_price", "profile_name, client_name, client_whatsapp, sale_price"),
+    }[table]
+    kind = "INTEGER" if table == "platforms" else "BIGINT"
+    parent = {"platforms": "", "accounts": ", CAST(v.platform_id AS INTEGER) AS platform_id", "profiles": ", v.account_id"}[table]
+    born = f"COALESCE(t.created_at, {now}) AS created_at" if table == "profiles" else f"COALESCE(t.created_on, {as_of}) AS created_on"
+    date = "" if table == "platforms" else ", CASE WHEN m.id IS NULL THEN t.expiry_date ELSE m.new_date END AS expiry_date"
+    moved = "" if table == "platforms" else f"LEFT JOIN (SELECT id, arg_max(struct_pack(d := new_date), seq).d AS new_date FROM dated WHERE what = '{one}' GROUP BY id) m ON m.id = v.id"
+    active = ", v.on_since AS is_active" if table == "profiles" else ""
+    rows = f"SELECT *, died = 99999999999999999 AS stays FROM {one}_life"
+    if table == "profiles":  # a released or inactive row stays as long as its account
+        rows = """SELECT l.id, l.account_id, l.off = 99999999999999999 AS on_since,
+                 COALESCE((SELECT max(u.died) FROM account_life u WHERE u.id = l.account_id), 99999999999999999) = 99999999999999999 AS stays
+          FROM (SELECT id, account_id, off FROM profile_life UNION ALL SELECT id, account_id, CAST(0 AS BIGINT) FROM profiles WHERE NOT is_active) l"""
+    return (
+        _replay_ctes(req, as_of)
+        + f""", edit AS (
+  SELECT id, seq, {fields[0]} FROM told WHERE reason IS NULL AND what = '{one}' AND verb IN ('insert', 'update')
+  UNION ALL SELECT CAST(id AS BIGINT), CAST(-1 AS BIGINT), {fields[1]} FROM {table}),
+last AS (SELECT * FROM edit QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
+SELECT CAST(v.id AS {kind}) AS id{parent}, {", ".join("e." + c for c in fields[1].split(", "))}{date}{active}, {born}
+FROM ({rows}) v JOIN last e ON e.id = v.id LEFT JOIN {table} t ON t.id = v.id {moved}
+WHERE v.stays
+"""
+    )
+
+
+def admission_sql(req: str) -> str:
+    """Requests of each account folded one by one over its list."""
+    return f""", req AS ({req}),
+asked AS (
+  SELECT * REPLACE (CAST(CASE kind WHEN 'insert_profile' THEN (SELECT max(id) FROM profiles) + seq - (SELECT min(seq) FROM req) + 1 ELSE id END AS BIGINT) AS id),
+         kind = 'insert_profile' AND NOT ({_profile_insert_valid()}) AS bad
+  FROM req),
+target AS (
+  SELECT id, account_id, CAST(-1 AS BIGINT) AS born FROM profiles WHERE is_active
+  UNION ALL SELECT id, account_id, seq FROM asked WHERE kind = 'insert_profile' AND NOT bad),
+event AS (
+  SELECT seq, id, account_id, true AS enters, false AS made FROM asked WHERE kind = 'insert_profile' AND NOT bad
+  UNION ALL
+  SELECT min(q.seq), q.id, any_value(x.account_id), false, any_value(x.born) >= 0 FROM asked q JOIN target x ON x.id = q.id AND q.seq > x.born
+  WHERE q.kind = 'delete_profile' GROUP BY q.id),
+folded AS (
+  SELECT list_reduce(
+      list_prepend(struct_pack(seq := CAST(0 AS BIGINT), id := CAST(0 AS BIGINT), enters := false, made := false, n := any_value(s.n), cap := any_value(s.cap), ins := CAST([] AS BIGINT[]), ok := CAST([] AS BIGINT[])),
+        list(struct_pack(seq := e.seq, id := e.id, enters := e.enters, made := e.made, n := CAST(0 AS BIGINT), cap := s.cap, ins := CAST([] AS BIGINT[]), ok := CAST([] AS BIGINT[])) ORDER BY e.seq)),
+      lambda a, x: struct_pack(seq := x.seq, id := x.id, enters := x.enters, made := x.made,
+        n := CASE WHEN x.enters AND a.n < a.cap THEN a.n + 1 WHEN NOT x.enters AND (NOT x.made OR list_contains(a.ins, x.id)) THEN a.n - 1 ELSE a.n END,
+        cap := a.cap, ins := CASE WHEN x.enters AND a.n < a.cap THEN list_append(a.ins, x.id) ELSE a.ins END,
+        ok := CASE WHEN (x.enters AND a.n < a.cap) OR (NOT x.enters AND (NOT x.made OR list_contains(a.ins, x.id))) THEN list_append(a.ok, x.seq) ELSE a.ok END)).ok AS ok
+  FROM event e JOIN (
+    SELECT a.id AS account_id, CAST(pl.max_profiles AS BIGINT) AS cap, (SELECT count(*) FROM profiles p WHERE p.account_id = a.id AND p.is_active) AS n
+    FROM accounts a JOIN platforms pl ON pl.id = a.platform_id) s ON s.account_id = e.account_id
+  GROUP BY e.account_id),
+counted AS (SELECT unnest(ok) AS seq FROM folded)
+SELECT q.seq, q.kind, q.id,
+       CASE WHEN q.seq IN (SELECT seq FROM counted) THEN NULL
+            WHEN q.kind = 'delete_profile' THEN 'not_found'
+            WHEN NOT ({_truthy_num('q.account_id')} AND {_truthy_text('q.profile_name')} AND {_truthy_text('q.client_name')}) THEN 'missing_field'
+            WHEN q.bad THEN 'parent_not_found' ELSE 'account_full' END AS reason
+FROM asked q
+"""
+
+
+# ------------------------------------------------- a range of reporting dates
+def _dates(first: str, last: str) -> str:
+    return f"(SELECT CAST(unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS as_of)"
+
+
+def platform_expiry_series_sql(first: str, last: str) -> str:
+    """R2 asked again for every date."""
+    due = "coalesce(expiry_date BETWEEN as_of + 1 AND as_of + 7, false)"
+    return f"""
+SELECT CAST(day.as_of AS DATE) AS as_of, p.id,
+       CAST(ifnull(held.late, 0) AS BIGINT) AS expired_accounts, CAST(ifnull(held.due, 0) AS BIGINT) AS expiring_soon_accounts,
+       CAST(ifnull(sold.late, 0) AS BIGINT) AS expired_profiles, CAST(ifnull(sold.due, 0) AS BIGINT) AS expiring_soon_profiles
+FROM {_dates(first, last)} AS day CROSS JOIN platforms p
+LEFT JOIN (
+  SELECT as_of, platform_id, sum(greatest(ifnull(n, 0), 1)) FILTER (expiry_date <= as_of) AS late, sum(greatest(ifnull(n, 0), 1)) FILTER ({due}) AS due
+  FROM {_dates(first, last)} AS d CROSS JOIN accounts a LEFT JOIN (SELECT account_id, count(*) AS n FROM profiles GROUP BY ALL) AS c ON c.account_id = a.id
+  GROUP BY ALL) AS held ON held.as_of = day.as_of AND held.platform_id = p.id
+LEFT JOIN (
+  SELECT as_of, a.platform_id, count(*) FILTER (x.expiry_date <= as_of) AS late, count(*) FILTER ({due.replace('expiry_date', 'x.expiry_date')}) AS due
+  FROM {_dates(first, last)} AS d CROSS JOIN profiles x JOIN accounts a ON a.id = x.account_id GROUP BY ALL) AS sold
+  ON sold.as_of = day.as_of AND sold.platform_id = p.id
+"""
+
+
+def expiry_totals_series_sql(first: str, last: str, days: int) -> str:
+    def counts(name: str) -> str:
+        soon = "count(*) FILTER (expiry_date BETWEEN as_of + 1 AND as_of + 7)"
+        return f"count(*) FILTER (expiry_date <= as_of) AS expired_{name}, {soon} AS expiring_soon_{name}, count(*) FILTER (expiry_date <= as_of + {days}) AS due_{name}"
+
+    return f"""
+SELECT * FROM (SELECT as_of, {counts('accounts')} FROM {_dates(first, last)} AS d CROSS JOIN accounts GROUP BY as_of)
+JOIN (SELECT as_of, {counts('profiles')} FROM {_dates(first, last)} AS d CROSS JOIN profiles WHERE is_active GROUP BY as_of) USING (as_of)
+"""

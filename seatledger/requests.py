@@ -273,3 +273,134 @@ def target_days_req(t: Tables) -> DataFrame:
 TARGET_DAYS_REQ = """
 SELECT id AS seq, id, CASE WHEN id % 10 = 0 THEN 0 ELSE 30 END AS days FROM profiles
 """
+
+
+# ------------------------------------------------- requests of every kind in one batch
+PHASE = 10_000_000_000  # seq of a phase: its number times this, then 16 for each id, then a slot for each table
+
+
+def _seq(phase: int, slot: int):
+    return (F.lit(phase * PHASE + slot) + F.col("id").cast("bigint") * 16).alias("seq")
+
+
+def replay_req(t: Tables) -> DataFrame:
+    """A day of every business: renewals, edits, deletions and insertions of all rows, in phases.
+
+    Every profile is renewed to a date, some are edited, renewed by days or deleted, and all are
+    renewed again; accounts and platforms are edited, renewed and deleted in between, and
+    new rows are inserted and renewed.
+    """
+    i, day = F.col("id"), lambda n: F.date_add(F.lit(AS_OF), n)
+    base = F.coalesce(F.col("expiry_date"), F.lit(AS_OF))
+    word = lambda c, w: F.concat(F.col(c), F.lit(w))
+    days = lambda n: (F.lit(n) if isinstance(n, int) else n).cast("int").alias("days")
+    price = lambda c: F.col(c).cast(MONEY).alias("price")
+    own = lambda table, kind, phase, slot, *fields, where=F.lit(True): table.where(where).select(_seq(phase, slot), F.lit(kind).alias("kind"), *fields)
+    pr, ac, pl = t.profiles, t.accounts, t.platforms
+    own_id = i.cast("bigint").alias("id")
+    profile_edit = [
+        word("profile_name", " v2").alias("name"),
+        F.when(i % 6 == 0, F.lit("")).otherwise(word("client_name", " jr")).alias("client_name"),
+        "client_whatsapp",
+        (F.col("sale_price") + 1).cast(MONEY).alias("price"),
+        F.when(i % 12 != 3, day((i % 20 - 10).cast("int"))).alias("expiry_date"),
+    ]
+    account_edit = [
+        F.concat(F.lit("u"), "email").alias("email"), F.lit("pw").alias("password"), "provider_name", (F.col("cost") + 1).cast(MONEY).alias("cost"), day(5).alias("expiry_date"),
+    ]
+    sixth = i % 6 == 0
+    # the id that a phase 7 insert into the account gets
+    top = F.coalesce(t.profiles.select(F.max("id")).scalar(), F.lit(0))
+    low = t.profiles.select(F.min("id")).scalar() * 16 + PHASE
+    inserted = (top + F.lit(7 * PHASE + 1) + i * 16 - low + 1).cast("bigint").alias("id")
+    parts = [
+        own(pr, "renew_profile", 1, 0, own_id, F.date_add(base, 30).alias("expiry_date"), price("sale_price")),
+        own(pr, "update_profile", 2, 0, own_id, *profile_edit, where=i % 3 == 0),
+        own(ac, "update_account", 2, 1, own_id, *account_edit, where=i % 4 == 0),
+        own(ac, "renew_account", 2, 4, own_id, day(40).alias("expiry_date"), price("cost"), where=i % 5 == 0),
+        own(pr, "renew_profile", 3, 0, own_id, days(i % 10), where=i % 2 == 0),
+        own(pl, "update_platform", 3, 2, own_id, word("name", " 2").alias("name"), F.lit("").alias("icon"), "color", F.lit(3).alias("max_profiles"), where=i % 3 == 0),
+        own(pr, "delete_profile", 4, 0, own_id, where=i % 7 == 0),
+        own(ac, "delete_account", 4, 1, own_id, where=i % 11 == 0),
+        own(pr, "renew_profile", 5, 0, own_id, days(15)),
+        own(ac, "renew_account", 5, 1, own_id, days(20), where=i % 2 == 0),
+        own(pl, "delete_platform", 6, 2, own_id, where=i % 8 == 1),
+        own(ac, "insert_profile", 7, 1, own_id.alias("parent_id"), F.lit("NP").alias("name"), F.lit("NC").alias("client_name"), F.lit(9).cast(MONEY).alias("price"), day(3).alias("expiry_date"), where=sixth),
+        own(pl, "insert_account", 7, 2, own_id.alias("parent_id"), F.concat(F.lit("n"), "name").alias("email"), F.lit("pw").alias("password")),
+        own(pl, "insert_platform", 1, 3, F.when(i % 5 != 0, word("name", " new")).alias("name")),
+        own(ac, "renew_profile", 8, 0, inserted, days(30), where=sixth),
+        own(ac, "renew_account", 8, 1, own_id, day(90).alias("expiry_date"), where=i % 9 == 0),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _replay_sql() -> str:
+    columns = (
+        ("id", "BIGINT"), ("parent_id", "BIGINT"), ("name", "VARCHAR"), ("icon", "VARCHAR"), ("color", "VARCHAR"), ("max_profiles", "INTEGER"), ("email", "VARCHAR"),
+        ("password", "VARCHAR"), ("provider_name", "VARCHAR"), ("cost", "DECIMAL(10,2)"), ("client_name", "VARCHAR"), ("client_whatsapp", "VARCHAR"),
+        ("price", "DECIMAL(10,2)"), ("expiry_date", "DATE"), ("days", "INTEGER"),
+    )
+
+    def own(table: str, kind: str, phase: int, slot: int, where: str = "true", **fields: str) -> str:
+        given = ", ".join(f"CAST({fields.get(c, 'NULL')} AS {k}) AS {c}" for c, k in columns)
+        return f"SELECT CAST({phase * PHASE + slot} + CAST(id AS BIGINT) * 16 AS BIGINT) AS seq, '{kind}' AS kind, {given} FROM {table} WHERE {where}"
+
+    day = lambda n: f"{AS_OF_SQL} + CAST({n} AS INTEGER)"
+    inserted = f"(SELECT max(id) FROM profiles) + {7 * PHASE + 1} + id * 16 - ((SELECT min(id) FROM profiles) * 16 + {PHASE}) + 1"
+    return " UNION ALL ".join(
+        [
+            own("profiles", "renew_profile", 1, 0, id="id", expiry_date=f"COALESCE(expiry_date, {AS_OF_SQL}) + 30", price="sale_price"),
+            own("profiles", "update_profile", 2, 0, "id % 3 = 0", id="id", name="profile_name || ' v2'", client_name="CASE WHEN id % 6 = 0 THEN '' ELSE client_name || ' jr' END",
+                client_whatsapp="client_whatsapp", price="sale_price + 1", expiry_date=f"CASE WHEN id % 12 <> 3 THEN {day('id % 20 - 10')} END"),
+            own("accounts", "update_account", 2, 1, "id % 4 = 0", id="id", email="'u' || email", password="'pw'", provider_name="provider_name", cost="cost + 1", expiry_date=day(5)),
+            own("accounts", "renew_account", 2, 4, "id % 5 = 0", id="id", expiry_date=day(40), price="cost"),
+            own("profiles", "renew_profile", 3, 0, "id % 2 = 0", id="id", days="id % 10"),
+            own("platforms", "update_platform", 3, 2, "id % 3 = 0", id="id", name="name || ' 2'", icon="''", color="color", max_profiles="3"),
+            own("profiles", "delete_profile", 4, 0, "id % 7 = 0", id="id"),
+            own("accounts", "delete_account", 4, 1, "id % 11 = 0", id="id"),
+            own("profiles", "renew_profile", 5, 0, id="id", days="15"),
+            own("accounts", "renew_account", 5, 1, "id % 2 = 0", id="id", days="20"),
+            own("platforms", "delete_platform", 6, 2, "id % 8 = 1", id="id"),
+            own("accounts", "insert_profile", 7, 1, "id % 6 = 0", parent_id="id", name="'NP'", client_name="'NC'", price="9", expiry_date=day(3)),
+            own("platforms", "insert_account", 7, 2, parent_id="id", email="'n' || name", password="'pw'"),
+            own("platforms", "insert_platform", 1, 3, name="CASE WHEN id % 5 <> 0 THEN name || ' new' END"),
+            own("accounts", "renew_profile", 8, 0, "id % 6 = 0", id=inserted, days="30"),
+            own("accounts", "renew_account", 8, 1, "id % 9 = 0", id="id", expiry_date=day(90)),
+        ]
+    )
+
+
+REPLAY_REQ = _replay_sql()
+
+
+def admission_req(t: Tables) -> DataFrame:
+    """Every profile's account gets two inserts; in between, every third profile is released, and
+    later the first insert of every fifth (whether or not it was admitted)."""
+    i = F.col("id")
+    top, low = t.profiles.select(F.max("id")).scalar(), t.profiles.select(F.min("id")).scalar() * 4
+    d = t.profiles.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    k = F.col("k")
+    d = d.where(((k == 1) & (i % 3 == 0)) | ((k == 3) & (i % 5 == 0)) | (k % 2 == 0))
+    insert = k % 2 == 0
+    return d.select(
+        (i * 4 + k).cast("bigint").alias("seq"),
+        F.when(insert, F.lit("insert_profile")).otherwise(F.lit("delete_profile")).alias("kind"),
+        F.when(k == 1, i).when(k == 3, top + i * 4 - low + 1).cast("bigint").alias("id"),
+        F.when(insert, F.col("account_id")).alias("account_id"),
+        F.when(insert, F.concat(F.lit("N"), "profile_name")).alias("profile_name"),
+        F.when(insert, F.col("client_name")).alias("client_name"),
+        "sale_price",
+    )
+
+
+ADMISSION_REQ = """
+SELECT CAST(id * 4 + k AS BIGINT) AS seq, CASE WHEN k % 2 = 0 THEN 'insert_profile' ELSE 'delete_profile' END AS kind,
+       CAST(CASE k WHEN 1 THEN id WHEN 3 THEN (SELECT max(id) FROM profiles) + id * 4 - (SELECT min(id) FROM profiles) * 4 + 1 END AS BIGINT) AS id,
+       CASE WHEN k % 2 = 0 THEN account_id END AS account_id, CASE WHEN k % 2 = 0 THEN 'N' || profile_name END AS profile_name,
+       CASE WHEN k % 2 = 0 THEN client_name END AS client_name, sale_price
+FROM profiles, (VALUES (0), (1), (2), (3)) v(k)
+WHERE k % 2 = 0 OR (k = 1 AND id % 3 = 0) OR (k = 3 AND id % 5 = 0)
+"""
