@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _files
 from ._store import spread, stage
-from .packing import token_bytes
+from ._units import byte_level, encoded
 
 BLOCK = 1 << 20  # tokens of a block, or those of one longer document
 HEADER = "<4sQQQQ"  # mark, bytes of the index, tokens, control bytes, data bytes
@@ -76,20 +76,38 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ tasks
-def tokenized(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, row, n_tokens, ids_crc32, ids (two bytes each where the vocabulary allows)."""
-    last, small = int(end).to_bytes(4, "little"), vocabulary <= 1 << 16
+_tables: dict[str, tuple] = {}
+
+
+def table(path: str) -> tuple:
+    """(units, what encodes a whole text) of a tokenizer file; one for each worker."""
+    if path not in _tables:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _tables[path] = byte_level(tokenizer), (lambda s: tokenizer.encode(s, add_special_tokens=False).ids), special
+    return _tables[path]
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, row, n_tokens, ids_crc32, ids (two bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, whole, special = table(tokenizer)
+        last = np.array([end], "<u2")
         for b in batches:
-            ids = [token_bytes(t or "", tokenizer) + last for t in b.column(1).to_pylist()]
-            sums = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-            sizes = np.array([len(x) for x in ids], np.int64)
-            if small:
-                stored, at = memoryview(np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes()), np.cumsum(sizes) // 2
-                ids = [stored[x - n // 2 : x] for x, n in zip(at.tolist(), sizes.tolist())]
+            texts = b.column(1).fill_null("").to_pylist()
+            # a special token's string is that token, wherever it stands
+            marked = [k for k, t in enumerate(texts) if any(s in t for s in special)]
+            found = [own[0] for own in encoded([t if k not in marked else "" for k, t in enumerate(texts)] if marked else texts, b"", [(units, whole)])]
+            for k in marked:
+                found[k] = np.array(whole(texts[k]), np.uint16)
+            ids = [np.concatenate((x, last)) for x in found]
+            sums, sizes = [zlib.crc32(x.astype("<u4")) for x in ids], [len(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(sizes // 4), sums, pa.array(ids, pa.binary())], ["doc_id", "row", "n_tokens", "ids_crc32", "ids"]
+                [b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                ["doc_id", "row", "n_tokens", "ids_crc32", "ids"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -97,22 +115,21 @@ def tokenized(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, doc_id
     return rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def as_ids(column: pa.Array, small: bool) -> np.ndarray:
+def as_ids(column: pa.Array) -> np.ndarray:
     column = column.cast(pa.large_binary())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column) or at[0] == at[-1]:
-        return np.zeros(0, np.uint32)
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u2" if small else "<u4")
+        return np.zeros(0, np.uint16)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u2")
 
 
 def id_counts(tokens: DataFrame, vocabulary: int) -> DataFrame:
     """id, n over all documents: at most ``vocabulary`` rows a task."""
-    small = vocabulary <= 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(vocabulary, np.int64)
         for b in batches:
-            sums += np.bincount(as_ids(b.column(0), small), minlength=vocabulary)
+            sums += np.bincount(as_ids(b.column(0)), minlength=vocabulary)
         met = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(sums[met])], ["id", "n"])
 
@@ -123,7 +140,6 @@ def write_blocks(tokens: DataFrame, path: str, by_rank: np.ndarray, vocabulary:
     """part, block, file, at, size, n_tokens: what was written, in the order of ``tokens`` within each partition."""
     ranks = np.zeros(vocabulary, "<u4")
     ranks[by_rank] = np.arange(len(by_rank))
-    small = vocabulary <= 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, part, number, held, many = None, 0, 0, [], 0
@@ -153,7 +169,7 @@ def write_blocks(tokens: DataFrame, path: str, by_rank: np.ndarray, vocabulary:
                     j = i + 1  # one longer than a block
                 if j > i:
                     rows = b.slice(i, j - i)
-                    numbers.append(ranks[as_ids(rows.column("ids"), small)])
+                    numbers.append(ranks[as_ids(rows.column("ids"))])
                     held.append(rows.select(["doc_id", "n_tokens"]))
                     many += int(ends[j - 1] - done)
                 if j < b.num_rows or many >= block:
@@ -176,8 +192,12 @@ def write_tokens(
 ) -> None:
     """Writes all documents' ids, each document's end included, to the folder ``path``.
     ``vocabulary``: ids, the end included, are below it."""
-    spark = docs.sparkSession
-    tokens = stage(tokenized(docs, tokenizer, vocabulary, end, doc_id, text), "tokens")
+    if vocabulary > 1 << 16:
+        raise ValueError("ids of more than 16 bits")
+    spark, held = docs.sparkSession, _files.folder(docs.sparkSession, "tokens")
+    found = tokenized(docs, tokenizer, end, doc_id, text)
+    found.write.option("compression", "zstd").parquet(held)
+    tokens = spark.read.schema(found.schema).parquet(held)
     counts = id_counts(tokens, vocabulary).toPandas()  # at most ``vocabulary`` rows
     by_rank = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy().astype("<u4")
     _files.write(path, "ids", by_rank.tobytes())
