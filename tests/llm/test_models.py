@@ -111,12 +111,12 @@ def test_probabilities_add_up(spark):
     texts = [(" ".join(f"w{int(x)}" for x in draw.geometric(0.05, 40)),) for _ in range(60)]
     counts = pitman_yor.pair_counts(spark.createDataFrame(texts, "text string")).groupBy("w", "u").agg(F.sum("c").alias("c"))
     words = counts.groupBy("w").agg(F.collect_list(F.struct("u", "c")).alias("p")).select("w", F.col("p.u").alias("us"), F.col("p.c").alias("cs")).cache()
-    model, totals = pitman_yor.fit(words, 3)
+    model, totals, sat = pitman_yor.fit(words, 3)
     assert all((t.tables <= model.customers + 1e-9).all() and t.parent_tables <= t.parent_customers for t in totals)
-    rows = pitman_yor.predictions(words, model, totals, 1).collect()
+    rows = pitman_yor.predictions(sat, model, totals[-1]).collect()
     back, fresh = model.back_off(totals[-1]), model.base(totals[-1]) / (pitman_yor.CONCENTRATION + totals[-1].parent_customers)
     for u in np.flatnonzero(model.customers):
-        own = sum(10.0 ** r["ps"][r["us"].index(u)] if u in r["us"] else back[u] * r["above"][0] for r in rows)
+        own = sum(r["ps"][r["us"].index(u)] if u in r["us"] else back[u] * r["above"] for r in rows)
         assert own + back[u] * fresh == pytest.approx(1, abs=1e-5)
 
 
