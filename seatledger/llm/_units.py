@@ -13,8 +13,9 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from ._text import slices, word_codes
+from ._text import slices, utf8, word_codes
 from .packing import byte_letters
 
 RUNS = re.compile(r"^\s|\s\s|\s$")  # white space that is not between two other characters
@@ -109,6 +110,13 @@ class Units:
         self.ids = np.concatenate((self.ids, ids))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``SLICE`` bytes of text, so that a worker holds few texts as Python strings."""
+    for b in batches:
+        for i, j in slices(utf8(b.column(column))[1], SLICE):
+            yield b.slice(i, j - i)
+
+
 def encoded(texts: list[str], before: bytes, parts: list[tuple[Units, Callable[[str], list[int]]]]) -> Iterator[list[np.ndarray]]:
     """For each text, its ids (unsigned 16-bit) by each of ``parts``: a table of units, and what
     encodes a whole text. Units see ``before`` in front of a text; an empty text has no ids."""

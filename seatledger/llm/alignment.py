@@ -27,7 +27,6 @@ table gives an empty table. Only the id and the text are read.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -40,60 +39,51 @@ from pyspark.sql import functions as F
 from . import _files
 from ._store import spread, stage
 from ._text import mix, utf8
-from .packing import Units, byte_letters, latin
+from ._units import Units, byte_level, encoded, in_slices, words
+from .packing import byte_letters
 
 BLANK = "▁"
 SHARD = 1 << 15  # keys of a shard, about
 HELD = 1 << 21  # distinct keys in a task
 CACHED = 48 << 20  # bytes of shard files in a worker
-AT_ONCE = 1 << 21  # ids aligned at once, or those of one longer document
-UNITS = 300_000  # units in a worker's tables
+AT_ONCE = 1 << 19  # ids aligned at once, or those of one longer document
 FAN = 16  # vectors summed in the first level: those of one in so many tasks
-RUNS = re.compile(r"^\s|\s\s|\s$")  # white space that is not between two other characters
 DOC = "doc_id {kind}, a binary, b binary"
 
 
 # ------------------------------------------------------------------ tokenizers
+def pieces_of(model) -> Units | None:
+    """Units of a sentencepiece model that sees a blank before each text; None if its pieces
+    may go on after a blank or hold an end of line, so that texts have no such units."""
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in names):
+        return None
+
+    def learn(units: list[bytes]) -> list[list[int]]:
+        # a unit after a blank as the model's own texts; others behind an end of line, whose ids are then left out
+        made = model.encode([u[1:].decode() if u[:1] == b" " else "\n" + u.decode() for u in units], num_threads=1)
+        line = len(model.encode("\n"))
+        return [ids if u[:1] == b" " else ids[line:] for u, ids in zip(units, made)]
+
+    return Units(words, learn)
+
+
 class Encoders:
-    """Ids (little-endian unsigned 32-bit) of a text by both tokenizers. Between single
-    spaces neither joins characters across a space, so units are looked up
-    one by one; a text with other runs of white space is encoded whole."""
+    """Both tokenizers of a worker."""
 
-    def __init__(self, byte_level: str, pieces: str):
+    def __init__(self, byte_file: str, piece_file: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(byte_level)
-        self.first.encode_special_tokens = True  # their strings are plain text
-        self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        letters, pack = byte_letters(), lambda ids: np.array(ids, "<u4").tobytes()
-        self.pack = pack
-        encode = lambda s: pack(self.first.encode(s, add_special_tokens=False).ids)
-        word = lambda s: pack([t.id for t in self.first.model.tokenize(s.encode().decode("latin-1").translate(letters))])
-        self.encode, self.a = encode, Units(encode, word, " ", Units(encode, word, ""))
-        self.b: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        # units may be parted only if no piece goes on after its blanks, or holds the end of a line
-        self.parted = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in names)
-        self.newline = pack(self.second.encode("\n")[1:])
-
-    def learn(self, table: dict[str, bytes], units: set[str], before: str, skip: int) -> None:
-        new = [u for u in units if u not in table]
-        table.update(zip(new, (self.pack(x[skip:]) for x in self.second.encode([before + u for u in new], num_threads=1))))
-
-    def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        if len(self.b) + len(self.tails) > UNITS:  # begin again
-            self.b, self.tails = {}, {}
-        split = [t.split(" ") if self.parted and t and not RUNS.search(t) else None for t in texts]
-        units = {u for own in split if own for u in own}
-        lines = {u: u.split("\n") for u in units if "\n" in u}
-        self.learn(self.b, units - lines.keys() | {x[0] for x in lines.values()}, "", 0)
-        self.learn(self.tails, {t for x in lines.values() for t in x[1:]}, "\n", 2)  # a blank and the end of a line before
-        self.b.update((u, self.newline.join([self.b[x[0]], *[self.tails[t] for t in x[1:]]])) for u, x in lines.items())
-        parts = lambda table, own: b"".join([table[u] for u in own])
-        whole = lambda t: (self.encode(" " + t), self.pack(self.second.encode(t))) if t else (b"", b"")
-        return [whole(t) if own is None else (parts(self.a, own), parts(self.b, own)) for t, own in zip(texts, split)]
+        first, second = Tokenizer.from_file(byte_file), sentencepiece.SentencePieceProcessor(model_file=piece_file)
+        first.encode_special_tokens = True  # their strings are plain text
+        self.whole = (lambda t: first.encode(" " + t, add_special_tokens=False).ids), (lambda t: second.encode(t))
+        self.units = byte_level(first), pieces_of(second)
+
+    def texts(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
+        if self.units[1] is None:
+            return ([np.array(f(t) if t else [], np.uint16) for f in self.whole] for t in texts)
+        return encoded(texts, b" ", list(zip(self.units, self.whole)))
 
 
 def spellings(byte_level: str, pieces: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -139,15 +129,14 @@ def tokenized(docs: DataFrame, byte_level: str, pieces: str, doc_id: str, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders, (first, second) = tools(byte_level, pieces)
-        for b in batches:
+        for b in in_slices(batches, 1):
             texts = b.column(1).fill_null("").to_pylist()
             a_ids, b_ids = [], []
             for t, (a, c) in zip(texts, encoders.texts(texts)):
-                a, c = np.frombuffer(a, "<u4"), np.frombuffer(c, "<u4")
                 want = np.frombuffer(b" " + t.encode(), np.uint8) if t else np.zeros(0, np.uint8)
                 same = all(np.array_equal(spelled(x, table)[0], want) for x, table in ((a, first), (c, second)))
-                a_ids.append(a.astype("<u2").tobytes() if same else b"")
-                b_ids.append(c.astype("<u2").tobytes() if same else b"")
+                a_ids.append(a.tobytes() if same else b"")
+                b_ids.append(c.tobytes() if same else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a_ids, pa.binary()), pa.array(b_ids, pa.binary())], ["doc_id", "a", "b"])
 
     return docs.select(doc_id, text).mapInArrow(run, DOC.format(kind=docs.schema[doc_id].dataType.simpleString()))
@@ -201,14 +190,15 @@ def utf8_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), "<u2").astype(np.int64), at // 2
 
 
+PLACES = 10 ** np.arange(4, -1, -1)
+DIGITS = (np.arange(1 << 16)[:, None] // PLACES % 10 + ord("0")).astype(np.uint8)
+WRITTEN = (np.arange(1 << 16)[:, None] >= PLACES) | (PLACES == 1)  # no leading zeros
+
+
 def digits(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decimals of numbers below 100,000, each followed by its mark, and their widths."""
-    places = 10 ** np.arange(4, -1, -1)
-    table = (ids[:, None] // places % 10 + ord("0")).astype(np.uint8)
-    there = ids[:, None] >= places
-    there[:, -1] = True
-    text = np.concatenate((table, marks[:, None]), 1)
-    there = np.concatenate((there, np.ones((len(ids), 1), bool)), 1)
+    """Decimals of 16-bit numbers, each followed by its mark, and their widths."""
+    text = np.concatenate((DIGITS[ids], marks[:, None]), 1)
+    there = np.concatenate((WRITTEN[ids], np.ones((len(ids), 1), bool)), 1)
     return text[there], there.sum(1)
 
 
