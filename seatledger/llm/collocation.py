@@ -45,7 +45,7 @@ from ._store import spread, stage
 from ._text import LOWER, MULTIPLIER, mix, slices, utf8, word_bounds, word_codes
 
 LONGEST = 3  # words of an edge
-WORDS = 1 << 21  # words of the corpus for each task that adds up edges
+WORDS = 1 << 20  # words of the corpus for each task that adds up edges
 AT_ONCE = 1 << 20  # words of one local graph: three ranks of them fit 62 bits
 SLICE = 4 << 20  # bytes
 NO_LANG = "und"
@@ -56,6 +56,7 @@ BETWEEN[[0x20, 0x09]] = True
 W = [f"w{i + 1}" for i in range(LONGEST)]
 HOT = 4  # a word, or a pair, is hot from this part of a task's share
 OFTEN = 1 << 18  # a pair with this part of a slice's words may be hot
+PARTS = 16  # of a language's phrases, ranked apart at first
 NONE = np.uint64(0)  # no word
 
 
@@ -282,7 +283,7 @@ def phrase_counts(docs: DataFrame, min_count: int, lang: str = "lang", text: str
     # no more of either than HOT times the tasks
     hot = words.where((F.col("word").isNotNull() | F.col("lang").isNull()) & (F.col("n") * HOT * tasks > size)).select("w").toPandas()["w"]
     hot = np.unique(hot.to_numpy(np.int64).view(np.uint64))
-    dealt = deal_edges(docs, tasks, hot).repartition(spread(docs, tasks), "p").sortWithinPartitions("p")
+    dealt = deal_edges(docs, tasks, hot).repartition(spread(docs, 2 * tasks), "p").sortWithinPartitions("p")
     grams = add_up(dealt, min_count, hot).groupBy(*W).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     grams = stage(grams.withColumn("w3", F.when(F.col("w3") != 0, F.col("w3"))), "phrases")
     return totals, words.where(F.col("word").isNotNull()), grams
@@ -381,7 +382,11 @@ def collocations(docs: DataFrame, min_count: int = 10, share: int = 50, first: i
     twos = kept.join(one("x", "l"), "x").join(one("y", "r"), "y").withColumnRenamed("n", "a")
     twos = twos.select("lang", F.concat_ws(" ", "l_word", "r_word").alias("phrase"), "a", "l", "r", score_of("a", "l", "r").alias("score"))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = triples.unionByName(twos).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    # the first of each part of a language, and then of the language: no task reads more than first * PARTS rows of one
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    ranked = triples.unionByName(twos).withColumn("part", part)
+    for by in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     totals = graph["totals"].withColumnRenamed("n", "total")  # one row a language
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
