@@ -258,3 +258,21 @@ register("renewal_history_newest", O.renewal_history_sql(None, None, HIST_LIMIT)
 register("renewal_history_envelope", O.renewal_history_total_sql(HIST_FROM, HIST_TO, HIST_LIMIT))(
     lambda t: H.write_history(t, folder(t.platforms.sparkSession, "history"), HIST_FROM, HIST_TO, HIST_LIMIT)
 )
+
+# ------------------------------------------------- reports that follow a change
+from .operators import increments as I  # noqa: E402
+from .sources.tables import stage  # noqa: E402
+
+
+def _report_after(t):
+    stored = I.rollups(t)
+    stored = I.Rollups(stage(stored.accounts, "rollups"), stage(stored.platforms, "rollups"))
+    res = _replayed(t)
+    return I.platform_figures_of(I.fold(stored, res), res.tables.platforms)
+
+
+register("platform_report_after", O.platform_report_after_sql(Q.REPLAY_REQ, Q.AS_OF_SQL, Q.NOW_SQL))(_report_after)
+# a batch in which every third request has no date and every fifth names no account
+register("renew_accounts_some_rejected", O.rejected_renewal_sql(Q.RENEW_SOME_ACCOUNTS_REQ, "account_id"))(
+    lambda t: C.renew_accounts(t, Q.renew_some_accounts_req(t), Q.NOW).rejected.select("seq", "reason")
+)

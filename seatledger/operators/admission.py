@@ -36,15 +36,15 @@ INSERT, RELEASE = "insert_profile", "delete_profile"
 def counts_before(events: DataFrame) -> DataFrame:
     """events (account_id, seq, step: 1 or -1, active, cap) -> with ``before``, the count that
     each one meets, of which inserts that meet the cap do not add to it."""
-    releases = {"released": (SUM, F.when(F.col("step") < 0, 1).otherwise(0).cast("bigint"))}
-    d = scan(events, ["account_id"], "seq", releases)
-    above = F.greatest(F.col("active") - F.col("cap"), F.lit(0))
-    idle = (F.col("step") < 0) & (F.coalesce("released", F.lit(0)) < above)
-    d = d.withColumn("move", F.when(idle, 0).otherwise(F.col("step")).cast("bigint"))
-    d = scan(d, ["account_id"], "seq", {"sum": (SUM, F.col("move"))}).withColumn("sum", F.coalesce("sum", F.lit(0).cast("bigint")))
+    none = F.lit(0).cast("bigint")
+    one = lambda up: F.when((F.col("step") > 0) == up, 1).otherwise(0).cast("bigint")
+    d = scan(events, ["account_id"], "seq", {"entered": (SUM, one(True)), "released": (SUM, one(False))})
+    above = F.greatest(F.col("active") - F.col("cap"), none)
+    freed = F.greatest(F.coalesce("released", none) - above, none)
+    d = d.withColumn("sum", F.coalesce("entered", none) - freed)
     d = scan(d, ["account_id"], "seq", {"high": (MAX, F.when(F.col("step") > 0, F.col("sum") + 1))})
     room = F.least(F.least("active", "cap"), F.col("cap") - F.col("high"))  # least: nulls do not count
-    return d.withColumn("before", F.col("sum") + room).drop("released", "move", "sum", "high")
+    return d.withColumn("before", F.col("sum") + room).drop("entered", "released", "sum", "high")
 
 
 def admit(t: Tables, req: DataFrame, now: dt.datetime) -> ChangeResult:

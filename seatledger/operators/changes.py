@@ -54,12 +54,15 @@ PHONE = "provider_phone"  # an account column that only some deployments keep
 class ChangeResult:
     """The tables after a change, the rows written and the requests rejected.
     ``appended``: by table, rows that were only added (``commit_changes``
-    writes those beside the old ones instead of the whole table)."""
+    writes those beside the old ones instead of the whole table). ``changed``: by
+    table, the rows that a change took out and put in, where it knows them
+    (``increments.fold`` adds those to stored rollups)."""
 
     tables: Tables
     applied: DataFrame
     rejected: DataFrame
     appended: dict[str, DataFrame] = field(default_factory=dict)
+    changed: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
 
 
 # ----------------------------------------------------------------- helpers

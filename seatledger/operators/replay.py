@@ -281,39 +281,57 @@ def replay(t: Tables, req: DataFrame, as_of: dt.date, now: dt.datetime) -> Chang
     named = lambda table, *kinds: matching(table, "id", done.where(_is(*kinds)), "id", small)
     of_accounts = ("insert_account", "update_account", "renew_account")
     of_profiles = ("insert_profile", "update_profile", "renew_profile")
-    held, mine = named(t.accounts, *of_accounts), named(t.profiles, *of_profiles)
+    # the rows that requests change, found once
+    held = stage(named(t.accounts, *of_accounts, "delete_account"), "replay-rows")
+    mine = stage(named(t.profiles, *of_profiles, "delete_profile"), "replay-rows")
     dated_accounts = stage(_expiries(events.where(_is(*of_accounts)), held, as_of), "replay-dates")
     dated_profiles = stage(_expiries(events.where(_is(*of_profiles)), mine, as_of), "replay-dates")
     log = _log_rows(_log(t, done, dated_accounts.unionByName(dated_profiles), mine, held, now), t.renewals)
 
+    platform_edit = {
+        "name": F.col("name"),
+        "icon": text_or("icon", DEFAULT_ICON),
+        "color": text_or("color", DEFAULT_COLOR),
+        "max_profiles": number_or("max_profiles", DEFAULT_MAX_PROFILES, "int"),
+    }
+    account_edit = {"email": F.col("email"), "provider_name": text_or("provider_name", ""), "cost": number_or("cost", 0, MONEY)}
+    profile_edit = {
+        "profile_name": F.col("name"),
+        "client_name": F.col("client_name"),
+        "client_whatsapp": text_or("client_whatsapp", ""),
+        "sale_price": number_or("price", 0, MONEY),
+    }
+    gone = lambda kind: done.where(_is(kind)).select("id")
+    dead_platforms, off = gone("delete_platform").withColumnRenamed("id", "platform_id"), gone("delete_profile").withColumn("__off", F.lit(True))
+    # accounts that end with their platform; those that the batch inserted are among them
+    below = t.accounts.join(dead_platforms, "platform_id", "left_semi")
+    born_below = accounts.join(dead_platforms, "platform_id", "left_semi")
+    dead = gone("delete_account").unionByName(below.select("id")).unionByName(born_below.select("id")).withColumnRenamed("id", "account_id")
+
+    def accounts_after(table: DataFrame) -> DataFrame:
+        out = _rewritten(table, accounts, done, "update_account", account_edit, dated_accounts, small)
+        return out.join(gone("delete_account"), "id", "left_anti").join(dead_platforms, "platform_id", "left_anti").select(*table.columns)
+
+    def profiles_after(table: DataFrame) -> DataFrame:
+        out = _rewritten(table, profiles, done, "update_profile", profile_edit, dated_profiles, small).join(off, "id", "left")
+        out = out.withColumn("is_active", F.col("is_active") & F.col("__off").isNull())
+        return out.join(dead, "account_id", "left_anti").select(*table.columns)
+
     after = Tables(
-        platforms=_rewritten(
-            t.platforms, platforms, done, "update_platform",
-            {"name": F.col("name"), "icon": text_or("icon", DEFAULT_ICON), "color": text_or("color", DEFAULT_COLOR), "max_profiles": number_or("max_profiles", DEFAULT_MAX_PROFILES, "int")},
-            None, small,
-        ),
-        accounts=_rewritten(
-            t.accounts, accounts, done, "update_account",
-            {"email": F.col("email"), "provider_name": text_or("provider_name", ""), "cost": number_or("cost", 0, MONEY)}, dated_accounts, small,
-        ),
-        profiles=_rewritten(
-            t.profiles, profiles, done, "update_profile",
-            {"profile_name": F.col("name"), "client_name": F.col("client_name"), "client_whatsapp": text_or("client_whatsapp", ""), "sale_price": number_or("price", 0, MONEY)},
-            dated_profiles, small,
-        ),
+        platforms=_rewritten(t.platforms, platforms, done, "update_platform", platform_edit, None, small)
+        .join(gone("delete_platform"), "id", "left_anti")
+        .select(*t.platforms.columns),
+        accounts=accounts_after(t.accounts),
+        profiles=profiles_after(t.profiles),
         renewals=t.renewals.unionByName(log),
         version=t.version,
-    )
-    gone = lambda kind: done.where(_is(kind)).select("id")
-    off = gone("delete_profile").withColumn("__off", F.lit(True))
-    dead_platforms, dead = gone("delete_platform").withColumnRenamed("id", "platform_id"), gone("delete_account")
-    dead = dead.unionByName(after.accounts.join(dead_platforms, "platform_id", "left_semi").select("id")).withColumnRenamed("id", "account_id")
-    kept = after.with_(
-        platforms=after.platforms.join(gone("delete_platform"), "id", "left_anti").select(*t.platforms.columns),
-        accounts=after.accounts.join(gone("delete_account"), "id", "left_anti").join(dead_platforms, "platform_id", "left_anti").select(*t.accounts.columns),
-        profiles=after.profiles.join(off, "id", "left")
-        .withColumn("is_active", F.col("is_active") & F.col("__off").isNull())
-        .join(dead, "account_id", "left_anti")
-        .select(*t.profiles.columns),
     )
-    return ChangeResult(kept, done.select("seq", "kind", "id"), told.where(F.col("reason").isNotNull()).select("seq", "kind", "id", "reason"), {"renewals": log})
+    ended = held.unionByName(below.join(held.select("id"), "id", "left_anti").select(*held.columns))
+    return ChangeResult(
+        after,
+        done.select("seq", "kind", "id"),
+        told.where(F.col("reason").isNotNull()).select("seq", "kind", "id", "reason"),
+        {"renewals": log},
+        # profiles that only end with their account are not listed: that account's end says so
+        {"accounts": (ended, accounts_after(held)), "profiles": (mine, profiles_after(mine)), "renewals": (log.limit(0), log)},
+    )

@@ -11,6 +11,8 @@ four tables with the bindings of FIXTURES.md.
 
 from __future__ import annotations
 
+import re
+
 AS_OF = "DATE '2000-01-01'"
 
 BINDINGS = f"""
@@ -961,8 +963,10 @@ JOIN dated d ON d.seq = r.seq
     )
 
 
-def replay_table_sql(req: str, as_of: str, now: str, table: str) -> str:
-    """A table after the batch: the last counted edit of each row that is still there."""
+def replay_table_sql(req: str, as_of: str, now: str, table: str, whole: bool = True) -> str:
+    """A table after the batch: the last counted edit of each row that is still there
+    (not ``whole``: as one more common table, new_platforms and so on)."""
+    mark = "" if whole else "new_"
     one = table[:-1]
     number = lambda c, default, kind: _num_or(c, default, kind)
     fields = {
@@ -982,14 +986,14 @@ def replay_table_sql(req: str, as_of: str, now: str, table: str) -> str:
                  COALESCE((SELECT max(u.died) FROM account_life u WHERE u.id = l.account_id), 99999999999999999) = 99999999999999999 AS stays
           FROM (SELECT id, account_id, off FROM profile_life UNION ALL SELECT id, account_id, CAST(0 AS BIGINT) FROM profiles WHERE NOT is_active) l"""
     return (
-        _replay_ctes(req, as_of)
-        + f""", edit AS (
+        (_replay_ctes(req, as_of) + ", " if whole else "")
+        + f"""{mark and f'{mark}{table}_'}edit AS (
   SELECT id, seq, {fields[0]} FROM told WHERE reason IS NULL AND what = '{one}' AND verb IN ('insert', 'update')
   UNION ALL SELECT CAST(id AS BIGINT), CAST(-1 AS BIGINT), {fields[1]} FROM {table}),
-last AS (SELECT * FROM edit QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
-SELECT CAST(v.id AS {kind}) AS id{parent}, {", ".join("e." + c for c in fields[1].split(", "))}{date}{active}, {born}
-FROM ({rows}) v JOIN last e ON e.id = v.id LEFT JOIN {table} t ON t.id = v.id {moved}
-WHERE v.stays
+{mark and f'{mark}{table}_'}last AS (SELECT * FROM {mark and f'{mark}{table}_'}edit QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
+{"" if whole else f", {mark}{table} AS ("}SELECT CAST(v.id AS {kind}) AS id{parent}, {", ".join("e." + c for c in fields[1].split(", "))}{date}{active}, {born}
+FROM ({rows}) v JOIN {mark and f'{mark}{table}_'}last e ON e.id = v.id LEFT JOIN {table} t ON t.id = v.id {moved}
+WHERE v.stays{"" if whole else ")"}
 """
     )
 
@@ -1064,3 +1068,17 @@ def expiry_totals_series_sql(first: str, last: str, days: int) -> str:
 SELECT * FROM (SELECT as_of, {counts('accounts')} FROM {_dates(first, last)} AS d CROSS JOIN accounts GROUP BY as_of)
 JOIN (SELECT as_of, {counts('profiles')} FROM {_dates(first, last)} AS d CROSS JOIN profiles WHERE is_active GROUP BY as_of) USING (as_of)
 """
+
+
+def platform_report_after_sql(req: str, as_of: str, now: str) -> str:
+    """R9 asked of the tables that the batch leaves."""
+    tables = ", ".join(replay_table_sql(req, as_of, now, name, whole=False) for name in ("platforms", "accounts", "profiles"))
+    log = replay_log_sql(req, as_of, now)
+    log = log[log.index(",", log.index("SELECT * FROM chain))")) :]  # the labels, without the common tables above
+    head, rows = log.rsplit("\nSELECT CASE", 1)
+    report = PLATFORM_REPORT
+    for name in ("platforms", "accounts", "profiles", "renewals"):
+        report = re.sub(rf"\b{name}\b", f"new_{name}", report)
+    return f"""{_replay_ctes(req, as_of)}, {tables}{head},
+new_renewals AS (SELECT platform_id, renewal_type, sale_price FROM renewals UNION ALL SELECT platform_id, renewal_type, sale_price FROM (SELECT CASE{rows}))
+{report}"""

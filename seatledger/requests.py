@@ -404,3 +404,21 @@ SELECT CAST(id * 4 + k AS BIGINT) AS seq, CASE WHEN k % 2 = 0 THEN 'insert_profi
 FROM profiles, (VALUES (0), (1), (2), (3)) v(k)
 WHERE k % 2 = 0 OR (k = 1 AND id % 3 = 0) OR (k = 3 AND id % 5 = 0)
 """
+
+
+def renew_some_accounts_req(t: Tables) -> DataFrame:
+    """Every account renews; every third without a date, every fifth under an id that is not there."""
+    i = F.col("id")
+    return t.accounts.select(
+        i.alias("seq"),
+        F.when(i % 5 == 0, -i).otherwise(i).alias("account_id"),
+        F.when(i % 3 != 0, F.date_add(F.lit(AS_OF), 30)).alias("new_expiry_date"),
+        F.col("cost").cast(MONEY).alias("renewal_cost"),
+    )
+
+
+RENEW_SOME_ACCOUNTS_REQ = f"""
+SELECT id AS seq, CASE WHEN id % 5 = 0 THEN -id ELSE id END AS account_id,
+       CASE WHEN id % 3 <> 0 THEN {AS_OF_SQL} + 30 END AS new_expiry_date, CAST(cost AS DECIMAL(10,2)) AS renewal_cost
+FROM accounts
+"""

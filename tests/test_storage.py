@@ -116,6 +116,56 @@ def test_jdbc_reader_wiring():
     assert dropped["accounts"] == ("password",) and dropped["profiles"] == ("pin",) and dropped["renewals"] == ()
 
 
+def test_jdbc_ranges_of_as_many_rows():
+    """Ids with wide gaps: ranges are parted at quantiles that the database is asked for once."""
+    from seatledger.sources.tables import id_ranges, read_tables_jdbc
+
+    ids = [*range(100), *range(10**9, 10**9 + 300)]
+    calls = []
+
+    class Frame:
+        def __init__(self, rows=()):
+            self.rows = rows
+
+        def drop(self, *cols):
+            return self
+
+        def collect(self):
+            return self.rows
+
+    class Reader:
+        def jdbc(self, url, table, column=None, lowerBound=None, upperBound=None, numPartitions=None, predicates=None, properties=None):
+            calls.append((table, predicates))
+            if table.startswith("("):
+                assert "percentile_disc" in table and table.count(",") == 2  # three shares for four ranges
+                return Frame([{"cut": ids[len(ids) * k // 4 - 1]} for k in (1, 2, 3)])
+            return Frame()
+
+    class FakeSpark:
+        read = Reader()
+
+    read_tables_jdbc(FakeSpark(), "jdbc:postgresql://db/x", {}, num_partitions=4, even=("profiles",))
+    ranges = next(p for t, p in calls if t == "profiles")
+    where = [p.replace("OR id IS NULL", "or id is None").replace("AND", "and") for p in ranges]
+    counts = [sum(eval(p, {"id": i}) for i in ids) for p in where]
+    assert sum(counts) == len(ids) and len(counts) == 4 and max(counts) <= 102
+    assert [p for t, p in calls if t == "platforms"] == [None]
+    assert id_ranges([]) == ["1 = 1"] and id_ranges([5, 5]) == ["id < 5 OR id IS NULL", "id >= 5"]
+
+
+def test_newest_page_reads_the_newest_months(both):
+    """Without a range: only months that can hold the page are sorted."""
+    _, stored = both
+    rows = stored.renewals.groupBy("created_month").count().orderBy("created_month").collect()
+    page = H._selected_log(stored, None, None, rows[-1]["count"] + 1)[0]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    least = rows[-2]["created_month"]
+    assert "PartitionFilters" in plan and f">= {least}" in plan.replace("'", "")
+    whole = stored.renewals.drop("created_month").orderBy(*H.history_order([c for c in stored.renewals.columns if c != "created_month"]))
+    assert page.collect() == whole.limit(rows[-1]["count"] + 1).select(*page.columns).collect()
+    assert H._selected_log(stored, None, None, 0)[0].count() == 0
+
+
 def test_history_total_needs_no_joins(both):
     """The total equals the labelled history's, from the log alone."""
     from pyspark.sql import functions as F
