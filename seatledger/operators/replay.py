@@ -196,6 +196,7 @@ def _log(t: Tables, done: DataFrame, dated: DataFrame, profiles: DataFrame, acco
     labels = profiles.select("id", *[F.col(c).alias(f"base_{c}") for c in ("profile_name", "client_name", "client_whatsapp")])
     label = lambda c: F.coalesce(F.col("known")[c], F.col(f"base_{c}"), F.lit("")).alias(c)
     of_profile = of_profile.where(_is("renew_profile")).join(labels, "id", "left").select("seq", "kind", "id", "account_id", "platform_id", "price", *map(label, ("profile_name", "client_name", "client_whatsapp")))
+    of_profile = stage(of_profile, "replay-log")
     blank = {c: F.lit("") for c in ("profile_name", "client_name", "client_whatsapp")}
     of_account = done.where(_is("renew_account")).withColumn("account_id", F.col("id")).select("seq", "kind", "id", "account_id", "platform_id", "price").withColumns(blank)
     rows = of_profile.unionByName(of_account).withColumn("edit", F.lit(None).cast("struct<email:string>"))
@@ -204,6 +205,7 @@ def _log(t: Tables, done: DataFrame, dated: DataFrame, profiles: DataFrame, acco
     rows = _known(rows.unionByName(edits, allowMissingColumns=True), "account_id", F.col("edit")).where(F.col("kind").isNotNull())
     emails = matching(t.accounts, "id", rows.select("account_id"), "account_id", small_enough(done)).select(F.col("id").alias("account_id"), F.col("email").alias("base_email"))
     rows = rows.join(emails, "account_id", "left").withColumn("account_email", F.coalesce(F.col("known")["email"], "base_email")).drop("known", "edit", "base_email")
+    rows = stage(rows, "replay-log")  # each scan is planned by itself
 
     brand = F.struct("name", text_or("icon", DEFAULT_ICON).alias("icon"), text_or("color", DEFAULT_COLOR).alias("color"))
     edits = done.where(_is("insert_platform", "update_platform")).select("seq", F.col("id").alias("platform_id"), brand.alias("edit"))
@@ -287,6 +289,7 @@ def replay(t: Tables, req: DataFrame, as_of: dt.date, now: dt.datetime) -> Chang
     dated_accounts = stage(_expiries(events.where(_is(*of_accounts)), held, as_of), "replay-dates")
     dated_profiles = stage(_expiries(events.where(_is(*of_profiles)), mine, as_of), "replay-dates")
     log = _log_rows(_log(t, done, dated_accounts.unionByName(dated_profiles), mine, held, now), t.renewals)
+    log = stage(log, "replay-log")
 
     platform_edit = {
         "name": F.col("name"),
