@@ -7,10 +7,14 @@ not overlap a marked one, so a passage whose parts come in another order is
 still covered. A document is contaminated if the tiles cover at least
 ``coverage`` of some item's words.
 
-Documents are tested against a bitmap of the seeds, of a fixed size whatever
-the benchmark's; only those that hit it go on, and an exact join on seeds
-follows. Pairs with fewer shared seeds than such a coverage needs (a tile of w
-words holds w - min_words + 1 of them) are not tiled.
+A document that covers an item so far must share one of the item's rare
+seeds: the item's most frequent seeds (by how many items have them) are left
+out as long as all they lie over is short of the coverage. A phrase found in
+every document and every item therefore brings no pair together unless it
+alone would do. Documents are tested against a bitmap of the rare seeds, of a
+fixed size whatever the benchmark's; only those that hit it go on, and an exact
+join follows. Of the pairs that meet, those are tiled whose shared seeds, rare
+or not, lie over enough words. A document's pairs are dealt to ``SHARES`` rows.
 
 Defined cases: null and empty texts and items match nothing, nor do items of
 fewer than ``min_words`` words; equal items with several ids count each;
@@ -35,6 +39,7 @@ from ._text import LOWER, MARK, MULTIPLIER, gram_codes, powers, slices, utf8, wo
 MIN_WORDS = 5
 COVERAGE = 0.8
 SLICE = 1 << 18
+SHARES = 64
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
@@ -130,24 +135,79 @@ def word_lists(rows: DataFrame, text: str, keep=None) -> DataFrame:
     return rows.mapInArrow(run, plus(rest.schema, codes="array<long>"))
 
 
-def seeds(rows: DataFrame) -> DataFrame:
-    """(x, y, seed, n): each row's seeds and how often it has them."""
+def seeds(rows: DataFrame, keep=None) -> DataFrame:
+    """(x, y, seed): each row's distinct seeds, with ``keep`` those it accepts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y, lists = (b.column(c) for c in ("x", "y", "codes"))
-            of, out, counts = [], [], []
-            for i, codes in enumerate(lists):
-                got, n = np.unique(gram_codes(codes.values.to_numpy().view(np.uint64), MIN_WORDS), return_counts=True)
-                of.append(np.full(len(got), i))
-                out.append(got)
-                counts.append(n)
-            if of:
-                at = pa.array(np.concatenate(of))
-                seed, n = np.concatenate(out).view(np.int64), np.concatenate(counts).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([x.take(at), y.take(at), pa.array(seed), pa.array(n)], ["x", "y", "seed", "n"])
+            got = [np.unique(gram_codes(codes.values.to_numpy().view(np.uint64), MIN_WORDS)) for codes in lists]
+            if keep is not None:
+                got = [g[keep(g)] for g in got]
+            if got:
+                at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+                yield pa.RecordBatch.from_arrays([x.take(at), y.take(at), pa.array(np.concatenate(got).view(np.int64))], ["x", "y", "seed"])
+
+    return rows.select("x", "y", "codes").mapInArrow(run, "x long, y long, seed long")
+
+
+def over_words(by_seed: np.ndarray, least: bool) -> np.ndarray:
+    """For each word the least (or the highest) value of the seeds that lie over it."""
+    fill = np.iinfo(np.int64).max if least else 0
+    edge = np.full(MIN_WORDS - 1, fill, np.int64)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate((edge, by_seed.astype(np.int64), edge)), MIN_WORDS)
+    return near.min(1) if least else near.max(1)
+
+
+def needed(words: int, coverage: float) -> int:
+    """Words of an item that tiles must cover."""
+    return max(int(np.ceil(words * coverage - 1e-9)), 1)
+
+
+def rare(codes: np.ndarray, common: np.ndarray, items: np.ndarray, coverage: float) -> np.ndarray:
+    """The seeds of an item of which a document that covers it must have one.
+    ``common`` (ascending) are seeds of more than one item, ``items`` how many
+    have them. The others together lie over fewer words than are needed."""
+    need = needed(len(codes), coverage)
+    if need > len(codes):
+        return np.zeros(0, np.uint64)
+    kinds, first, of = np.unique(gram_codes(codes, MIN_WORDS), return_index=True, return_inverse=True)
+    often = np.ones(len(kinds), np.int64)
+    often[np.searchsorted(kinds, common)] = items
+    place = np.empty(len(kinds), np.int64)
+    place[np.lexsort((first, -often))] = np.arange(len(kinds))
+    return kinds[place >= np.sort(over_words(place[of], least=True))[need - 1]]
+
+
+def rare_seeds(items: DataFrame, coverage: float) -> DataFrame:
+    """(x, y, seed): the rare seeds of each item."""
+    every = seeds(items)
+    common = every.groupBy("seed").agg(F.count("*").alias("items")).where("items > 1")
+    # one item's seeds: as long as its text
+    known = every.join(common, "seed").groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("seed", "items"))).alias("common"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for codes, found in zip(b.column("codes"), b.column("common")):
+                seed, items = (np.array([], np.int64),) * 2
+                if found.is_valid:
+                    seed, items = (found.values.field(c).to_numpy() for c in ("seed", "items"))
+                seed = seed.view(np.uint64)
+                order = np.argsort(seed)
+                got.append(rare(codes.values.to_numpy().view(np.uint64), seed[order], items[order], coverage))
+            if got:
+                at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+                seed = pa.array(np.concatenate(got).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("x").take(at), b.column("y").take(at), seed], ["x", "y", "seed"])
+
+    rows = items.select("x", "y", "codes").join(known, ["x", "y"], "left")
+    return rows.mapInArrow(run, "x long, y long, seed long")
 
-    return rows.select("x", "y", "codes").mapInArrow(run, "x long, y long, seed long, n long")
+
+def met(near: DataFrame, item_seeds: DataFrame, keep=None) -> DataFrame:
+    """(x, y, ix, iy): documents and items that share a rare seed."""
+    return seeds(near, keep).join(item_seeds.select(F.col("x").alias("ix"), F.col("y").alias("iy"), "seed"), "seed").select("x", "y", "ix", "iy").distinct()
 
 
 def contamination(
@@ -158,43 +218,46 @@ def contamination(
     item_key = row_key(item_id, item_text)
     items = benchmark.select(item_key["x"].alias("x"), item_key["y"].alias("y"), F.col(item_id).alias("item"), F.col(item_text).alias("text"))
     items = stage(word_lists(items.dropDuplicates(["x", "y"]), "text"), "items").where(F.size("codes") >= MIN_WORDS)
-    item_seeds = seeds(items)
+    item_seeds = stage(rare_seeds(items, coverage), "seeds")
     bits = bitmap(item_seeds.select("seed"), docs.sparkSession.sparkContext)
 
+    def keep(codes: np.ndarray) -> np.ndarray:
+        return lookup(bits.value, codes)
+
     key = row_key(doc_id, text)
     near = docs.select(key["x"].alias("x"), key["y"].alias("y"), F.col(text).alias("text"))
-    near = stage(word_lists(near, "text", lambda codes: lookup(bits.value, codes)), "near").dropDuplicates(["x", "y"])
-    need = F.ceil(F.ceil(F.size("codes") * F.lit(coverage) - 1e-9) / MIN_WORDS)
-    pairs = (
-        seeds(near).select("x", "y", "seed")
-        .join(item_seeds.select(F.col("x").alias("ix"), F.col("y").alias("iy"), "seed", "n"), "seed")
-        .groupBy("x", "y", "ix", "iy")
-        .agg(F.sum("n").alias("shared"))
-    )
-    passages = items.select(F.col("x").alias("ix"), F.col("y").alias("iy"), "item", F.col("codes").alias("words"), need.alias("need"))
-    sets = pairs.join(passages, ["ix", "iy"]).where("shared >= need").groupBy("x", "y").agg(F.collect_list(F.struct("item", "words")).alias("sets"))
+    near = stage(word_lists(near, "text", keep), "near").dropDuplicates(["x", "y"])
+    passages = items.select(F.col("x").alias("ix"), F.col("y").alias("iy"), "item", F.col("codes").alias("words"))
+    share = F.pmod("ix", F.lit(SHARES)).alias("share")
+    sets = met(near, item_seeds, keep).join(passages, ["ix", "iy"]).groupBy("x", "y", share).agg(F.collect_list(F.struct("item", "words")).alias("sets"))
     kind = benchmark.schema[item_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x, y, codes, sets in zip(*(b.column(c) for c in ("x", "y", "codes", "sets"))):
-                doc, found, best = codes.values.to_numpy(), [], 0.0
+                doc, found, best = codes.values.to_numpy().view(np.uint64), [], 0.0
+                grams = np.unique(gram_codes(doc, MIN_WORDS))
                 for s in sets:
-                    words = s["words"].values.to_numpy()
-                    part = sum(t[0] for t in tiles(words.view(np.uint64), doc.view(np.uint64))) / len(words)
+                    words = s["words"].values.to_numpy().view(np.uint64)
+                    shared = np.isin(gram_codes(words, MIN_WORDS), grams)
+                    if over_words(shared, least=False).sum() < needed(len(words), coverage):
+                        continue
+                    part = sum(t[0] for t in tiles(words, doc)) / len(words)
                     if part >= coverage:
                         found.append(s["item"].as_py())
                         best = max(best, part)
                 if found:
-                    out.append((x.as_py(), y.as_py(), sorted(found, key=lambda v: (v is None, v)), best))
+                    out.append((x.as_py(), y.as_py(), found, best))
             names = ["x", "y", "items", "coverage"]
             kinds = [pa.int64(), pa.int64(), b.schema.field("sets").type.value_type.field("item").type, pa.float64()]
             kinds[2] = pa.list_(kinds[2])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names)
 
     found = near.join(sets, ["x", "y"]).select("x", "y", "codes", "sets")
-    return stage(found.mapInArrow(run, f"x long, y long, items array<{kind}>, coverage double"), "leaks")
+    parts = found.mapInArrow(run, f"x long, y long, items array<{kind}>, coverage double")
+    every = F.array_sort(F.flatten(F.collect_list("items"))).alias("items")  # nulls last
+    return stage(parts.groupBy("x", "y").agg(every, F.max("coverage").alias("coverage")), "leaks")
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
