@@ -276,3 +276,12 @@ register("platform_report_after", O.platform_report_after_sql(Q.REPLAY_REQ, Q.AS
 register("renew_accounts_some_rejected", O.rejected_renewal_sql(Q.RENEW_SOME_ACCOUNTS_REQ, "account_id"))(
     lambda t: C.renew_accounts(t, Q.renew_some_accounts_req(t), Q.NOW).rejected.select("seq", "reason")
 )
+
+# ------------------------------------------------- distinct counts that merge
+from .operators import distinct as U  # noqa: E402
+
+FIRST_MONTH, LAST_MONTH = "1998-10", "1999-09"
+register("renewed_distinct_monthly", O.RENEWED_MONTHLY)(lambda t: U.renewed_monthly(stage(U.renewal_bitmaps(t), "bitmaps")))
+register("renewed_distinct_platforms", O.renewed_platforms_sql(FIRST_MONTH, LAST_MONTH))(
+    lambda t: U.renewed_platforms(stage(U.renewal_bitmaps(t), "bitmaps"), FIRST_MONTH, LAST_MONTH)
+)

@@ -1082,3 +1082,22 @@ def platform_report_after_sql(req: str, as_of: str, now: str) -> str:
     return f"""{_replay_ctes(req, as_of)}, {tables}{head},
 new_renewals AS (SELECT platform_id, renewal_type, sale_price FROM renewals UNION ALL SELECT platform_id, renewal_type, sale_price FROM (SELECT CASE{rows}))
 {report}"""
+
+
+# ------------------------------------------------- distinct counts over the log
+_RENEWED = """
+  count(DISTINCT account_id) AS accounts, count(DISTINCT profile_id) AS profiles,
+  count(DISTINCT account_id) FILTER (WHERE renewal_type = 'account') AS accounts_paid"""
+
+RENEWED_MONTHLY = f"""
+SELECT {_MONTH} AS month, {_RENEWED}
+FROM renewals GROUP BY ALL
+"""
+
+
+def renewed_platforms_sql(first: str, last: str) -> str:
+    return f"""
+SELECT platform_id, {_RENEWED}, grouping(platform_id) = 1 AS is_total
+FROM renewals WHERE {_MONTH} BETWEEN '{first}' AND '{last}'
+GROUP BY GROUPING SETS ((platform_id), ())
+"""
