@@ -176,6 +176,12 @@ def one_label(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
     return known.groupBy(doc_id).agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
 
 
+def learn(measured: DataFrame, labels: DataFrame, train: Column, label: str, shrink: float, ridge: float, noise: float, doc_id: str) -> Discriminant:
+    """The model of the labelled rows among ``measured`` (with ``__stats``) that ``train`` allows."""
+    learned = measured.where(train).select(doc_id, "__stats").join(one_label(labels, label, doc_id), doc_id)
+    return fit(*moments(learned, "__label", "__stats"), shrink, ridge, noise)
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -190,8 +196,7 @@ def score_quality(
     """``docs`` without the text plus ``score`` (that the label is 1); ``train``
     says which labelled rows may be learned from."""
     measured = stage(with_statistics(plain(docs).drop("score"), text, "__stats"), "stats")
-    learned = measured.where(train).select(doc_id, "__stats").join(one_label(labels, label, doc_id), doc_id)
-    model = fit(*moments(learned, "__label", "__stats"), shrink, ridge, noise)
+    model = learn(measured, labels, train, label, shrink, ridge, noise, doc_id)
     rest = measured.drop("__stats")
     names, where = rest.columns, measured.columns.index("__stats")
 
@@ -202,3 +207,29 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([*others, pa.array(model.score(x))], [*names, "score"])
 
     return measured.mapInArrow(run, plus(rest.schema, score="double"))
+
+
+def drop_low_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    train: Column,
+    least: float,
+    label: str = "quality",
+    shrink: float = 0.3,
+    ridge: float = 0.001,
+    noise: float = 0.001,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``. Learning reads
+    the statistics of the rows that ``train`` allows; then each text is scored
+    and kept or dropped where it is read, so no text is shuffled."""
+    docs = plain(docs)
+    model = learn(with_statistics(docs.select(doc_id, text).where(train), text, "__stats"), labels, F.lit(True), label, shrink, ridge, noise, doc_id)
+
+    def high(texts: pa.Array) -> pa.Array:
+        data, offsets = utf8(texts)
+        scores = [model.score(statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in slices(offsets, SLICE)]
+        return pa.array(np.concatenate([np.zeros(0), *scores]) >= least)
+
+    return docs.where(F.arrow_udf(high, "boolean")(text))  # only the text goes to Python, one boolean comes back

@@ -156,14 +156,23 @@ def drop_near_duplicates(
     docs: DataFrame, shingle: int, max_bits: int, n_blocks: int = 7, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the
-    smallest id (ties: one of them, by a hash of its text; repeated rows: one)."""
+    smallest id (ties: one of them, by a hash of its text; repeated rows: one).
+
+    Keys of rows that go are staged and taken out by an anti-join, so Spark sees
+    their size and broadcasts them where they are few; only rows that stay and
+    are there more than once are shuffled with their texts."""
     docs = plain(docs)
-    groups = document_groups(docs, shingle, max_bits, n_blocks, doc_id, text)
-    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("row")))
-    keep = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row.x").alias("__x"), F.col("first.row.y").alias("__y"))
+    groups = stage(document_groups(docs, shingle, max_bits, n_blocks, doc_id, text).select(doc_id, "row", "root"), "groups")
+    first = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("row"))).alias("first")
+    firsts = groups.groupBy("root").agg(first).select("root", F.col("first.row").alias("stays"))
+    gone = groups.join(firsts, "root").where("row != stays").select(F.col("row.x").alias("__x"), F.col("row.y").alias("__y"))
     key = row_key(doc_id, text)
-    kept = docs.withColumns({"__x": key["x"], "__y": key["y"]}).join(keep, ["__x", "__y"], "left_semi")
-    return kept.dropDuplicates(["__x", "__y"]).select(*docs.columns)
+    left = docs.withColumns({"__x": key["x"], "__y": key["y"]}).join(stage(gone, "gone"), ["__x", "__y"], "left_anti")
+    again = stage(left.groupBy("__x", "__y").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if not again.isEmpty():
+        once = left.join(again, ["__x", "__y"], "left_semi").dropDuplicates(["__x", "__y"])
+        left = left.join(again, ["__x", "__y"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def hexadecimal(code: Column) -> Column:
