@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatledger.llm._store import plain, row_key, ship
+from seatledger.llm._store import plain, ship
 from seatledger.llm.decontam import drop_contaminated
 from seatledger.llm.line_dedup import drop_common_lines
 from seatledger.llm.packing import pack
-from seatledger.llm.quality import score_quality
+from seatledger.llm.quality import drop_low_quality
 from seatledger.llm.registry import CAPACITY, END, QUALITY_FROM, learnable, table
 from seatledger.llm.simhash import drop_near_duplicates
 from seatledger.session import ensure_checkpoint_dir
@@ -25,12 +25,7 @@ from seatledger.session import ensure_checkpoint_dir
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least ``QUALITY_FROM`` stay."""
     ship(spark)
-    key = row_key("doc_id", "text")
-    rows = docs.select("doc_id", "text", key["x"].alias("x"), key["y"].alias("y"))
-    scored = score_quality(rows, table(spark, sf_dir, "labels"), learnable(), "quality")
-    low = scored.where(F.col("score") < QUALITY_FROM).select(F.col("x").alias("__x"), F.col("y").alias("__y"))
-    docs = plain(docs)
-    return docs.withColumns({"__x": key["x"], "__y": key["y"]}).join(low, ["__x", "__y"], "left_anti").select(*docs.columns)
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"), learnable(), QUALITY_FROM, "quality")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
