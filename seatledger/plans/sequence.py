@@ -4,11 +4,12 @@ A change batch stands for a sequence of single requests; several requests on
 the same key must see each other in ``seq`` order (the previous request's
 new date, the n-th insert into an account, the last name before a renewal). A
 window partitioned by the key alone would send every request of a hot key to
-one task. Here rows meet in levels: fixed ranges of ``bucket`` numbers hold at
+one task. So the rows of each key are counted first (``apart``): keys of at most
+``bucket`` rows meet in one window by the key, which further windows and joins by it
+share. The rows of the others, if there are any, meet in levels: fixed ranges of ``bucket`` numbers hold at
 most that many distinct ones whatever their gaps, each range sums up to one row, and
-ranges of ranges carry between them. Nothing is counted first and nothing comes
-to the driver. With three levels the last window of a key has one row for each 4096 * 4096
-numbers of its span.
+ranges of ranges carry between them. With three levels the last window of a key has one
+row for each 4096 * 4096 numbers of its span.
 
 ``order`` is distinct among the rows of a key, and keys are not null.
 """
@@ -17,10 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage
+
 SEQ_BUCKET = 4096
 LEVELS = 3
 
@@ -45,6 +49,19 @@ def bucketed(df: DataFrame, order: str, bucket: int, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(f"(`{order}` - pmod(`{order}`, {bucket}L)) div {bucket}L"))
 
 
+def apart(df: DataFrame, keys: list[str], bucket: int = SEQ_BUCKET) -> list[tuple[DataFrame, int]]:
+    """(rows, levels to scan them in): the rows of keys with at most ``bucket`` of them, and, if
+    there are any, those of the others (fewer than one key for each ``bucket`` rows).
+
+    ``df`` is read once to count; callers stage what is dear."""
+    crowded = stage(df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > bucket).select(*keys), "crowded")
+    if crowded.isEmpty():
+        return [(df, 1)]
+    crowded = crowded.select(*[F.col(k).alias(f"__crowded_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__crowded_{k}")) for k in keys])
+    return [(df.join(crowded, same, "left_anti"), 1), (df.join(crowded, same, "left_semi"), LEVELS)]
+
+
 def scan(df: DataFrame, keys: list[str], order: str, steps: dict[str, tuple[Scan, Column]], bucket: int = SEQ_BUCKET, levels: int = LEVELS) -> DataFrame:
     """Add each column of ``steps``: its step over all earlier rows (by ``order``) with the same keys; null if none.
 
@@ -71,7 +88,8 @@ def previous_in_key(df: DataFrame, key: str, order: str, value: str, out: str, b
 
     Exact equivalent of ``lag(value) over (partition by key order by order)``.
     """
-    d = scan(df, [key], order, {out: (LAST, F.struct(F.col(value).alias("value")))}, bucket)
+    step = {out: (LAST, F.struct(F.col(value).alias("value")))}
+    d = reduce(DataFrame.unionByName, [scan(rows, [key], order, step, bucket, levels) for rows, levels in apart(df, [key], bucket)])
     return d.withColumn(out, F.col(out)["value"])
 
 
@@ -80,5 +98,6 @@ def rank_in_key(df: DataFrame, key: str, order: str, out: str, bucket: int = SEQ
 
     Exact equivalent of ``row_number() over (partition by key order by order)``.
     """
-    d = scan(df, [key], order, {out: (SUM, F.lit(1).cast("bigint"))}, bucket)
+    step = {out: (SUM, F.lit(1).cast("bigint"))}
+    d = reduce(DataFrame.unionByName, [scan(rows, [key], order, step, bucket, levels) for rows, levels in apart(df, [key], bucket)])
     return d.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("bigint")) + 1)

@@ -81,3 +81,41 @@ def test_counts_are_what_each_request_meets(spark):
     df = spark.createDataFrame([(1, 10**9 * k, s, 6, 3) for k, s in enumerate(steps)], "account_id long, seq long, step int, active long, cap long")
     got = [r["before"] for r in A.counts_before(df).orderBy("seq").collect()]
     assert got[-4:] == [3, 3, 2, 3] and all(x >= 3 for x in got[:6])
+
+
+def made_up(spark, accounts: int, profiles: int) -> Tables:
+    make = spark.createDataFrame
+    return Tables(
+        make([(1, "a", "i", "c", 2, None)], "id int, name string, icon string, color string, max_profiles int, created_on date"),
+        make([(i, 1, "e", "p", None, None, None) for i in range(1, accounts + 1)], "id long, platform_id int, email string, provider_name string, cost decimal(10,2), expiry_date date, created_on date"),
+        make(
+            [(i, 1 + i % accounts, "p", "c", "w", None, None, True, None) for i in range(1, profiles + 1)],
+            "id long, account_id long, profile_name string, client_name string, client_whatsapp string, sale_price decimal(10,2), expiry_date date, is_active boolean, created_at timestamp_ntz",
+        ),
+        make([], RENEWALS),
+    )
+
+
+def chained(n: int) -> list:
+    """Each insert is followed by its own release, so what is void hangs on the one before."""
+    out = []
+    for k in range(n):
+        out.append((2 * k, A.INSERT, None, 1, "N", "C"))
+        out.append((2 * k + 1, A.RELEASE, 1 + (2 * k if k % 3 else 2 * k - 2) + 1, None, None, None))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_releases_of_rejected_inserts(spark, monkeypatch, bucket):
+    """An account's list, or many scans for one that is longer than a bucket, give the same as one by one."""
+    t, requests, labels = made_up(spark, 2, 1), chained(30), []
+    keep, whole = A.stage, A.apart
+    monkeypatch.setattr(A, "stage", lambda d, label: (labels.append(label), keep(d, label))[1])
+    monkeypatch.setattr(A, "apart", lambda d, keys: whole(d, keys, bucket))
+    res = A.admit(t, spark.createDataFrame(requests, REQUEST), NOW)
+    got = res.applied.withColumn("reason", F.lit(None).cast("string")).unionByName(res.rejected)
+    want = one_by_one({1: 2, 2: 2}, {1: [2, True]}, requests)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    if bucket == 4096:
+        assert "admission" not in labels  # no round of scans
+    assert res.tables.profiles.where("is_active").count() == sum(r[3] is None and r[1] == A.INSERT for r in want) + 1 - sum(r[3] is None and r[1] == A.RELEASE for r in want)
