@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._store import plus, spread, stage
 
 Patterns = list[tuple[int, tuple[int, ...]]]
-CACHED = 600_000  # units in a worker's table
+CACHED = 150_000  # units in a worker's table; others are encoded each time
 POINTS = ".,;:!?"
 
 
@@ -113,8 +113,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of, out = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = token_bytes(t or "", tokenizer) + last
+            for i, t in enumerate(b.column(1)):  # one text at a time is a Python string
+                ids = token_bytes(t.as_py() or "", tokenizer) + last
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
