@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 
 from ._text import slices, utf8, word_codes
-from .packing import byte_letters
 
 RUNS = re.compile(r"^\s|\s\s|\s$")  # white space that is not between two other characters
 SLICE = 1 << 20  # bytes of text
@@ -66,36 +65,42 @@ def words_and_points(data: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """Ids of the units that a worker has met. ``learn`` gives the ids of new ones (bytes)."""
+    """Ids (of ``kind``) of the units that a worker has met. ``learn`` gives the ids of new ones (bytes)."""
 
-    def __init__(self, begins: Callable[[np.ndarray], np.ndarray], learn: Callable[[list[bytes]], list[list[int]]]):
-        self.begins, self.learn = begins, learn
-        self.codes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    def __init__(self, begins: Callable[[np.ndarray], np.ndarray], learn: Callable[[list[bytes]], list[list[int]]], kind: type = np.uint16):
+        self.begins, self.learn, self.kind = begins, learn, kind
+        self.codes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin), texts one after the other in ``data``; none is empty."""
         begin = self.begins(data)
         begin[offsets[:-1]] = True
         starts = np.flatnonzero(begin)
-        ends = np.append(starts[1:], len(data))
+        bounds = np.append(starts, len(data))
+        # a long text's units are looked up run by run
+        found = [self.look_up(data, bounds[i:j], bounds[i + 1 : j + 1]) for i, j in slices(bounds, 2 * SLICE)]
+        ids, size = (np.concatenate(x) for x in zip(*found))
+        return ids, np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, offsets)]
+
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of units one after the other, how many each has)."""
         unlike, first, at = np.unique(word_codes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.codes, unlike), max(len(self.codes) - 1, 0))
         new = np.flatnonzero(self.codes[place] != unlike) if len(self.codes) else np.arange(len(unlike))
         if len(new):
-            raw = data.tobytes()
-            made = self.learn([raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            raw, zero = data[starts[0] : ends[-1]].tobytes(), starts[0]
+            made = self.learn([raw[x:y] for x, y in zip((starts[first[new]] - zero).tolist(), (ends[first[new]] - zero).tolist())])
             size = np.fromiter(map(len, made), np.int64, len(made))
             known = np.ones(len(self.codes), bool)
             if len(self.codes) + len(new) > KNOWN:  # those of this slice stay
                 known[:] = False
                 known[np.delete(place, new)] = True
-            self.keep(known, unlike[new], size, np.fromiter((i for ids in made for i in ids), np.uint16, int(size.sum())))
+            self.keep(known, unlike[new], size, np.fromiter((i for ids in made for i in ids), self.kind, int(size.sum())))
             place = np.searchsorted(self.codes, unlike)
         own = place[at]
         size = self.size[own]
         total = np.cumsum(size)
-        ids = self.ids[np.arange(total[-1]) + np.repeat(self.at[own] - (total - size), size)]
-        return ids, np.concatenate(([0], total))[np.searchsorted(starts, offsets)]
+        return self.ids[np.arange(total[-1]) + np.repeat(self.at[own] - (total - size), size)], size
 
     def keep(self, known: np.ndarray, codes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         if not known.all():
@@ -118,11 +123,10 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Rec
 
 
 def encoded(texts: list[str], before: bytes, parts: list[tuple[Units, Callable[[str], list[int]]]]) -> Iterator[list[np.ndarray]]:
-    """For each text, its ids (unsigned 16-bit) by each of ``parts``: a table of units, and what
+    """For each text, its ids (of the units' kind) by each of ``parts``: a table of units, and what
     encodes a whole text. Units see ``before`` in front of a text; an empty text has no ids."""
     raw = [t.encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-    none = np.zeros(0, np.uint16)
     for i, j in slices(offsets, SLICE):
         fine = plain_texts(texts[i:j], np.frombuffer(b"".join(raw[i:j]), np.uint8), offsets[i : j + 1] - offsets[i])
         plain = (i + np.flatnonzero(fine)).tolist()
@@ -136,12 +140,20 @@ def encoded(texts: list[str], before: bytes, parts: list[tuple[Units, Callable[[
                     out[k].append(ids[x:y])
         for k in range(i, j):
             if not out[k]:
-                out[k] = [np.array(whole(texts[k]), np.uint16) for _, whole in parts] if texts[k] else [none] * len(parts)
+                out[k] = [np.array(whole(texts[k]) if texts[k] else [], units.kind) for units, whole in parts]
             yield out[k]
 
 
 # ------------------------------------------------------------------ byte-level tokenizers
-def byte_level(tokenizer) -> Units:
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary:
+    itself if it has a mark of its own, else the next unused one from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def byte_level(tokenizer, kind: type = np.uint16) -> Units:
     """Units of a byte-level tokenizer (of the tokenizers library)."""
     letters = byte_letters()
     blank, tokenize, encode = letters[0x20], tokenizer.model.tokenize, tokenizer.encode
@@ -159,4 +171,4 @@ def byte_level(tokenizer) -> Units:
                 out.append(encode(text, add_special_tokens=False).ids)
         return out
 
-    return Units(words_and_points, learn)
+    return Units(words_and_points, learn, kind)

@@ -39,8 +39,7 @@ from pyspark.sql import functions as F
 from . import _files
 from ._store import spread, stage
 from ._text import mix, utf8
-from ._units import Units, byte_level, encoded, in_slices, words
-from .packing import byte_letters
+from ._units import Units, byte_letters, byte_level, encoded, in_slices, words
 
 BLANK = "▁"
 SHARD = 1 << 15  # keys of a shard, about

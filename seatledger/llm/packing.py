@@ -24,85 +24,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import plus, spread, stage
+from ._units import byte_level, encoded, in_slices
 
 Patterns = list[tuple[int, tuple[int, ...]]]
-CACHED = 150_000  # units in a worker's table; others are encoded each time
-POINTS = ".,;:!?"
 
 
 # ------------------------------------------------------------------ tokens
-class Units(dict):
-    """Token ids (little-endian bytes) of a text's units: parts between single
-    spaces, each with the space before it. The tokenizer never joins
-    characters across a space that stands between two others, so a text's ids
-    are its units' ids one after the other."""
-
-    def __init__(self, encode, word, space: str, heads: "Units | None" = None):
-        super().__init__()
-        self.encode, self.word, self.space, self.heads = encode, word, space, self if heads is None else heads
-        self.newline, self.points = encode("\n"), {p: encode(p) for p in POINTS}
-
-    def __missing__(self, unit: str) -> bytes | None:
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            return None  # white space of two or more: the text is encoded as a whole
-        if "\n" in unit:
-            first, *rest = unit.split("\n")
-            parts = [self[first], *(self.heads[x] for x in rest)]
-            return None if None in parts else self.newline.join(parts)
-        if latin(unit):
-            ids = self.word(self.space + unit)
-        elif unit[-1] in POINTS and latin(unit[:-1]):  # the tokenizer parts letters from marks
-            ids = self[unit[:-1]] + self.points[unit[-1]]
-        else:
-            ids = self.encode(self.space + unit)
-        if len(self) < CACHED:
-            self[unit] = ids
-        return ids
-
-
-def latin(word: str) -> bool:
-    """Letters only, of blocks that every version of Unicode agrees on."""
-    return word.isalpha() and max(word) < "\u0250"
-
-
-def byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary:
-    itself if it has a mark of its own, else the next unused one from U+0100."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-_units: dict[str, tuple] = {}
-
-
-def units(path: str) -> tuple:
-    """(encode, units that begin a text, other units) of a tokenizer file; one for each worker."""
-    if path not in _units:
+_tables: dict[str, tuple] = {}
+
+
+def table(path: str) -> tuple:
+    """(units, what encodes a whole text, special tokens) of a tokenizer file; one for each worker."""
+    if path not in _tables:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        encode = lambda s: pack(tokenizer.encode(s, add_special_tokens=False).ids)
-        # a word of letters alone is one piece, so its merges can be asked for directly
-        letters = byte_letters()
-        word = lambda s: pack([t.id for t in tokenizer.model.tokenize(s.encode().decode("latin-1").translate(letters))])
-        heads = Units(encode, word, "")
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _units[path] = encode, heads, Units(encode, word, " ", heads), special
-    return _units[path]
+        _tables[path] = byte_level(tokenizer, np.uint32), (lambda s: tokenizer.encode(s, add_special_tokens=False).ids), special
+    return _tables[path]
+
+
+def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """Each text's ids, unsigned 32-bit."""
+    units, whole, special = table(path)
+    # a special token's string is that token, wherever it stands
+    marked = {k for k, t in enumerate(texts) if any(s in t for s in special)}
+    plain = ["" if k in marked else t for k, t in enumerate(texts)] if marked else texts
+    for k, (ids,) in enumerate(encoded(plain, b"", [(units, whole)])):
+        yield np.array(whole(texts[k]), np.uint32) if k in marked else ids
 
 
 def token_bytes(text: str, path: str) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit integers."""
-    if not text:
-        return b""
-    encode, heads, inner, special = units(path)
-    if any(s in text for s in special):
-        return encode(text)
-    first, *rest = text.split(" ")
-    parts = [heads[first], *[inner[x] for x in rest]]
-    return encode(text) if None in parts else b"".join(parts)
+    return next(token_ids([text], path)).astype("<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,10 +65,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, doc_id: str
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, 1):
             of, out = [], []
-            for i, t in enumerate(b.column(1)):  # one text at a time is a Python string
-                ids = token_bytes(t.as_py() or "", tokenizer) + last
+            for i, own in enumerate(token_ids(b.column(1).fill_null("").to_pylist(), tokenizer)):
+                ids = own.astype("<u4").tobytes() + last
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
