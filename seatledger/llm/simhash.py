@@ -107,8 +107,9 @@ def links(codes: DataFrame, max_bits: int, n_blocks: int, chunk: int = CHUNK) ->
     def tiles(mine: Column, n: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
 
+    # each code is there once for each choice, which Spark's estimate of ``keyed`` leaves out: never broadcast
     met = (
-        keyed.join(shared, ["choice", "part"])
+        keyed.hint("merge").join(shared, ["choice", "part"])
         .withColumn("mine", F.pmod(F.xxhash64("code"), chunks).cast("int"))
         .withColumn("t", F.explode(tiles(F.col("mine"), chunks)))
         .groupBy("choice", "part", "t")

@@ -54,3 +54,16 @@ def test_near_duplicates_shuffle_no_texts_without_repeated_rows(spark):
     docs = spark.createDataFrame(CLEAN + [(100 + i, CLEAN[5][1]) for i in range(20)], "doc_id long, text string")
     p = plan(simhash.drop_near_duplicates(docs, 4, 4))
     assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p
+
+
+def test_keyed_fingerprints_are_never_broadcast(spark):
+    # each one is there once for each choice of blocks, which no estimate of its table counts
+    codes = spark.range(2000).select(F.xxhash64("id").alias("code"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = simhash.links(codes.union(codes.selectExpr("code ^ 5")), 4, 7)
+        assert "BroadcastHashJoin" not in plan(found)
+        assert {tuple(sorted(r)) for r in found.collect()} >= {tuple(sorted((r.code, r.code ^ 5))) for r in codes.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
